@@ -166,18 +166,22 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], parti
                              F.floor("h").cast("long").alias("lo"),
                              F.least(F.ceil("h").cast("long"), F.col("n") - 1).alias("hi"))
     # 0-based positions lo and hi; a value covers positions [cnt_before, cnt_cum-1]
-    pos = targets.select(*partition_cols, "p", "h", "lo",
+    gk = [f"__g{i}" for i in range(len(partition_cols))]
+    pos = targets.select(*[F.col(c).alias(g) for c, g in zip(partition_cols, gk)], "p", "h", "lo",
                          F.explode(F.array_distinct(F.array("lo", "hi"))).alias("pos"))
     if not partition_cols or split_groups:
         # (#groups x #probs x 2) rows with #groups known small: bounded, broadcast it so a
         # group with most of the values is not funnelled into one join task
         pos = F.broadcast(pos)
-    cond = [pos[c].eqNullSafe(r[c]) for c in partition_cols]
-    cond += [(pos["pos"] >= r["cnt_before"]), (pos["pos"] < r["cnt_cum"])]
+    rr = r.select(*partition_cols, F.col(value_col).cast("double").alias("__v"), "cnt_before", "cnt_cum")
+    cond = [F.col(g).eqNullSafe(F.col(c)) for c, g in zip(partition_cols, gk)]
+    cond += [(F.col("pos") >= F.col("cnt_before")), (F.col("pos") < F.col("cnt_cum"))]
+    join_cond = cond[0]
+    for c in cond[1:]:
+        join_cond = join_cond & c
     # range join: each (group, p) matches exactly the one or two values covering lo/hi
-    hit = pos.join(r, on=cond, how="inner").select(
-        *[pos[c] for c in partition_cols], pos["p"], pos["h"], pos["lo"], pos["pos"],
-        r[value_col].cast("double").alias("v"))
+    hit = pos.join(rr, on=join_cond, how="inner").select(
+        *[F.col(g).alias(c) for c, g in zip(partition_cols, gk)], "p", "h", "lo", "pos", F.col("__v").alias("v"))
     res = hit.groupBy(*partition_cols, "p").agg(
         F.first("h").alias("h"), F.first("lo").alias("lo"),
         F.min_by("v", "pos").alias("v_lo"), F.max_by("v", "pos").alias("v_hi"))
