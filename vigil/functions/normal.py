@@ -140,3 +140,33 @@ def t_two_sided_p(t: pd.Series, dof: pd.Series) -> pd.Series:
     """Two-sided Student-t p-value, Arrow-batched; applied to aggregate rows."""
     return pd.Series(t_two_sided_p_np(t.to_numpy(dtype=float, na_value=np.nan),
                                       dof.to_numpy(dtype=float, na_value=np.nan)))
+
+
+# ---- staged forms: intermediate values become columns of their own projection, so
+# the optimizer keeps them (it does not inline an expensive expression that is
+# referenced several times) and the generated code stays small.
+
+def add_inv_normal(df, p: str, out: str):
+    """``df`` plus column ``out`` = standard normal quantile of column ``p``."""
+    d = df.withColumn("__in_q", F.col(p) - F.lit(0.5))
+    d = d.withColumn("__in_r1", F.lit(0.180625) - F.col("__in_q") * F.col("__in_q"))
+    d = d.withColumn("__in_r", F.sqrt(-F.log(F.when(F.col("__in_q") < 0, F.col(p)).otherwise(F.lit(1.0) - F.col(p)))))
+    d = d.withColumn("__in_rn", F.col("__in_r") - F.lit(1.6)).withColumn("__in_rf", F.col("__in_r") - F.lit(5.0))
+    central = F.col("__in_q") * _poly(_A, F.col("__in_r1")) / _poly(_B, F.col("__in_r1"))
+    near = _poly(_C, F.col("__in_rn")) / _poly(_D, F.col("__in_rn"))
+    far = _poly(_E, F.col("__in_rf")) / _poly(_F, F.col("__in_rf"))
+    tail = F.when(F.col("__in_r") <= F.lit(5.0), near).otherwise(far)
+    tail = F.when(F.col("__in_q") < 0, -tail).otherwise(tail)
+    res = (F.when((F.col(p) <= 0) | (F.col(p) >= 1), F.lit(None).cast("double"))
+           .when(F.abs(F.col("__in_q")) <= F.lit(0.425), central).otherwise(tail))
+    return d.withColumn(out, res).drop("__in_q", "__in_r1", "__in_r", "__in_rn", "__in_rf")
+
+
+def add_norm_sf(df, x: str, out: str):
+    """``df`` plus column ``out`` = P(Z > x) for a standard normal Z."""
+    d = df.withColumn("__ns_v", F.col(x) / F.lit(math.sqrt(2.0)))
+    d = d.withColumn("__ns_z", F.abs(F.col("__ns_v")))
+    d = d.withColumn("__ns_t", F.lit(1.0) / (F.lit(1.0) + F.lit(0.5) * F.col("__ns_z")))
+    d = d.withColumn("__ns_e", F.col("__ns_t") * F.exp(-F.col("__ns_z") * F.col("__ns_z") + _poly(_ERFC, F.col("__ns_t"))))
+    erfc_v = F.when(F.col("__ns_v") >= 0, F.col("__ns_e")).otherwise(F.lit(2.0) - F.col("__ns_e"))
+    return d.withColumn(out, F.lit(0.5) * erfc_v).drop("__ns_v", "__ns_z", "__ns_t", "__ns_e")

@@ -169,9 +169,9 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], parti
     gk = [f"__g{i}" for i in range(len(partition_cols))]
     pos = targets.select(*[F.col(c).alias(g) for c, g in zip(partition_cols, gk)], "p", "h", "lo",
                          F.explode(F.array_distinct(F.array("lo", "hi"))).alias("pos"))
-    if not partition_cols or split_groups:
-        # (#groups x #probs x 2) rows with #groups known small: bounded, broadcast it so a
-        # group with most of the values is not funnelled into one join task
+    if not partition_cols or split_groups or pos.count() <= 200_000:
+        # (#groups x #probs x 2) rows, size checked: broadcast it, so a group holding
+        # most of the values is never funnelled into one join task
         pos = F.broadcast(pos)
     rr = r.select(*partition_cols, F.col(value_col).cast("double").alias("__v"), "cnt_before", "cnt_cum")
     cond = [F.col(g).eqNullSafe(F.col(c)) for c, g in zip(partition_cols, gk)]
