@@ -395,3 +395,55 @@ def q_residuals(spark, sf_dir):
 def q_qq(spark, sf_dir):
     from ..operators.evaluate import qq_table
     return qq_table(_lines(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- R1-R5
+@register("report_preprocessing", DIRTY + """,
+after AS (SELECT count(*) AS a FROM dirty_orders WHERE NOT (date_txt IS NULL OR try_strptime(date_txt, '%Y-%m-%d') IS NULL
+    OR try_strptime(date_txt, '%Y-%m-%d') > TIMESTAMP '1998-06-30 00:00:00')),
+b AS (SELECT count(*) AS b FROM dirty_orders)
+SELECT 'rows_before' AS metric, CAST(b AS DOUBLE) AS value FROM b
+UNION ALL SELECT 'rows_after', CAST(a AS DOUBLE) FROM after
+UNION ALL SELECT 'rows_removed', CAST(b - a AS DOUBLE) FROM b, after
+UNION ALL SELECT 'rows_removed_pct', round((b - a) / b * 100.0, 2) FROM b, after""")
+def q_report_preprocessing(spark, sf_dir):
+    from ..operators.correct import apply_rule_actions
+    from ..operators.report import preprocessing_section
+    d = fx.dirty_orders(spark, sf_dir)
+    fixed, log = apply_rule_actions(d, fx.dirty_rules(spark), key="o_orderkey")
+    return preprocessing_section(d, fixed, log)["summary"]
+
+
+@register("report_data", DIRTY + """, s AS (SELECT count(*) AS n, """ + " + ".join(
+    f"sum(CASE WHEN {_missing(c)} THEN 1 ELSE 0 END)" for c in _COLS) + """ AS m FROM dirty_orders)
+SELECT 'rows' AS metric, CAST(n AS DOUBLE) AS value FROM s
+UNION ALL SELECT 'columns', 10.0
+UNION ALL SELECT 'missing_cells', CAST(m AS DOUBLE) FROM s
+UNION ALL SELECT 'missing_pct', round(m / (n * 10.0) * 100.0, 2) FROM s""")
+def q_report_data(spark, sf_dir):
+    from ..operators.report import data_section
+    return data_section(fx.dirty_orders(spark, sf_dir), order_by="o_orderkey")["summary"]
+
+
+@register("report")
+def q_report(spark, sf_dir):
+    from ..operators.report import data_section, evaluation_section, report_table
+    tables = {"data": data_section(fx.table(spark, sf_dir, "orders"), order_by="o_orderkey"),
+              "evaluation": evaluation_section(_events(spark, sf_dir), "classification")}
+    return report_table(tables)
+
+
+# ---------------------------------------------------------------- streaming
+@register("stream_anomaly_counts", """WITH a AS (
+  SELECT ts, 'value' AS column_name, 'missing' AS anomaly FROM events WHERE value IS NULL OR isnan(value)
+  UNION ALL SELECT ts, 'value', 'below_min' FROM events WHERE value < 0
+  UNION ALL SELECT ts, 'value', 'above_max' FROM events WHERE value > 300
+  UNION ALL SELECT ts, 'event_type', 'missing' FROM events WHERE event_type IS NULL
+  UNION ALL SELECT ts, 'event_type', 'not_allowed' FROM events WHERE event_type NOT IN ('view', 'click', 'purchase', 'signup')
+  UNION ALL SELECT ts, 'props', 'bad_format' FROM events WHERE NOT regexp_matches(props, '^\\{"k": \\d+\\}$'))
+SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, column_name, anomaly,
+  CAST(count(*) AS BIGINT) AS n FROM a GROUP BY 1, 2, 3, 4""")
+def q_stream_anomaly_counts(spark, sf_dir):
+    from ..streaming.anomalies import anomaly_counts_by_window, run_to_table
+    s = fx.events_stream(spark, sf_dir)
+    return run_to_table(spark, anomaly_counts_by_window(s, fx.events_rules(spark), "event_id", "ts"))

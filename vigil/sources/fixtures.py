@@ -121,3 +121,24 @@ def high_card(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def high_card_sql() -> str:
     return f"high_card AS (SELECT {', '.join(HIGH_CARD_EXPRS)} FROM orders)"
+
+
+# Rules for the ``events`` table (also used on its streaming form).
+EVENTS_RULES = [
+    ("value", "numerique", "oui", None, "0", "300", None, "ignorer"),
+    ("event_type", "categorique", "oui", "view,click,purchase,signup", None, None, None, "ignorer"),
+    ("props", "texte", "non", None, None, None, r'^\{"k": \d+\}$', "ignorer"),
+]
+
+
+def events_rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(EVENTS_RULES, RULES_SCHEMA)
+
+
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``events`` table as a file stream (schema taken from the batch table)."""
+    schema = table(spark, sf_dir, "events").schema
+    base = sf_dir.rstrip("/")
+    # a file source reads a directory; the glob picks the one table file inside it
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("basePath", base)
+            .parquet(f"{base}/event[s].parquet"))
