@@ -12,7 +12,7 @@ from __future__ import annotations
 import datetime as _dt
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,11 +49,14 @@ _NUM_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 # --------------------------------------------------------------------------- D1
 def _with_line(rules: DataFrame) -> DataFrame:
-    """Rule line number as in the spreadsheet: header is line 1, first rule line 2."""
+    """Rule line number as in the spreadsheet: header is line 1, first rule line 2.
+    The rule table is small (one row per rule), so a window over its file order
+    (``monotonically_increasing_id`` grows with partition and row position) is fine."""
     if "line" in rules.columns:
         return rules
-    from ..sources.files import with_row_key
-    return with_row_key(rules, name="__idx").withColumn("line", F.col("__idx") + 1).drop("__idx")
+    w = Window.orderBy("__mid")
+    return (rules.withColumn("__mid", F.monotonically_increasing_id())
+            .withColumn("line", (F.row_number().over(w) + 1).cast("long")).drop("__mid"))
 
 
 def validate_rules(rules: DataFrame) -> DataFrame:
@@ -152,7 +155,9 @@ def load_rule_list(rules: DataFrame | list) -> list[Rule]:
     """Collect the (small) normalised rule table into Rule objects, in table order."""
     if isinstance(rules, list):
         return rules
-    rows = _with_line(normalize_rules(rules)).orderBy("line").collect()
+    # the rule table is collected once (tens of rows); file order kept by the row id
+    rows = normalize_rules(rules).withColumn("__mid", F.monotonically_increasing_id()).collect()
+    rows.sort(key=lambda r: r["__mid"])
     out = []
     for i, r in enumerate(rows):
         allowed = r["Valeurs_Autorisées"]
@@ -197,7 +202,8 @@ def compile_checks(df: DataFrame, rules: list[Rule]) -> tuple[list[Check], list[
         if rule.required:
             add("missing", is_missing(c, dt), "required value", F.lit(None).cast("string"))
         if typ == "numerique":
-            num = to_numeric(c, dt)
+            pre = f"__num__{rule.column}"
+            num = F.col(pre) if pre in df.columns else to_numeric(c, dt)
             if not is_numeric_type(dt):
                 add("not_numeric", present & num.isNull(), "numeric value")
             if rule.min is not None:
@@ -216,7 +222,8 @@ def compile_checks(df: DataFrame, rules: list[Rule]) -> tuple[list[Check], list[
                     add("bad_format", present & ~matches(c, fmt), f"format: {fmt}")
         elif typ == "date":
             fmt = rule.format or DEFAULT_DATE_FORMAT
-            parsed = to_date_fmt(c, dt, fmt)
+            pre = f"__dt__{rule.column}"
+            parsed = F.col(pre) if pre in df.columns else to_date_fmt(c, dt, fmt)
             add("bad_date", present & parsed.isNull(), f"format: {fmt}")
             if rule.min is not None:
                 add("date_below_min", parsed < F.lit(_parse_date_literal(rule.min)), f">= {rule.min}")
@@ -225,6 +232,23 @@ def compile_checks(df: DataFrame, rules: list[Rule]) -> tuple[list[Check], list[
     return checks, absent
 
 
+def add_typed_values(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Add the numeric / parsed-date form of every checked column once per row
+    (``__num__<col>``, ``__dt__<col>``); the checks then read these columns instead
+    of re-parsing the text in every check."""
+    new = {}
+    for rule in rules:
+        if rule.column is None or rule.column not in df.columns:
+            continue
+        dt = df.schema[rule.column].dataType
+        typ = (rule.type or "").lower()
+        if typ == "numerique" and (rule.min is not None or rule.max is not None or not is_numeric_type(dt)):
+            new[f"__num__{rule.column}"] = to_numeric(q(rule.column), dt)
+        elif typ == "date":
+            new[f"__dt__{rule.column}"] = to_date_fmt(q(rule.column), dt, rule.format or DEFAULT_DATE_FORMAT)
+    return df.withColumns(new) if new else df
+
+
 def _anomaly_struct(ch: Check) -> Column:
     return F.struct(F.lit(ch.column).alias("column_name"), F.lit(ch.code).alias("anomaly"),
                     ch.actual.cast("string").alias("actual_value"), F.lit(ch.expected).alias("expected"),
@@ -255,6 +279,7 @@ def detect_anomalies(df: DataFrame, rules: DataFrame | list, key=None) -> DataFr
     actual_value, expected, action). Fixed schema, also when nothing is found."""
     rule_list = load_rule_list(rules)
     d, k = key_column(df, key)
+    d = add_typed_values(d, rule_list)
     checks, absent = compile_checks(d, rule_list)
     found = (d.select(k.alias("row_key"), F.inline(anomaly_array(checks)))
              if checks else d.sparkSession.createDataFrame([], ANOMALY_SCHEMA))
@@ -291,7 +316,7 @@ def quality_stats(df: DataFrame, rules: DataFrame | list) -> DataFrame:
     completeness % per column, from one aggregate pass over ``df``.
     Output: metric, column_name, value (double)."""
     rule_list = load_rule_list(rules)
-    d = df
+    d = add_typed_values(df, rule_list)
     checks, absent = compile_checks(d, rule_list)
     n_found = F.size(anomaly_array(checks))
     aggs = [F.count(F.lit(1)).alias("n"),

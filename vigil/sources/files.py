@@ -76,16 +76,16 @@ def scan_json(spark: SparkSession, path: str, schema: T.StructType | None = None
 def with_row_key(df: DataFrame, order_by: str | None = None, name: str = "row_key") -> DataFrame:
     """Stable 1-based row key.
 
-    With ``order_by`` (unique values) the key is a distributed row number (G1);
-    without it, the position in file/partition order (``zipWithIndex``: one small job
-    counts rows per partition, then every partition numbers its own rows).
+    With ``order_by`` (unique values) the key is a distributed row number (G1) over
+    that column; without it, the position in file order: ``monotonically_increasing_id``
+    grows with (partition, row) and the distributed row number turns it into 1..n.
+    Rows never leave the JVM.
     """
+    from ..functions.ranking import row_number
     if order_by is not None:
-        from ..functions.ranking import row_number
         return row_number(df, order_by, name=name)
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(name, T.LongType(), False)])
-    rdd = df.rdd.zipWithIndex().map(lambda t: tuple(t[0]) + (t[1] + 1,))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    d = df.withColumn("__mid", F.monotonically_increasing_id())
+    return row_number(d, "__mid", name=name).drop("__mid")
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.rules import anomaly_array, compile_checks, load_rule_list
+from ..operators.rules import add_typed_values, anomaly_array, compile_checks, load_rule_list
 from ..session import ensure_checkpoint_dir
 
 
@@ -23,6 +23,7 @@ def detect_anomalies_stream(stream: DataFrame, rules, key: str, ts_col: str | No
     [, ts]) of a streaming (or batch) DataFrame. Rules whose column is absent raise,
     since a stream has no place for a one-off table-level row."""
     rule_list = load_rule_list(rules)
+    stream = add_typed_values(stream, rule_list)
     checks, absent = compile_checks(stream, rule_list)
     if absent:
         raise ValueError(f"columns missing from the stream: {[r.column for r in absent]}")
