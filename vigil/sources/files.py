@@ -40,7 +40,10 @@ def scan_delimited(spark: SparkSession, path: str, sep: str = ",", schema: T.Str
     n_tokens = F.size(F.split(F.col(_CORRUPT), sep_re))
     too_many = F.col(_CORRUPT).isNotNull() & (n_tokens > n_fields)
     good = raw.where(~too_many | F.col(_CORRUPT).isNull()).drop(_CORRUPT)
-    bad = raw.where(too_many).select(F.col(_CORRUPT).alias("line"))
+    # the skipped lines, from the raw text (the CSV reader may not project only its
+    # corrupt-record column); the header line has exactly n_fields tokens
+    text = spark.read.option("encoding", encoding).text(path)
+    bad = text.where(F.size(F.split(F.col("value"), sep_re)) > n_fields).select(F.col("value").alias("line"))
     if on_bad_bytes == "ignore":
         good = good.select(*[
             (F.translate(q(f.name), REPLACEMENT_CHAR, "") if isinstance(f.dataType, T.StringType) else q(f.name)).alias(f.name)
