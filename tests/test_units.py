@@ -252,3 +252,20 @@ def test_streaming_matches_batch(spark):
     counts = run_to_table(spark, anomaly_counts_by_window(s, fx.events_rules(spark), "event_id", "ts"))
     batch = detect_anomalies(fx.table(spark, SF_SMALL, "events"), fx.events_rules(spark), key="event_id")
     assert counts.agg(F.sum("n")).first()[0] == batch.count()
+
+
+def test_knn_exact_against_brute_force(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from vigil.ml.neighbors import KNN
+    rng = np.random.default_rng(11)
+    tr = pd.DataFrame({"a": rng.normal(size=300), "b": rng.normal(size=300)})
+    tr["label"] = (tr["a"] + tr["b"] > 0).astype(float)
+    te = pd.DataFrame({"a": rng.normal(size=50), "b": rng.normal(size=50), "qid": range(50)})
+    va = VectorAssembler(inputCols=["a", "b"], outputCol="features")
+    model = KNN(task="regression", k=5, pivots=8).fit(va.transform(spark.createDataFrame(tr)))
+    got = model.transform(va.transform(spark.createDataFrame(te))).select("qid", "prediction").toPandas()
+    got = got.sort_values("qid")["prediction"].to_numpy()
+    x, q = tr[["a", "b"]].to_numpy(), te[["a", "b"]].to_numpy()
+    d = ((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    want = np.array([tr["label"].to_numpy()[np.argsort(row, kind="stable")[:5]].mean() for row in d])
+    assert np.allclose(got, want)
