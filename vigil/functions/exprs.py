@@ -179,7 +179,7 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 def categorical_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields
-            if isinstance(f.dataType, (T.StringType, T.BooleanType, T.DateType, T.TimestampType))]
+            if isinstance(f.dataType, (T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))]
 
 
 def select_numeric(df: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 from ..session import ensure_checkpoint_dir
 
@@ -89,9 +90,14 @@ class AdaBoost(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
             alphas.append(alpha)
             nd = p.select(fc, lc, new_w.alias("__w"))
             tot = nd.agg(F.sum("__w")).first()[0]
+            prev = d
             d = nd.withColumn("__w", F.col("__w") / F.lit(tot))
             if (m + 1) % CHECKPOINT_EVERY == 0:
-                d = d.checkpoint(eager=True)
+                d = d.checkpoint(eager=True)      # reliable copy in the shared folder
+            else:
+                d = d.persist(StorageLevel.MEMORY_AND_DISK)
+                d.count()
+            prev.unpersist()
         model = AdaBoostModel(self.task, trees, alphas, fc, classes)
         return model
 

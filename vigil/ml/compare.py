@@ -91,8 +91,12 @@ def cross_val(data: DataFrame, name: str, task: str, key: str, folds: int = 5, s
         s = _score(predictions(m, va, None), task)
         return s["accuracy"] if task == CLASSIFICATION else s["r2"]
 
-    with ThreadPoolExecutor(max_workers=min(folds, 4)) as ex:
-        scores = list(ex.map(one, range(folds)))
+    d = d.persist(StorageLevel.MEMORY_AND_DISK)  # read by all k fits
+    try:
+        with ThreadPoolExecutor(max_workers=min(folds, 4)) as ex:
+            scores = list(ex.map(one, range(folds)))
+    finally:
+        d.unpersist()
     return float(sum(scores) / len(scores))
 
 

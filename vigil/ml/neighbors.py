@@ -2,12 +2,12 @@
 training row.
 
 Pivot pruning (metric-tree style, triangle inequality):
-1. ``P`` pivots are drawn from the training rows (seeded hash order; P x d numbers
-   on the driver, bounded by the parameter). Every training row goes to the cell of
+1. ``P`` pivots (default sqrt(n), between 16 and 1024) are drawn from the training
+   rows (seeded hash order; P x d numbers on the driver, bounded by the cap). Every training row goes to the cell of
    its nearest pivot; each cell keeps its radius (largest member distance) and size.
-2. For a query q, walking cells by increasing d(q, pivot) until k members are
-   covered gives an upper bound U on the k-th neighbour distance
-   (every member x of a cell c has d(q, x) <= d(q, p_c) + r_c).
+2. For a query q, the nearest cells (by pivot distance) holding at least k members
+   are searched exactly first; their k-th smallest distance U bounds the k-th
+   neighbour distance.
 3. Only cells with d(q, p_c) - r_c <= U can hold a neighbour; the query is joined
    with the members of those cells only, exact distances are computed with built-in
    array functions and the k smallest kept per query.
@@ -41,7 +41,7 @@ def _dist_udf(pivots: np.ndarray):
 
 
 class KNN(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
-    def __init__(self, task: str = "classification", k: int = 5, pivots: int = 64, seed: int = 42,
+    def __init__(self, task: str = "classification", k: int = 5, pivots: int | None = None, seed: int = 42,
                  featuresCol: str = "features", labelCol: str = "label"):
         super().__init__()
         if not 1 <= k <= 50:
@@ -54,8 +54,9 @@ class KNN(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
         ensure_checkpoint_dir(spark)
         fc, lc = self.getFeaturesCol(), self.getLabelCol()
         d = df.select(vector_to_array(fc).alias("x"), F.col(lc).cast("double").alias("y"))
+        n_piv = self.n_pivots or int(min(1024, max(16, d.count() ** 0.5)))
         piv = (d.withColumn("__h", F.xxhash64(F.col("x"), F.lit(self.seed))).orderBy("__h")
-               .limit(self.n_pivots).select("x").collect())
+               .limit(n_piv).select("x").collect())
         pivots = np.unique(np.array([r["x"] for r in piv], dtype=float), axis=0)
         train = d.withColumn("__d", _dist_udf(pivots)(F.col("x")))
         train = train.withColumn("cell", F.expr("array_position(__d, array_min(__d)) - 1").cast("int")) \
@@ -79,32 +80,42 @@ class KNNModel(Model, HasFeaturesCol, HasPredictionCol):
     def _transform(self, df: DataFrame) -> DataFrame:
         k = self.k
         radius, size, pivots = self.radius, self.size, self.pivots
+        n_piv = len(pivots)
         q = df.withColumn("__qid", F.monotonically_increasing_id()).checkpoint(eager=True)
+        live = size > 0
 
         @F.pandas_udf(T.ArrayType(T.IntegerType()))
-        def candidates(col: pd.Series) -> pd.Series:
-            out = []
+        def covering(col: pd.Series) -> pd.Series:
+            """Nearest cells (by pivot distance) that together hold at least k rows."""
             if len(col) == 0:
                 return pd.Series([], dtype=object)
             x = np.vstack(col.to_numpy())
             dist = np.sqrt(((x[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
-            live = size > 0
+            out = []
             for row in dist:
                 order = np.argsort(row)
                 order = order[live[order]]
-                cum = np.cumsum(size[order])
-                j = int(np.searchsorted(cum, k))  # first prefix covering k members
-                j = min(j, len(order) - 1)
-                upper = np.max(row[order[:j + 1]] + radius[order[:j + 1]])
-                keep = np.nonzero(live & (row - radius <= upper))[0]
-                out.append(keep.astype(np.int32).tolist())
+                j = min(int(np.searchsorted(np.cumsum(size[order]), k)), len(order) - 1)
+                out.append(order[:j + 1].astype(np.int32).tolist())
             return pd.Series(out)
 
-        qx = q.select("__qid", vector_to_array(self.getFeaturesCol()).alias("qx"))
-        cand = qx.select("__qid", "qx", F.explode(candidates(F.col("qx"))).alias("cell"))
-        pairs = cand.join(self.train.select("cell", "x", "y", "tid"), "cell")
+        train = self.train.select("cell", "x", "y", "tid")
         sq = F.aggregate(F.zip_with("qx", "x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
-        pairs = pairs.select("__qid", "tid", "y", sq.alias("d2"))
+        qx = q.select("__qid", vector_to_array(self.getFeaturesCol()).alias("qx"))
+        qx = qx.withColumn("pd", _dist_udf(pivots)(F.col("qx")))
+        # phase 1: exact k-th distance among the covering cells -> tight bound per query
+        p1 = qx.select("__qid", "qx", F.explode(covering(F.col("qx"))).alias("cell")).join(train, "cell")
+        p1 = p1.select("__qid", sq.alias("d2"))
+        w1 = Window.partitionBy("__qid").orderBy("d2")
+        bound = p1.withColumn("__rn", F.row_number().over(w1)).where(F.col("__rn") == k) \
+            .select("__qid", F.sqrt("d2").alias("ub"))
+        # phase 2: every cell that can hold a row within the bound (triangle inequality)
+        rad = F.array(*[F.lit(float(r) if np.isfinite(r) else -1e300) for r in radius])
+        cand_cells = F.filter(F.sequence(F.lit(0), F.lit(n_piv - 1)),
+                              lambda c: (F.element_at(rad, c + 1) > -1e299)
+                              & (F.element_at(F.col("pd"), c + 1) - F.element_at(rad, c + 1) <= F.col("ub") + 1e-9))
+        q2 = qx.join(bound, "__qid").select("__qid", "qx", F.explode(cand_cells).alias("cell"))
+        pairs = q2.join(train, "cell").select("__qid", "tid", "y", sq.alias("d2"))
         w = Window.partitionBy("__qid").orderBy("d2", "tid")
         top = pairs.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k)
         if self.task == "classification":
