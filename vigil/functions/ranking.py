@@ -99,15 +99,15 @@ def running_sum(df: DataFrame, order_col: str, sum_cols: Sequence[str], partitio
         nmax = F.lit(len(sp))
     if descending:
         bucket = nmax - bucket
-    d = df.withColumn(_BUCKET, bucket)
+    base = df.withColumn(_BUCKET, bucket)
 
     order = x.desc() if descending else x.asc()
     w = Window.partitionBy(*partition_cols, _BUCKET).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    for c in sum_cols:
-        d = d.withColumn(c + "__in", F.sum(F.col(c)).over(w))
+    d = base.withColumns({c + "__in": F.sum(F.col(c)).over(w) for c in sum_cols})
 
-    # per-range totals: at most (#partitions x buckets) rows
-    totals = d.groupBy(*partition_cols, _BUCKET).agg(*[F.sum(F.col(c)).alias(c + "__tot") for c in sum_cols])
+    # per-range totals straight from the input (partial aggregation, no second window
+    # evaluation): at most (#partitions x buckets) rows
+    totals = base.groupBy(*partition_cols, _BUCKET).agg(*[F.sum(F.col(c)).alias(c + "__tot") for c in sum_cols])
     wt = Window.partitionBy(*partition_cols).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*partition_cols, _BUCKET,
                             *[F.coalesce(F.sum(c + "__tot").over(wt), F.lit(0)).alias(c + "__off") for c in sum_cols])
@@ -145,15 +145,41 @@ def value_ranks(df: DataFrame, value_col: str, partition_cols: Sequence[str] = (
                     (F.col("cnt_before") + (F.col("cnt") + 1) / 2.0).alias("avg_rank"))
 
 
+EXACT_MAP_LIMIT = 1_000_000  # distinct values per group for the in-memory exact aggregate
+
+
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], partition_cols: Sequence[str] = (),
-                    split_groups: Sequence[str] | None = None, buckets: int | None = None) -> DataFrame:
+                    split_groups: Sequence[str] | None = None, buckets: int | None = None,
+                    map_limit: int = EXACT_MAP_LIMIT) -> DataFrame:
     """Exact linear-interpolated quantiles (numpy/pandas default, DuckDB ``quantile_cont``,
-    Spark ``percentile``) without a per-group value map: value counts -> distributed
-    running counts -> pick the order statistics around (n-1)p.
-
-    Output: partition_cols, p (double), q (double).
+    Spark ``percentile``). Output: partition_cols, p (double), q (double).
+
+    Strategy, decided per call from one small statistics job (when the groups are
+    few enough to list: no partition columns, or ``split_groups``):
+    - every group has at most ``map_limit`` distinct values (HyperLogLog estimate):
+      Spark's exact ``percentile`` aggregate, whose per-group state is a value->count
+      map of that bounded size;
+    - otherwise (or when groups cannot be listed): value counts -> distributed running
+      counts -> pick the order statistics around (n-1)p. No per-group value map.
     """
     partition_cols = list(partition_cols)
+    clean = df.where(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double")))
+    listable = not partition_cols or bool(split_groups)
+    if listable and map_limit:
+        groups = partition_cols
+        agg = F.approx_count_distinct(F.col(value_col)).alias("ndv")
+        stats = (clean.groupBy(*groups).agg(agg) if groups else clean.agg(agg)).collect()
+        if all((r["ndv"] or 0) <= map_limit for r in stats):
+            pq = F.percentile(F.col(value_col).cast("double"), [float(p) for p in probs]).alias("__q")
+            g = clean.groupBy(*partition_cols).agg(pq) if partition_cols else clean.agg(pq)
+            z = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"), F.col("__q").alias("q"))
+            return g.where(F.col("__q").isNotNull()).select(*partition_cols, F.inline(z))
+    return _exact_quantiles_ranked(clean, value_col, probs, partition_cols, split_groups, buckets)
+
+
+def _exact_quantiles_ranked(df: DataFrame, value_col: str, probs: Sequence[float], partition_cols: Sequence[str],
+                            split_groups: Sequence[str] | None, buckets: int | None) -> DataFrame:
+    partition_cols = list(partition_cols)
     counts = (df.where(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double")))
               .groupBy(*partition_cols, value_col).agg(F.count(F.lit(1)).alias("cnt")))
     r = running_sum(counts, value_col, ["cnt"], partition_cols, False, buckets, split_groups)
