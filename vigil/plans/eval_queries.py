@@ -95,11 +95,11 @@ def q_clean_target(spark, sf_dir):
 
 @register("clean_target_impute", DIRTY + """,
 m AS (SELECT avg(price) FILTER (WHERE NOT isnan(price)) AS m FROM dirty_orders)
-SELECT o_orderkey, o_custkey, CASE WHEN price IS NULL OR isnan(price) THEN (SELECT m FROM m) ELSE price END AS price,
+SELECT o_orderkey, o_custkey, round(CASE WHEN price IS NULL OR isnan(price) THEN (SELECT m FROM m) ELSE price END, 6) AS price,
   price_txt, status, date_txt, email, ratio, constant_col, priority FROM dirty_orders""")
 def q_clean_target_impute(spark, sf_dir):
     from ..operators.validate import clean_target
-    return clean_target(fx.dirty_orders(spark, sf_dir), "price", "impute")
+    return _round(clean_target(fx.dirty_orders(spark, sf_dir), "price", "impute"), 6, ["price"])
 
 
 @register("detect_task", """SELECT CASE WHEN true THEN 'classification' END AS task,

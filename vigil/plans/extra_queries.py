@@ -159,11 +159,11 @@ def q_corr_wide(spark, sf_dir):
 
 @register("impute_mean", DIRTY + """, m AS (SELECT avg(price) FILTER (WHERE NOT isnan(price)) AS p FROM dirty_orders),
 md AS (SELECT v FROM (SELECT status AS v, count(*) AS n FROM dirty_orders WHERE status IS NOT NULL GROUP BY 1) ORDER BY n DESC, v LIMIT 1)
-SELECT o_orderkey, o_custkey, CASE WHEN price IS NULL OR isnan(price) THEN (SELECT p FROM m) ELSE price END AS price,
+SELECT o_orderkey, o_custkey, round(CASE WHEN price IS NULL OR isnan(price) THEN (SELECT p FROM m) ELSE price END, 6) AS price,
   price_txt, coalesce(status, (SELECT v FROM md)) AS status, date_txt, email, ratio, constant_col, priority FROM dirty_orders""")
 def q_impute_mean(spark, sf_dir):
     from ..operators.correct import impute
-    return impute(fx.dirty_orders(spark, sf_dir), ["price", "status"], "mean")[0]
+    return _round(impute(fx.dirty_orders(spark, sf_dir), ["price", "status"], "mean")[0], 6, ["price"])
 
 
 @register("impute_median", DIRTY + """, m AS (SELECT quantile_cont(price, 0.5) FILTER (WHERE NOT isnan(price)) AS p FROM dirty_orders)

@@ -193,7 +193,7 @@ d2 AS (SELECT o_orderkey, o_custkey, price, price_txt, coalesce(status, (SELECT
               constant_col, priority FROM d1),
 d3 AS (SELECT * FROM d2 WHERE date_txt IS NOT NULL),
 med_r AS (SELECT quantile_cont(ratio, 0.5) AS m FROM d3 WHERE NOT isnan(ratio) AND abs(ratio) <> 'Infinity'::DOUBLE)
-SELECT o_orderkey, o_custkey, price, price_txt, status, date_txt, email,
+SELECT o_orderkey, o_custkey, round(price, 6) AS price, price_txt, status, date_txt, email,
   CASE WHEN ratio IS NULL OR isnan(ratio) OR abs(ratio) = 'Infinity'::DOUBLE THEN (SELECT m FROM med_r) ELSE ratio END AS ratio,
   priority
 FROM d3"""
@@ -206,7 +206,7 @@ def _apply(spark, sf_dir):
 
 @register("apply_corrections", APPLY_SQL)
 def q_apply_corrections(spark, sf_dir):
-    return _apply(spark, sf_dir)[0]
+    return _round(_apply(spark, sf_dir)[0], 6, ["price"])
 
 
 @register("apply_corrections_log")
