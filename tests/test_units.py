@@ -269,3 +269,23 @@ def test_knn_exact_against_brute_force(spark):
     d = ((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
     want = np.array([tr["label"].to_numpy()[np.argsort(row, kind="stable")[:5]].mean() for row in d])
     assert np.allclose(got, want)
+
+
+def test_sinks_and_report(spark, tmp_path):
+    from vigil.ml.features import split
+    from vigil.operators.report import data_section, evaluation_section, write_report
+    from vigil.sources import fixtures as fx
+    from vigil.sources.files import write_csv, write_split
+    from conftest import SF_SMALL
+    orders = fx.table(spark, SF_SMALL, "orders")
+    write_csv(orders.limit(10), str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 10
+    path = write_split(split(orders, "o_orderkey"), "o status/x:y", str(tmp_path))
+    assert path.endswith("o_status_x_y")
+    back = spark.read.parquet(path)
+    assert back.where("split = 'test'").count() == math.ceil(orders.count() * 0.2)
+    tables = {"data": data_section(orders, order_by="o_orderkey"),
+              "evaluation": evaluation_section(fx.scored_events(spark, SF_SMALL), "classification")}
+    target = write_report(tables, str(tmp_path), title="My report: v1")
+    rep = spark.read.parquet(target)
+    assert {r["section"] for r in rep.select("section").distinct().collect()} == {"data", "evaluation"}
