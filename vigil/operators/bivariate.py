@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 from ..functions.exprs import nan_to_null, numeric_columns, q
 from ..functions.normal import t_two_sided_p
@@ -137,30 +138,49 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None, method: str =
     raise ValueError(f"unknown method {method!r}")
 
 
-def _rank_columns(d: DataFrame, cols: Sequence[str]) -> DataFrame:
+def _rank_columns(d: DataFrame, cols: Sequence[str], ranks: DataFrame, sizes: dict) -> DataFrame:
     """Replace every column by its average rank among the rows (ties share the mean)."""
-    items = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("x")) for c in cols]
-    lv = d.select(F.inline(F.array(*items))).where(F.col("x").isNotNull())
-    ranks = value_ranks(lv, "x", ["column_name"], split_groups=["column_name"])
     out = d
     for c in cols:
         rc = ranks.where(F.col("column_name") == c).select(F.col("x").alias(f"__v_{c}"), F.col("avg_rank").alias(f"__r_{c}"))
-        out = out.join(broadcast_if_small(rc), F.col(c) == F.col(f"__v_{c}"), "left").drop(f"__v_{c}")
+        # rank tables have one row per distinct value: broadcast only when counted small
+        rc = F.broadcast(rc) if sizes.get(c, 0) <= BROADCAST_ROWS else rc
+        out = out.join(rc, F.col(c) == F.col(f"__v_{c}"), "left").drop(f"__v_{c}")
     return out.select(*[F.col(f"__r_{c}").alias(c) for c in cols])
 
 
+def _spearman_pairs(d: DataFrame, cols: Sequence[str]) -> list[tuple[str, str, float]]:
+    """Spearman coefficients of all column pairs of ``d`` (no NULLs inside ``d``)."""
+    items = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("x")) for c in cols]
+    lv = d.select(F.inline(F.array(*items))).where(F.col("x").isNotNull())
+    # the rank table is read once per column: keep it for the duration of this call
+    ranks = value_ranks(lv, "x", ["column_name"], split_groups=["column_name"]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        sizes = {r["column_name"]: r["n"] for r in ranks.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+        rk = _rank_columns(d, cols, ranks, sizes)
+        pairs = _pairs(cols)
+        row = rk.agg(*[F.corr(q(u), q(v)).alias(f"p{i}") for i, (u, v) in enumerate(pairs)]).first()
+        return [(u, v, row[f"p{i}"]) for i, (u, v) in enumerate(pairs)]
+    finally:
+        ranks.unpersist()
+
+
 def _spearman_long(d: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Spearman matrix; the k x k coefficients (an aggregate) come back to the driver,
+    which lets the shared rank table be persisted and released within the call."""
     nulls = d.agg(*[F.sum(F.when(F.col(c).isNull(), 1).otherwise(0)).alias(c) for c in cols]).first()
     if all(not nulls[c] for c in cols):
-        return _pearson_long(_rank_columns(d, cols), cols)
-    # some NULLs: rank each pair on its own pair-complete rows
-    out = None
-    for u, v in _pairs(cols):
-        sub = d.where(F.col(u).isNotNull() & F.col(v).isNotNull()).select(u, v)
-        r = _pearson_long(_rank_columns(sub, [u, v]), [u, v]).where(F.col("col_a") != F.col("col_b"))
-        out = r if out is None else out.unionByName(r)
-    diag = d.sparkSession.createDataFrame([(c, c, 1.0) for c in cols], "col_a string, col_b string, corr double")
-    return diag if out is None else out.unionByName(diag)
+        res = _spearman_pairs(d, cols)
+    else:
+        # some NULLs: rank each pair on its own pair-complete rows
+        res = []
+        for u, v in _pairs(cols):
+            sub = d.where(F.col(u).isNotNull() & F.col(v).isNotNull()).select(u, v)
+            res += _spearman_pairs(sub, [u, v])
+    rows = [(c, c, 1.0) for c in cols]
+    for u, v, r in res:
+        rows += [(u, v, r), (v, u, r)]
+    return d.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
 
 
 # --------------------------------------------------------------------------- B8

@@ -122,9 +122,33 @@ QUARTILES = [0.25, 0.5, 0.75]
 
 
 def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = QUARTILES) -> DataFrame:
-    """Exact quantiles of several numeric columns: column_name, p, q."""
-    lv = long_values(df, cols).where(F.col("x").isNotNull())
-    return exact_quantiles(lv, "x", probs, ["column_name"], split_groups=["column_name"])
+    """Exact quantiles of several numeric columns: column_name, p, q.
+
+    One wide pass estimates every column's distinct count (HyperLogLog). Columns whose
+    count is within ``EXACT_MAP_LIMIT`` get Spark's exact ``percentile`` in one wide
+    aggregate (no unpivot, bounded per-column state); the others go through the
+    distributed order statistics on the unpivoted values."""
+    from ..functions.ranking import EXACT_MAP_LIMIT
+    cols = list(cols)
+    spark = df.sparkSession
+    if not cols:
+        return spark.createDataFrame([], "column_name string, p double, q double")
+    xs = {c: nan_to_null(q(c).cast("double"), T.DoubleType()) for c in cols}
+    ndv = df.agg(*[F.approx_count_distinct(xs[c]).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    small = [c for i, c in enumerate(cols) if (ndv[f"d{i}"] or 0) <= EXACT_MAP_LIMIT]
+    big = [c for c in cols if c not in small]
+    out = None
+    if small:
+        pr = [float(p) for p in probs]
+        a = df.agg(*[F.percentile(xs[c], pr).alias(f"q{i}") for i, c in enumerate(small)])
+        items = [F.struct(F.lit(c).alias("column_name"), F.lit(p).alias("p"), F.col(f"q{i}")[j].alias("q"))
+                 for i, c in enumerate(small) for j, p in enumerate(pr)]
+        out = a.select(F.inline(F.array(*items))).where(F.col("q").isNotNull())
+    if big:
+        lv = long_values(df, big).where(F.col("x").isNotNull())
+        r = exact_quantiles(lv, "x", probs, ["column_name"], split_groups=["column_name"], map_limit=0)
+        out = r if out is None else out.unionByName(r)
+    return out
 
 
 def _wide_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
