@@ -289,3 +289,25 @@ def test_sinks_and_report(spark, tmp_path):
     target = write_report(tables, str(tmp_path), title="My report: v1")
     rep = spark.read.parquet(target)
     assert {r["section"] for r in rep.select("section").distinct().collect()} == {"data", "evaluation"}
+
+
+@pytest.mark.parametrize("task", ["classification", "regression"])
+def test_every_catalogue_model_fits(spark, task):
+    from vigil.ml.compare import compare_models
+    from vigil.ml.features import prepare
+    rng = np.random.default_rng(4)
+    n = 240
+    pdf = pd.DataFrame({"k": range(n), "x1": rng.normal(size=n), "x2": rng.normal(size=n),
+                        "c": rng.choice(["a", "b", "c"], size=n)})
+    pdf["y"] = (pdf["x1"] + 0.5 * pdf["x2"] > 0).astype(int) if task == "classification" else \
+        3.0 * pdf["x1"] - pdf["x2"] + rng.normal(scale=0.1, size=n)
+    d, t = prepare(spark.createDataFrame(pdf), "y", key="k", task=task)
+    res = compare_models(d, t, fast=True, key="k", params={"random_forest": {"n_estimators": 5},
+                                                            "extra_trees": {"n_estimators": 5},
+                                                            "gradient_boosting": {"n_estimators": 5},
+                                                            "adaboost": {"n_estimators": 3}})
+    rows = res.collect()
+    failed = [(r["model"], r["error"]) for r in rows if r["status"] != "success"]
+    assert not failed
+    primary = "accuracy" if task == "classification" else "r2"
+    assert max(r[primary] for r in rows) > 0.8
