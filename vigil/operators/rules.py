@@ -225,10 +225,14 @@ def compile_checks(df: DataFrame, rules: list[Rule]) -> tuple[list[Check], list[
             pre = f"__dt__{rule.column}"
             parsed = F.col(pre) if pre in df.columns else to_date_fmt(c, dt, fmt)
             add("bad_date", present & parsed.isNull(), f"format: {fmt}")
+            # bounds are validated on the driver and compared as session-time-zone
+            # timestamps, like the parsed values
             if rule.min is not None:
-                add("date_below_min", parsed < F.lit(_parse_date_literal(rule.min)), f">= {rule.min}")
+                lo = _parse_date_literal(rule.min).isoformat(sep=" ")
+                add("date_below_min", parsed < F.to_timestamp(F.lit(lo)), f">= {rule.min}")
             if rule.max is not None:
-                add("date_above_max", parsed > F.lit(_parse_date_literal(rule.max)), f"<= {rule.max}")
+                hi = _parse_date_literal(rule.max).isoformat(sep=" ")
+                add("date_above_max", parsed > F.to_timestamp(F.lit(hi)), f"<= {rule.max}")
     return checks, absent
 
 
