@@ -311,3 +311,11 @@ def test_every_catalogue_model_fits(spark, task):
     assert not failed
     primary = "accuracy" if task == "classification" else "r2"
     assert max(r[primary] for r in rows) > 0.8
+
+
+def test_first_k_per_group(spark):
+    from vigil.functions.ranking import first_k_per_group
+    pdf = pd.DataFrame({"g": ["a"] * 500 + ["b"] * 20, "k": list(range(500, 0, -1)) + list(range(20))})
+    out = first_k_per_group(spark.createDataFrame(pdf), "k", 30, ["g"], spread=4).toPandas()
+    assert sorted(out[out.g == "a"].k) == list(range(1, 31))
+    assert sorted(out[out.g == "b"].k) == list(range(20))

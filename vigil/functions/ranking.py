@@ -213,3 +213,22 @@ def _exact_quantiles_ranked(df: DataFrame, value_col: str, probs: Sequence[float
         F.min_by("v", "pos").alias("v_lo"), F.max_by("v", "pos").alias("v_hi"))
     return res.select(*partition_cols, "p",
                       (F.col("v_lo") + (F.col("h") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo"))).alias("q"))
+
+
+def first_k_per_group(df: DataFrame, order_col: str, k: int, partition_cols: Sequence[str],
+                      spread: int | None = None, tie_cols: Sequence[str] = ()) -> DataFrame:
+    """The ``k`` rows with the smallest ``order_col`` of every group (exact; ties at
+    the cut are broken by ``tie_cols``, so the result is deterministic when the order
+    key plus ``tie_cols`` identify the rows that matter).
+
+    Two-level top-k: rows are first spread over ``spread`` sub-groups (hash of the
+    order key), each sub-group keeps its own first k, then the group keeps the first k
+    of those at most spread * k rows. A group holding most of the rows is therefore
+    never sorted in one task; the second level is bounded by spread * k rows."""
+    spread = spread or max(1, shuffle_partitions(df.sparkSession))
+    partition_cols = list(partition_cols)
+    d = df.withColumn("__sub", F.pmod(F.xxhash64(F.col(order_col)), F.lit(spread)))
+    w1 = Window.partitionBy(*partition_cols, "__sub").orderBy(order_col, *tie_cols)
+    d = d.withColumn("__r1", F.row_number().over(w1)).where(F.col("__r1") <= k).drop("__r1", "__sub")
+    w2 = Window.partitionBy(*partition_cols).orderBy(order_col, *tie_cols)
+    return d.withColumn("__rk", F.row_number().over(w2)).where(F.col("__rk") <= k).drop("__rk")

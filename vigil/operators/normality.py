@@ -6,8 +6,8 @@ Royston's normalising transformation. Everything is Column arithmetic on a per-g
 sample of at most ``limit`` values:
 
 - the sample is the first ``limit`` values in ``order_by`` order (or in seeded hash
-  order when no key is given), found with the distributed row number, not a
-  single-partition window;
+  order when no key is given), found with a two-level top-k (per sub-group, then per
+  group), not a full sort or a single-partition window;
 - only the (<= limit)-row samples are sorted with a per-group window.
 
 Fixed values: the polynomial coefficients below are the published constants of
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from ..functions.exprs import nan_to_null, numeric_columns, q
 from ..functions.normal import add_inv_normal, add_norm_sf
-from ..functions.ranking import row_number
+from ..functions.ranking import first_k_per_group
 
 C1 = [0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056]
 C2 = [0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633]
@@ -57,9 +57,8 @@ def shapiro(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str]
         items.append(F.struct(F.lit(c).alias("column_name"), x.alias("x"), k.alias("k")))
     lv = df.select(*[q(b) for b in by], F.inline(F.array(*items))).where(F.col("x").isNotNull())
     parts = ["column_name", *by]
-    # first ``limit`` values of every group in key order
-    ranked = row_number(lv, "k", parts, name="__rn", split_groups=["column_name"])
-    sample = ranked.where(F.col("__rn") <= limit).select(*parts, "x")
+    # first ``limit`` values of every group in key order (two-level top-k, no full ranking)
+    sample = first_k_per_group(lv, "k", limit, parts, tie_cols=["x"]).select(*parts, "x")
 
     w_grp = Window.partitionBy(*parts)
     s = sample.withColumn("i", F.row_number().over(w_grp.orderBy("x")))
