@@ -139,7 +139,16 @@ def value_ranks(df: DataFrame, value_col: str, partition_cols: Sequence[str] = (
     Output: partition_cols, value_col, cnt, rank_lo (1-based first rank), avg_rank.
     """
     counts = df.where(F.col(value_col).isNotNull()).groupBy(*partition_cols, value_col).agg(F.count(F.lit(1)).alias("cnt"))
-    r = running_sum(counts, value_col, ["cnt"], partition_cols, False, buckets, split_groups)
+    return ranks_from_counts(counts, value_col, partition_cols, split_groups, buckets)
+
+
+def ranks_from_counts(counts: DataFrame, value_col: str, partition_cols: Sequence[str] = (),
+                      split_groups: Sequence[str] | None = None, buckets: int | None = None,
+                      splits: dict | None = None) -> DataFrame:
+    """``value_ranks`` on an already counted table (partition_cols, value_col, cnt) with
+    one row per distinct non-NULL value; lets a caller persist the counts once and
+    take split points, sizes and ranks from it."""
+    r = running_sum(counts, value_col, ["cnt"], partition_cols, False, buckets, split_groups, splits=splits)
     return r.select(*partition_cols, value_col, "cnt",
                     (F.col("cnt_before") + 1).alias("rank_lo"),
                     (F.col("cnt_before") + (F.col("cnt") + 1) / 2.0).alias("avg_rank"))

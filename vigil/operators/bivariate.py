@@ -12,7 +12,7 @@ from pyspark.storagelevel import StorageLevel
 
 from ..functions.exprs import nan_to_null, numeric_columns, q
 from ..functions.normal import t_two_sided_p
-from ..functions.ranking import exact_quantiles, value_ranks
+from ..functions.ranking import default_buckets, exact_quantiles, ranks_from_counts, split_points
 
 BROADCAST_ROWS = 200_000  # size check before a broadcast hint on a derived table
 
@@ -153,16 +153,24 @@ def _spearman_pairs(d: DataFrame, cols: Sequence[str]) -> list[tuple[str, str, f
     """Spearman coefficients of all column pairs of ``d`` (no NULLs inside ``d``)."""
     items = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("x")) for c in cols]
     lv = d.select(F.inline(F.array(*items))).where(F.col("x").isNotNull())
-    # the rank table is read once per column: keep it for the duration of this call
-    ranks = value_ranks(lv, "x", ["column_name"], split_groups=["column_name"]).persist(StorageLevel.MEMORY_AND_DISK)
+    # distinct values are counted once (one shuffle); split points, sizes and ranks all
+    # read the persisted counts, and the rank table is read once per column
+    counts = (lv.groupBy("column_name", "x").agg(F.count(F.lit(1)).alias("cnt"))
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    ranks = None
     try:
-        sizes = {r["column_name"]: r["n"] for r in ranks.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+        splits = split_points(counts, "x", default_buckets(counts), ["column_name"])
+        sizes = {r["column_name"]: r["n"] for r in counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+        ranks = ranks_from_counts(counts, "x", ["column_name"], ["column_name"], splits=splits
+                                  ).persist(StorageLevel.MEMORY_AND_DISK)
         rk = _rank_columns(d, cols, ranks, sizes)
         pairs = _pairs(cols)
         row = rk.agg(*[F.corr(q(u), q(v)).alias(f"p{i}") for i, (u, v) in enumerate(pairs)]).first()
         return [(u, v, row[f"p{i}"]) for i, (u, v) in enumerate(pairs)]
     finally:
-        ranks.unpersist()
+        if ranks is not None:
+            ranks.unpersist()
+        counts.unpersist()
 
 
 def _spearman_long(d: DataFrame, cols: Sequence[str]) -> DataFrame:
