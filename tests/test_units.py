@@ -319,3 +319,40 @@ def test_first_k_per_group(spark):
     out = first_k_per_group(spark.createDataFrame(pdf), "k", 30, ["g"], spread=4).toPandas()
     assert sorted(out[out.g == "a"].k) == list(range(1, 31))
     assert sorted(out[out.g == "b"].k) == list(range(20))
+
+
+@pytest.mark.parametrize("task,model", [("classification", "logistic_regression"), ("regression", "linear_regression")])
+def test_learning_curve_matches_separate_fits(spark, task, model):
+    """The fused train/validation scoring equals fitting and scoring every
+    (size, fold) cell on its own."""
+    from vigil.ml.compare import _score, n_classes, predictions, prepare_features
+    from vigil.ml.explain import learning_curve
+    from vigil.ml.features import prepare
+    from vigil.ml.models import make_estimator
+    rng = np.random.default_rng(9)
+    n = 300
+    pdf = pd.DataFrame({"k": range(n), "x1": rng.normal(size=n), "x2": rng.normal(size=n)})
+    pdf["y"] = (pdf["x1"] - pdf["x2"] + rng.normal(scale=0.8, size=n) > 0).astype(int) if task == "classification" \
+        else 2.0 * pdf["x1"] + rng.normal(scale=0.5, size=n)
+    d, t = prepare(spark.createDataFrame(pdf), "y", key="k", task=task)
+    _, data, _ = prepare_features(d)
+    data = data.where("split = 'train'")
+    got = learning_curve(data, model, t, "k", folds=3, sizes=3).toPandas()
+    seed, folds = 42, 3
+    dd = data.withColumn("__fold", F.pmod(F.xxhash64(F.col("k"), F.lit(seed)), F.lit(folds))) \
+        .withColumn("__u", F.pmod(F.xxhash64(F.col("k"), F.lit(seed + 1)), F.lit(1_000_003)) / 1_000_003.0)
+    primary = "accuracy" if t == "classification" else "r2"
+    for _, row in got.iterrows():
+        frac, trs, vas, ns = row["fraction"], [], [], []
+        for k in range(folds):
+            tr = dd.where((F.col("__fold") != k) & (F.col("__u") < frac + 1e-12))
+            va = dd.where(F.col("__fold") == k)
+            m = make_estimator(model, t, tr, None, True,
+                               n_classes=n_classes(tr) if t == "classification" else 2).fit(tr)
+            trs.append(_score(predictions(m, tr, None), t)[primary])
+            vas.append(_score(predictions(m, va, None), t)[primary])
+            ns.append(tr.count())
+        assert row["train_rows"] == pytest.approx(np.mean(ns))
+        assert row["train_mean"] == pytest.approx(np.mean(trs), rel=1e-9)
+        assert row["val_mean"] == pytest.approx(np.mean(vas), rel=1e-9)
+        assert row["val_std"] == pytest.approx(np.std(vas), rel=1e-9, abs=1e-12)

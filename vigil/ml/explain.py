@@ -35,26 +35,50 @@ def learning_curve(data: DataFrame, name: str, task: str, key: str, folds: int =
     fraction, train_rows (mean over folds), train_mean, train_std, val_mean, val_std
     (population std over folds), verdict (from the largest size: train - validation
     > 0.1 overfitting, < -0.05 underfitting, else balanced)."""
-    from .compare import _score, n_classes, predictions
+    from .compare import _score, predictions
     from .models import make_estimator
     d = data.withColumn("__fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds))) \
         .withColumn("__u", (F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(1_000_003)) / 1_000_003.0))
     fractions = [round(float(f), 6) for f in np.linspace(0.1, 1.0, sizes)]
     primary = "accuracy" if task == CLASSIFICATION else "r2"
 
+    classes = {}
+
     def run(job):
         frac, k = job
-        tr = d.where((F.col("__fold") != k) & (F.col("__u") < frac + 1e-12))
-        va = d.where(F.col("__fold") == k)
-        est = make_estimator(name, task, tr, params, fast, n_classes=n_classes(tr) if task == CLASSIFICATION else 2)
-        m = est.fit(tr)
-        s_tr = _score(predictions(m, tr, None), task)[primary]
-        s_va = _score(predictions(m, va, None), task)[primary]
-        return frac, k, tr.count(), s_tr, s_va
+        in_tr = (F.col("__fold") != k) & (F.col("__u") < frac + 1e-12)
+        in_va = F.col("__fold") == k
+        tr = d.where(in_tr)
+        nc = 2
+        if task == CLASSIFICATION:
+            # classes present in this training subset, from the labels x folds minima
+            nc = sum(1 for (_, f), u in classes.items() if f != k and u < frac + 1e-12)
+        m = make_estimator(name, task, tr, params, fast, n_classes=nc).fit(tr)
+        out = m.transform(d.where(in_tr | in_va).withColumn("__va", in_va))
+        if "__va" not in out.columns:
+            # a model whose output drops pass-through columns: score each side on its own
+            s_tr = _score(predictions(m, tr, None), task)[primary]
+            s_va = _score(predictions(m, d.where(in_va), None), task)[primary]
+            return frac, k, tr.count(), s_tr, s_va
+        # train and validation scores and the train size in one aggregate over both sides
+        y, yhat = F.col("label").cast("double"), F.col("prediction").cast("double")
+        if task == CLASSIFICATION:
+            score = F.avg(F.when(y == yhat, 1.0).otherwise(0.0))
+        else:
+            vy = F.var_pop(y)
+            score = F.when(vy > 0, F.lit(1.0) - F.avg((y - yhat) * (y - yhat)) / vy).otherwise(F.lit(float("nan")))
+        r = {row["__va"]: row for row in out.groupBy("__va").agg(F.count(F.lit(1)).alias("n"), score.alias("s")).collect()}
+        tr_row, va_row = r.get(False), r.get(True)
+        return (frac, k, tr_row["n"] if tr_row else 0, tr_row["s"] if tr_row else None,
+                va_row["s"] if va_row else None)
 
     jobs = [(f, k) for f in fractions for k in range(folds)]
     d = d.persist(StorageLevel.MEMORY_AND_DISK)  # read by every one of the size x fold fits
     try:
+        if task == CLASSIFICATION:
+            # one row per (class, fold): bounded by the number of classes
+            classes.update({(r["label"], r["__fold"]): r["u"] for r in
+                            d.groupBy("label", "__fold").agg(F.min("__u").alias("u")).collect()})
         with ThreadPoolExecutor(max_workers=max_workers) as ex:
             res = list(ex.map(run, jobs))
     finally:
