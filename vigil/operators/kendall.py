@@ -15,6 +15,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,9 @@ from pyspark.sql import types as T
 from ..functions.exprs import nan_to_null, q
 from ..functions.ranking import default_buckets, running_sum
 
+_DEC = "decimal(38,0)"  # exact pair counts for any row count
+_LONG_MAX = 2 ** 63 - 1
+
 
 def _dense_rank(d: DataFrame, col: str, out: str) -> DataFrame:
     """Attach the 0-based dense rank of ``col``: distinct values -> distributed
@@ -44,21 +49,25 @@ def kendall_tau(df: DataFrame, x: str, y: str, buckets: int | None = None) -> Da
     pairs = _dense_rank(pairs, "y", "ry").select("rx", "ry", "c")
     pairs = pairs.checkpoint(eager=True)  # reused by four aggregates below; cut lineage
 
-    stats = pairs.agg(F.max("rx").alias("mx"), F.max("ry").alias("my"), F.sum("c").alias("n")).first()
+    # pair counts t(t-1) exceed a long once one value holds ~3e9 rows: exact decimals
+    def twice_pairs(t):
+        return F.col(t).cast(_DEC) * (F.col(t) - F.lit(1)).cast(_DEC)
+
+    # (x, y) is unique per row of ``pairs``: ties on both need no grouping
+    stats = pairs.agg(F.max("rx").alias("mx"), F.max("ry").alias("my"), F.sum("c").alias("n"),
+                      F.sum(twice_pairs("c")).alias("t3")).first()
     n = int(stats["n"] or 0)
     if n < 2:
         return df.sparkSession.createDataFrame([(n, 0, 0, None)], "n long, n_concordant long, n_discordant long, tau double")
     mx, my = int(stats["mx"]), int(stats["my"])
     levels = max(1, mx.bit_length())
 
-    def tie_sum(frame, keys):
-        g = frame.groupBy(*keys).agg(F.sum("c").alias("t"))
-        return g.agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("s"))
-
-    # ties on x, on y, on both: small aggregates over the distinct pairs
-    n1 = tie_sum(pairs, ["rx"]).first()["s"] or 0
-    n2 = tie_sum(pairs, ["ry"]).first()["s"] or 0
-    n3 = tie_sum(pairs, ["rx", "ry"]).first()["s"] or 0
+    # ties on x and on y in one job: both rank columns unpivoted, grouped per side
+    sides = pairs.select(F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("rx").alias("k"), "c"),
+                                          F.struct(F.lit(1).alias("side"), F.col("ry").alias("k"), "c"))))
+    ties = {r["side"]: int(r["s"] or 0) for r in
+            sides.groupBy("side", "k").agg(F.sum("c").alias("t")).groupBy("side").agg(F.sum(twice_pairs("t")).alias("s")).collect()}
+    n1, n2, n3 = ties.get(0, 0) // 2, ties.get(1, 0) // 2, int(stats["t3"] or 0) // 2
 
     lv = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("l")
     e = pairs.select("rx", "ry", "c", lv)
@@ -70,12 +79,13 @@ def kendall_tau(df: DataFrame, x: str, y: str, buckets: int | None = None) -> Da
     # ry is a dense rank 0..my: uniform literal split points, no sampling pass needed
     splits = {(): sorted({int((my + 1) * i / b) for i in range(1, b)} - {0})}
     rs = running_sum(side, "ry", ["left"], ["l", "g"], descending=True, splits=splits)
-    disc = rs.agg(F.sum(F.col("right") * F.col("left_before")).alias("d")).first()["d"] or 0
+    disc = int(rs.agg(F.sum(F.col("right").cast(_DEC) * F.col("left_before").cast(_DEC)).alias("d")).first()["d"] or 0)
 
-    n0 = n * (n - 1) / 2
-    disc = int(disc)
-    conc = int(round(n0 - n1 - n2 + n3 - disc))
-    denom = ((n0 - n1) * (n0 - n2)) ** 0.5
+    # exact integer arithmetic on the driver (a handful of numbers)
+    n0 = n * (n - 1) // 2
+    conc = n0 - n1 - n2 + n3 - disc
+    denom = math.sqrt((n0 - n1) * (n0 - n2))
     tau = (conc - disc) / denom if denom > 0 else None
+    conc, disc = (v if v <= _LONG_MAX else None for v in (conc, disc))  # reported as long
     return df.sparkSession.createDataFrame([(n, conc, disc, tau)],
                                            "n long, n_concordant long, n_discordant long, tau double")
