@@ -134,9 +134,11 @@ def roc_auc(p: DataFrame, label: str = "label", score: str = "probability", pos_
     """E5: area under the ROC curve by the trapezoid rule over all distinct
     thresholds (ties handled exactly). Output: one row (auc)."""
     c = _cumulated(p, label, score, pos_label)
-    a = c.agg(F.sum(F.col("fp") * (F.col("tp_cum") + F.col("tp_before"))).alias("s"),
+    # count x count products pass the long range near 3e9 rows: exact decimals
+    twice_area = F.col("fp").cast("decimal(38,0)") * (F.col("tp_cum") + F.col("tp_before")).cast("decimal(38,0)")
+    a = c.agg(F.sum(twice_area).alias("s"),
               F.sum("tp").alias("P"), F.sum("fp").alias("N"))
-    return a.select((F.col("s") / (F.lit(2.0) * F.col("P") * F.col("N"))).alias("auc"))
+    return a.select((F.col("s").cast("double") / (F.lit(2.0) * F.col("P") * F.col("N"))).alias("auc"))
 
 
 def pr_curve(p: DataFrame, label: str = "label", score: str = "probability", pos_label=1.0) -> DataFrame:
