@@ -84,15 +84,21 @@ def cross_val(data: DataFrame, name: str, task: str, key: str, folds: int = 5, s
         raise ValueError("folds must be within [3, 10]")
     d = data.withColumn("__fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)))
 
+    folds_of = {}
+
     def one(k):
         tr, va = d.where(F.col("__fold") != k), d.where(F.col("__fold") == k)
-        m = make_estimator(name, task, tr, params, fast,
-                           n_classes=n_classes(tr) if task == CLASSIFICATION else 2).fit(tr)
+        # classes of the k-1 training folds, from the (class, fold) table
+        nc = len({c for c, f in folds_of if f != k}) if task == CLASSIFICATION else 2
+        m = make_estimator(name, task, tr, params, fast, n_classes=nc).fit(tr)
         s = _score(predictions(m, va, None), task)
         return s["accuracy"] if task == CLASSIFICATION else s["r2"]
 
     d = d.persist(StorageLevel.MEMORY_AND_DISK)  # read by all k fits
     try:
+        if task == CLASSIFICATION:
+            # one row per (class, fold): bounded by the number of classes
+            folds_of.update({(r["label"], r["__fold"]): True for r in d.select("label", "__fold").distinct().collect()})
         with ThreadPoolExecutor(max_workers=min(folds, 4)) as ex:
             scores = list(ex.map(one, range(folds)))
     finally:
