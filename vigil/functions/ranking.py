@@ -155,6 +155,19 @@ def ranks_from_counts(counts: DataFrame, value_col: str, partition_cols: Sequenc
 
 
 EXACT_MAP_LIMIT = 1_000_000  # distinct values per group for the in-memory exact aggregate
+# A global ``percentile`` / ``mode`` merges one partial value map per input partition in a
+# single task: bound the entries that task may receive (partitions x distinct values).
+EXACT_MERGE_LIMIT = 200_000_000
+
+
+def exact_map_ok(df: DataFrame, ndv) -> bool:
+    """True when Spark's map-based exact aggregate (``percentile``, ``mode``) is safe for a
+    column/group with about ``ndv`` distinct values: the map is bounded and so is the
+    final merge (the partitions are those of the aggregated input)."""
+    ndv = ndv or 0
+    if ndv > EXACT_MAP_LIMIT:
+        return False
+    return ndv * df.rdd.getNumPartitions() <= EXACT_MERGE_LIMIT
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], partition_cols: Sequence[str] = (),
@@ -178,7 +191,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], parti
         groups = partition_cols
         agg = F.approx_count_distinct(F.col(value_col)).alias("ndv")
         stats = (clean.groupBy(*groups).agg(agg) if groups else clean.agg(agg)).collect()
-        if all((r["ndv"] or 0) <= map_limit for r in stats):
+        if all((r["ndv"] or 0) <= map_limit and exact_map_ok(clean, r["ndv"]) for r in stats):
             pq = F.percentile(F.col(value_col).cast("double"), [float(p) for p in probs]).alias("__q")
             g = clean.groupBy(*partition_cols).agg(pq) if partition_cols else clean.agg(pq)
             z = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"), F.col("__q").alias("q"))

@@ -125,17 +125,17 @@ def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
     """Exact quantiles of several numeric columns: column_name, p, q.
 
     One wide pass estimates every column's distinct count (HyperLogLog). Columns whose
-    count is within ``EXACT_MAP_LIMIT`` get Spark's exact ``percentile`` in one wide
+    count (and partitions x count) is bounded (``exact_map_ok``) get Spark's exact ``percentile`` in one wide
     aggregate (no unpivot, bounded per-column state); the others go through the
     distributed order statistics on the unpivoted values."""
-    from ..functions.ranking import EXACT_MAP_LIMIT
+    from ..functions.ranking import exact_map_ok
     cols = list(cols)
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], "column_name string, p double, q double")
     xs = {c: nan_to_null(q(c).cast("double"), T.DoubleType()) for c in cols}
     ndv = df.agg(*[F.approx_count_distinct(xs[c]).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    small = [c for i, c in enumerate(cols) if (ndv[f"d{i}"] or 0) <= EXACT_MAP_LIMIT]
+    small = [c for i, c in enumerate(cols) if exact_map_ok(df, ndv[f"d{i}"])]
     big = [c for c in cols if c not in small]
     out = None
     if small:
