@@ -12,7 +12,7 @@ from pyspark.storagelevel import StorageLevel
 
 from ..functions.exprs import nan_to_null, numeric_columns, q
 from ..functions.normal import t_two_sided_p
-from ..functions.ranking import default_buckets, exact_quantiles, ranks_from_counts, split_points
+from ..functions.ranking import default_buckets, exact_quantiles, ranks_from_counts
 
 BROADCAST_ROWS = 200_000  # size check before a broadcast hint on a derived table
 
@@ -159,8 +159,13 @@ def _spearman_pairs(d: DataFrame, cols: Sequence[str]) -> list[tuple[str, str, f
               .persist(StorageLevel.MEMORY_AND_DISK))
     ranks = None
     try:
-        splits = split_points(counts, "x", default_buckets(counts), ["column_name"])
-        sizes = {r["column_name"]: r["n"] for r in counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+        # split points and rank-table sizes per column in one aggregate (one row per column)
+        b = default_buckets(counts)
+        stats = counts.groupBy("column_name").agg(
+            F.percentile_approx("x", [i / b for i in range(1, b)], 10000).alias("s"),
+            F.count(F.lit(1)).alias("n")).collect()
+        splits = {(r["column_name"],): sorted({v for v in (r["s"] or []) if v is not None}) for r in stats} if b > 1 else {}
+        sizes = {r["column_name"]: r["n"] for r in stats}
         ranks = ranks_from_counts(counts, "x", ["column_name"], ["column_name"], splits=splits
                                   ).persist(StorageLevel.MEMORY_AND_DISK)
         rk = _rank_columns(d, cols, ranks, sizes)
