@@ -121,6 +121,17 @@ def variable_types(df: DataFrame, max_int_levels: int = 10) -> DataFrame:
 QUARTILES = [0.25, 0.5, 0.75]
 
 
+def map_quantile_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
+    """Columns whose exact quantiles may use Spark's map-based ``percentile`` (one
+    HyperLogLog pass over all columns, then ``exact_map_ok``)."""
+    from ..functions.ranking import exact_map_ok
+    if not cols:
+        return []
+    xs = [nan_to_null(q(c).cast("double"), T.DoubleType()) for c in cols]
+    ndv = df.agg(*[F.approx_count_distinct(x).alias(f"d{i}") for i, x in enumerate(xs)]).first()
+    return [c for i, c in enumerate(cols) if exact_map_ok(df, ndv[f"d{i}"])]
+
+
 def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = QUARTILES) -> DataFrame:
     """Exact quantiles of several numeric columns: column_name, p, q.
 
@@ -128,14 +139,12 @@ def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
     count (and partitions x count) is bounded (``exact_map_ok``) get Spark's exact ``percentile`` in one wide
     aggregate (no unpivot, bounded per-column state); the others go through the
     distributed order statistics on the unpivoted values."""
-    from ..functions.ranking import exact_map_ok
     cols = list(cols)
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], "column_name string, p double, q double")
     xs = {c: nan_to_null(q(c).cast("double"), T.DoubleType()) for c in cols}
-    ndv = df.agg(*[F.approx_count_distinct(xs[c]).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    small = [c for i, c in enumerate(cols) if exact_map_ok(df, ndv[f"d{i}"])]
+    small = map_quantile_columns(df, cols)
     big = [c for c in cols if c not in small]
     out = None
     if small:
@@ -165,16 +174,26 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, decimals: int = 4
         x = nan_to_null(q(c).cast("double"), T.DoubleType())
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    mom = _to_rows(df.agg(*aggs), [
-        F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").cast("long").alias("count"),
-                 F.col(f"a{i}").alias("mean"), F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"),
-                 F.col(f"hi{i}").alias("max")) for i, c in enumerate(cols)])
+    fields = lambda i, c: [F.lit(c).alias("column_name"), F.col(f"n{i}").cast("long").alias("count"),
+                           F.col(f"a{i}").alias("mean"), F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"),
+                           F.col(f"hi{i}").alias("max")]
+    r = lambda c: F.round(F.col(c), decimals)
+    out = ["column_name", "count", r("mean").alias("mean"), r("std").alias("std"), r("min").alias("min"),
+           r("q25").alias("q25"), r("q50").alias("q50"), r("q75").alias("q75"), r("max").alias("max")]
+    if cols and len(map_quantile_columns(df, cols)) == len(cols):
+        # every column's exact quartiles fit the bounded map aggregate: moments and
+        # quartiles in one aggregate, one scan
+        pr = [float(p) for p in QUARTILES]
+        x = lambda c: nan_to_null(q(c).cast("double"), T.DoubleType())
+        a = df.agg(*aggs, *[F.percentile(x(c), pr).alias(f"pq{i}") for i, c in enumerate(cols)])
+        rows = _to_rows(a, [F.struct(*fields(i, c), *[F.col(f"pq{i}")[j].alias(f"q{int(round(p * 100))}")
+                                                      for j, p in enumerate(pr)]) for i, c in enumerate(cols)])
+        return rows.select(*out)
+    mom = _to_rows(df.agg(*aggs), [F.struct(*fields(i, c)) for i, c in enumerate(cols)])
     qs = _wide_quantiles(df, cols, QUARTILES)
     # both sides have one row per column: a tiny join
     j = mom.join(F.broadcast(qs), "column_name", "left")
-    r = lambda c: F.round(F.col(c), decimals)
-    return j.select("column_name", "count", r("mean").alias("mean"), r("std").alias("std"), r("min").alias("min"),
-                    r("q25").alias("q25"), r("q50").alias("q50"), r("q75").alias("q75"), r("max").alias("max"))
+    return j.select(*out)
 
 
 def table_profile(df: DataFrame) -> DataFrame:
