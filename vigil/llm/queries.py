@@ -41,3 +41,9 @@ def op5_line_dedup(spark, sf_dir):
     from .line_dedup import dedup_lines
     return dedup_lines(documents(spark, sf_dir)).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@register("op10_simhash")
+def op10_simhash(spark, sf_dir):
+    from .simhash import simhash_components
+    return simhash_components(documents(spark, sf_dir), shingle=3, limit=2)
