@@ -47,3 +47,9 @@ def op5_line_dedup(spark, sf_dir):
 def op10_simhash(spark, sf_dir):
     from .simhash import simhash_components
     return simhash_components(documents(spark, sf_dir), shingle=3, limit=2)
+
+
+@register("op4_language_id")
+def op4_language_id(spark, sf_dir):
+    from .lang_id import identify_languages
+    return identify_languages(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
