@@ -53,3 +53,27 @@ def op10_simhash(spark, sf_dir):
 def op4_language_id(spark, sf_dir):
     from .lang_id import identify_languages
     return identify_languages(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@register("op2_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (
+  SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS h,
+         min(page_id) OVER (PARTITION BY payload) AS first_id FROM p),
+b AS (
+  SELECT *, list_transform(range(0, 8), lambda i: CAST('0x' || substr(h, 5 * i + 1, 5) AS BIGINT)) AS words FROM d)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(((words[(i // 4) + 1] >> (15 - 5 * (i % 4))) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM b""")
+def op2_warc(spark, sf_dir):
+    from .common import scratch
+    from .warc import list_archives, read_warc, write_warc
+    folder = scratch(spark, "warc")
+    write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder, min_bytes=0)
+    return read_warc(spark, list_archives(spark, folder), with_payload=False).select(
+        F.expr("try_cast(regexp_extract(record_id, '^<urn:page:(.*)>$', 1) AS bigint)").alias("page_id"),
+        "payload_bytes", "payload_digest", "record_type",
+        F.when(F.col("refers_to").isNotNull(), F.expr("try_cast(regexp_extract(refers_to, '^<urn:page:(.*)>$', 1) AS bigint)")).alias("refers_to"))
