@@ -77,3 +77,36 @@ def op2_warc(spark, sf_dir):
         F.expr("try_cast(regexp_extract(record_id, '^<urn:page:(.*)>$', 1) AS bigint)").alias("page_id"),
         "payload_bytes", "payload_digest", "record_type",
         F.when(F.col("refers_to").isNotNull(), F.expr("try_cast(regexp_extract(refers_to, '^<urn:page:(.*)>$', 1) AS bigint)")).alias("refers_to"))
+
+
+MIX_ALPHA, MIX_SEED = 0.5, 17
+
+
+@register("op1_mixing", f"""
+WITH v AS (SELECT source, CAST(sum(length(coalesce(text, ''))) AS DOUBLE) AS volume FROM documents GROUP BY source),
+r AS (
+  SELECT source, CASE WHEN volume > 0 THEN pow(volume, {MIX_ALPHA}) / (SELECT sum(pow(volume, {MIX_ALPHA})) FROM v WHERE volume > 0)
+         * (SELECT sum(volume) FROM v) / volume ELSE 0 END AS rate FROM v),
+s AS (SELECT source, rate, CAST(greatest(1, ceil(rate / 256)) AS INTEGER) AS parts FROM r),
+pmf AS (
+  SELECT source, k, CASE WHEN rate > 0 THEN exp(k * ln(rate / parts) - rate / parts - lgamma(k + 1)) ELSE CAST(k = 0 AS INTEGER) END AS p
+  FROM (SELECT *, unnest(range(0, CAST(ceil(rate / parts + 9 * sqrt(rate / parts) + 21) AS INTEGER))) AS k FROM s)),
+cdf AS (SELECT source, list(c ORDER BY k) AS cs FROM (
+  SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM pmf) GROUP BY source),
+n AS (
+  SELECT d.*, s.rate, CAST(list_sum(list_transform(range(1, s.parts + 1), lambda i: len(list_filter(cdf.cs, lambda c:
+         c <= CAST('0x' || substr(md5('{MIX_SEED}:' || CAST(d.doc_id AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 1, 13) AS BIGINT)
+              / 4503599627370496.0)))) AS INTEGER) AS copies
+  FROM documents d JOIN s ON d.source IS NOT DISTINCT FROM s.source JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source)
+SELECT doc_id, text, lang, source, n_chars, round(rate, 9) AS rate, copies, copy,
+       substr(md5('{MIX_SEED}:' || CAST(doc_id AS VARCHAR) || ':' || CAST(copy AS VARCHAR) || ':place'), 1, 16) AS shuffle_key
+FROM (SELECT *, CAST(unnest(range(1, copies + 1)) AS INTEGER) AS copy FROM n)""")
+def op1_mixing(spark, sf_dir):
+    from .mixing import mix_sources
+    return mix_sources(documents(spark, sf_dir), alpha=MIX_ALPHA, seed=MIX_SEED).withColumn("rate", F.round("rate", 9))
+
+
+@register("op7_token_counts")
+def op7_token_counts(spark, sf_dir):
+    from .token_counts import token_counts
+    return token_counts(documents(spark, sf_dir))
