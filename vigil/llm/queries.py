@@ -110,3 +110,9 @@ def op1_mixing(spark, sf_dir):
 def op7_token_counts(spark, sf_dir):
     from .token_counts import token_counts
     return token_counts(documents(spark, sf_dir))
+
+
+@register("op8_lz_fingerprint")
+def op8_lz_fingerprint(spark, sf_dir):
+    from .lz_fingerprint import fingerprint_edits
+    return fingerprint_edits(documents(spark, sf_dir))
