@@ -116,3 +116,9 @@ def op7_token_counts(spark, sf_dir):
 def op8_lz_fingerprint(spark, sf_dir):
     from .lz_fingerprint import fingerprint_edits
     return fingerprint_edits(documents(spark, sf_dir))
+
+
+@register("op9_spann")
+def op9_spann(spark, sf_dir):
+    from .spann import nearest_neighbours
+    return nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, k=10)
