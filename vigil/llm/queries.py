@@ -122,3 +122,9 @@ def op8_lz_fingerprint(spark, sf_dir):
 def op9_spann(spark, sf_dir):
     from .spann import nearest_neighbours
     return nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@register("op3_packing")
+def op3_packing(spark, sf_dir):
+    from .packing import pack_documents
+    return pack_documents(documents(spark, sf_dir), capacity=2048, tokenizer="word_bpe_49k.json", with_ids=False)
