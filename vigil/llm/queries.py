@@ -128,3 +128,10 @@ def op9_spann(spark, sf_dir):
 def op3_packing(spark, sf_dir):
     from .packing import pack_documents
     return pack_documents(documents(spark, sf_dir), capacity=2048, tokenizer="word_bpe_49k.json", with_ids=False)
+
+
+@register("op6_substring_dedup")
+def op6_substring_dedup(spark, sf_dir):
+    from .substring_dedup import remove_repeated_substrings
+    return remove_repeated_substrings(documents(spark, sf_dir), width=50).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
