@@ -313,14 +313,6 @@ def test_every_catalogue_model_fits(spark, task):
     assert max(r[primary] for r in rows) > 0.8
 
 
-def test_first_k_per_group(spark):
-    from vigil.functions.ranking import first_k_per_group
-    pdf = pd.DataFrame({"g": ["a"] * 500 + ["b"] * 20, "k": list(range(500, 0, -1)) + list(range(20))})
-    out = first_k_per_group(spark.createDataFrame(pdf), "k", 30, ["g"], spread=4).toPandas()
-    assert sorted(out[out.g == "a"].k) == list(range(1, 31))
-    assert sorted(out[out.g == "b"].k) == list(range(20))
-
-
 @pytest.mark.parametrize("task,model", [("classification", "logistic_regression"), ("regression", "linear_regression")])
 def test_learning_curve_matches_separate_fits(spark, task, model):
     """The fused train/validation scoring equals fitting and scoring every
@@ -356,19 +348,3 @@ def test_learning_curve_matches_separate_fits(spark, task, model):
         assert row["train_mean"] == pytest.approx(np.mean(trs), rel=1e-9)
         assert row["val_mean"] == pytest.approx(np.mean(vas), rel=1e-9)
         assert row["val_std"] == pytest.approx(np.std(vas), rel=1e-9, abs=1e-12)
-
-
-def test_quantiles_without_map_aggregate_match(spark, monkeypatch):
-    """With the exact map aggregate ruled out (as for many partitions at scale), the
-    distributed order statistics give the same quartiles, medians and modes."""
-    import vigil.functions.ranking as R
-    from vigil.operators.correct import column_statistics
-    from vigil.operators.profile import describe
-    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
-    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    want = sorted(describe(li, cols).collect())
-    want_stats = column_statistics(li, median_cols=cols, mode_cols=["l_returnflag", "l_quantity"])
-    monkeypatch.setattr(R, "EXACT_MERGE_LIMIT", 0)
-    assert not R.exact_map_ok(li, 5)
-    assert sorted(describe(li, cols).collect()) == want
-    assert column_statistics(li, median_cols=cols, mode_cols=["l_returnflag", "l_quantity"]) == want_stats

@@ -13,10 +13,14 @@ hot value becomes one row and cannot overload a range.
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 from ..session import shuffle_partitions
 
@@ -65,7 +69,8 @@ def default_buckets(df: DataFrame) -> int:
 
 def running_sum(df: DataFrame, order_col: str, sum_cols: Sequence[str], partition_cols: Sequence[str] = (),
                 descending: bool = False, buckets: int | None = None, split_groups: Sequence[str] | None = None,
-                splits: dict | None = None, suffix_incl: str = "_cum", suffix_excl: str = "_before") -> DataFrame:
+                splits: dict | None = None, suffix_incl: str = "_cum", suffix_excl: str = "_before",
+                lead_cols: Sequence[str] = ()) -> DataFrame:
     """Add inclusive (``<c>_cum``) and exclusive (``<c>_before``) running sums of
     ``sum_cols`` ordered by ``order_col`` inside ``partition_cols``.
 
@@ -75,6 +80,7 @@ def running_sum(df: DataFrame, order_col: str, sum_cols: Sequence[str], partitio
     ``split_groups``: subset of ``partition_cols`` whose values get their own split
     points (use when partitions have different value ranges, e.g. one per column);
     default: one global set of split points. ``splits`` may be given directly.
+    ``lead_cols``: also the next row's value (``<c>_next``, NULL on a partition's last row).
     """
     buckets = buckets or default_buckets(df)
     partition_cols = list(partition_cols)
@@ -103,14 +109,18 @@ def running_sum(df: DataFrame, order_col: str, sum_cols: Sequence[str], partitio
 
     order = x.desc() if descending else x.asc()
     w = Window.partitionBy(*partition_cols, _BUCKET).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    d = base.withColumns({c + "__in": F.sum(F.col(c)).over(w) for c in sum_cols})
+    inner = {c + "__in": F.sum(F.col(c)).over(w) for c in sum_cols}
+    inner |= {c + "__lead": F.lead(c).over(Window.partitionBy(*partition_cols, _BUCKET).orderBy(order)) for c in lead_cols}
+    d = base.withColumns(inner)
 
     # per-range totals straight from the input (partial aggregation, no second window
     # evaluation): at most (#partitions x buckets) rows
-    totals = base.groupBy(*partition_cols, _BUCKET).agg(*[F.sum(F.col(c)).alias(c + "__tot") for c in sum_cols])
+    totals = base.groupBy(*partition_cols, _BUCKET).agg(*[F.sum(F.col(c)).alias(c + "__tot") for c in sum_cols],
+                                                          *[(F.max_by if descending else F.min_by)(c, order_col).alias(c + "__first") for c in lead_cols])
     wt = Window.partitionBy(*partition_cols).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*partition_cols, _BUCKET,
-                            *[F.coalesce(F.sum(c + "__tot").over(wt), F.lit(0)).alias(c + "__off") for c in sum_cols])
+                            *[F.coalesce(F.sum(c + "__tot").over(wt), F.lit(0)).alias(c + "__off") for c in sum_cols],
+                            *[F.lead(c + "__first").over(Window.partitionBy(*partition_cols).orderBy(_BUCKET)).alias(c + "__then") for c in lead_cols])
     if not partition_cols:
         # bounded by ``buckets`` rows: safe to broadcast
         offsets = F.broadcast(offsets)
@@ -119,6 +129,7 @@ def running_sum(df: DataFrame, order_col: str, sum_cols: Sequence[str], partitio
     for c in sum_cols:
         out_cols.append((F.col(c + "__off") + F.col(c + "__in")).alias(c + suffix_incl))
         out_cols.append((F.col(c + "__off") + F.col(c + "__in") - F.col(c)).alias(c + suffix_excl))
+    out_cols += [F.coalesce(c + "__lead", c + "__then").alias(c + "_next") for c in lead_cols]
     keep = [F.col(f"`{n}`") for n in df.columns]
     return d.select(*keep, *out_cols)
 
@@ -154,103 +165,116 @@ def ranks_from_counts(counts: DataFrame, value_col: str, partition_cols: Sequenc
                     (F.col("cnt_before") + (F.col("cnt") + 1) / 2.0).alias("avg_rank"))
 
 
-EXACT_MAP_LIMIT = 1_000_000  # distinct values per group for the in-memory exact aggregate
-# A global ``percentile`` / ``mode`` merges one partial value map per input partition in a
-# single task: bound the entries that task may receive (partitions x distinct values).
-EXACT_MERGE_LIMIT = 200_000_000
-
-
-def exact_map_ok(df: DataFrame, ndv) -> bool:
-    """True when Spark's map-based exact aggregate (``percentile``, ``mode``) is safe for a
-    column/group with about ``ndv`` distinct values: the map is bounded and so is the
-    final merge (the partitions are those of the aggregated input)."""
-    ndv = ndv or 0
-    if ndv > EXACT_MAP_LIMIT:
-        return False
-    return ndv * df.rdd.getNumPartitions() <= EXACT_MERGE_LIMIT
+def interpolate(v_lo, v_hi, weight) -> Column:
+    """Linear interpolation between two order statistics. Equal neighbours are returned as they
+    are, so infinite values never meet in a subtraction."""
+    return F.when(v_lo == v_hi, v_lo).when(weight == 0, v_lo).otherwise(v_lo + weight * (v_hi - v_lo))
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], partition_cols: Sequence[str] = (),
-                    split_groups: Sequence[str] | None = None, buckets: int | None = None,
-                    map_limit: int = EXACT_MAP_LIMIT) -> DataFrame:
+                    split_groups: Sequence[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (numpy/pandas default, DuckDB ``quantile_cont``,
     Spark ``percentile``). Output: partition_cols, p (double), q (double).
 
-    Strategy, decided per call from one small statistics job (when the groups are
-    few enough to list: no partition columns, or ``split_groups``):
-    - every group has at most ``map_limit`` distinct values (HyperLogLog estimate):
-      Spark's exact ``percentile`` aggregate, whose per-group state is a value->count
-      map of that bounded size;
-    - otherwise (or when groups cannot be listed): value counts -> distributed running
-      counts -> pick the order statistics around (n-1)p. No per-group value map.
-    """
+    One path at every size: value counts (map-side combined, a hot value is one row), then
+    the order statistics around (n-1)p. Groups that can be listed (no partition columns, or all of
+    them in ``split_groups``) go through ``quantiles_from_counts``; otherwise running counts
+    over all values are joined with the wanted positions."""
     partition_cols = list(partition_cols)
     clean = df.where(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double")))
-    listable = not partition_cols or bool(split_groups)
-    if listable and map_limit:
-        groups = partition_cols
-        agg = F.approx_count_distinct(F.col(value_col)).alias("ndv")
-        stats = (clean.groupBy(*groups).agg(agg) if groups else clean.agg(agg)).collect()
-        if all((r["ndv"] or 0) <= map_limit and exact_map_ok(clean, r["ndv"]) for r in stats):
-            pq = F.percentile(F.col(value_col).cast("double"), [float(p) for p in probs]).alias("__q")
-            g = clean.groupBy(*partition_cols).agg(pq) if partition_cols else clean.agg(pq)
-            z = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"), F.col("__q").alias("q"))
-            return g.where(F.col("__q").isNotNull()).select(*partition_cols, F.inline(z))
-    return _exact_quantiles_ranked(clean, value_col, probs, partition_cols, split_groups, buckets)
-
-
-def _exact_quantiles_ranked(df: DataFrame, value_col: str, probs: Sequence[float], partition_cols: Sequence[str],
-                            split_groups: Sequence[str] | None, buckets: int | None) -> DataFrame:
-    partition_cols = list(partition_cols)
-    counts = (df.where(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double")))
-              .groupBy(*partition_cols, value_col).agg(F.count(F.lit(1)).alias("cnt")))
+    counts = clean.groupBy(*partition_cols, value_col).agg(F.count(F.lit(1)).alias("cnt"))
+    if not partition_cols or set(partition_cols) <= set(split_groups or ()):
+        counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return quantiles_from_counts(counts, value_col, probs, partition_cols, buckets)
+        finally:
+            counts.unpersist()
+    return _quantiles_ranked(counts, value_col, probs, partition_cols, split_groups, buckets)
+
+
+def quantiles_from_counts(counts: DataFrame, value_col: str, probs: Sequence[float], groups: Sequence[str] = (),
+                          buckets: int | None = None) -> DataFrame:
+    """Quantiles of few, listable groups from a counted table (groups, value_col, cnt), which is read
+    three times (persist it): split points, totals per range (groups x buckets rows to the driver),
+    and the sort of only those ranges that hold a wanted position."""
+    spark, groups = counts.sparkSession, list(groups)
+    schema = T.StructType([counts.schema[g] for g in groups] + [T.StructField("p", T.DoubleType()), T.StructField("q", T.DoubleType())])
+    buckets = buckets or default_buckets(counts)
+    splits = split_points(counts, value_col, buckets, groups)
+    ranged = counts.withColumn(_BUCKET, _bucket_of(F.col(value_col), splits, groups))
+    totals: dict = {}
+    for r in ranged.groupBy(*groups, _BUCKET).agg(F.sum("cnt").alias("t")).collect():
+        totals.setdefault(tuple(r[g] for g in groups), {})[r[_BUCKET]] = r["t"]
+    wanted, ranges = [], {}  # (group, p, weight, position), and per range the rows before it
+    for g, by in totals.items():
+        n, before, starts = sum(by.values()), 0, []
+        for b in sorted(by):
+            starts.append((before, b))
+            before += by[b]
+        for p in probs:
+            h = float(p) * (n - 1)
+            lo = min(int(math.floor(h)), n - 1)
+            for pos in {lo, min(lo + 1, n - 1)}:
+                start, b = starts[bisect.bisect_right(starts, (pos, math.inf)) - 1]
+                ranges[(g, b)] = start
+            wanted.append((g, float(p), h - lo, lo, min(lo + 1, n - 1)))
+    if not wanted:
+        return spark.createDataFrame([], schema)
+    hit = spark.createDataFrame([(*g, b, int(s)) for (g, b), s in ranges.items()],
+                                T.StructType([counts.schema[g] for g in groups] + [T.StructField(_BUCKET, T.IntegerType()), T.StructField("__start", T.LongType())]))
+    keys = [*groups, _BUCKET]
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(f"a.{k}").eqNullSafe(F.col(f"h.{k}"))
+    # at most two ranges a group and probability: a bounded broadcast
+    near = ranged.alias("a").join(F.broadcast(hit).alias("h"), cond).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col(f"a.{value_col}").alias(value_col), "cnt", "__start")
+    w = Window.partitionBy(*keys).orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("__end", F.col("__start") + F.sum("cnt").over(w))
+    spots = sorted({(g, pos) for g, _, _, lo, hi in wanted for pos in (lo, hi)}, key=str)
+    spot = F.broadcast(spark.createDataFrame([(*g, int(pos)) for g, pos in spots],
+                                             T.StructType([counts.schema[g] for g in groups] + [T.StructField("__pos", T.LongType())])))
+    cond = (F.col("__pos") < F.col("__end")) & (F.col("__pos") >= F.col("__end") - F.col("cnt"))
+    for g in groups:
+        cond = cond & F.col(f"n.{g}").eqNullSafe(F.col(f"s.{g}"))
+    found = {}
+    for r in near.alias("n").join(spot.alias("s"), cond).select(*[F.col(f"s.{g}").alias(g) for g in groups], "__pos", F.col(value_col).cast("double").alias("__v")).collect():
+        found[(tuple(r[g] for g in groups), r["__pos"])] = r["__v"]
+    rows = []
+    for g, p, weight, lo, hi in wanted:
+        a, b = found[(g, lo)], found[(g, hi)]
+        rows.append((*g, p, a if a == b or weight == 0 else a + weight * (b - a)))
+    return spark.createDataFrame(rows, schema)
+
+
+def _bucket_of(x: Column, splits: dict, groups: Sequence[str]) -> Column:
+    """Range of ``x`` by the split points of its group."""
+    if not groups:
+        return _bucket_tree(x, splits.get((), []))
+    bucket = F.lit(0)
+    for key, sp in splits.items():
+        cond = F.lit(True)
+        for g, v in zip(groups, key):
+            cond = cond & F.col(g).eqNullSafe(F.lit(v))
+        bucket = F.when(cond, _bucket_tree(x, sp)).otherwise(bucket)
+    return bucket
+
+
+def _quantiles_ranked(counts: DataFrame, value_col: str, probs: Sequence[float], partition_cols: Sequence[str],
+                      split_groups: Sequence[str] | None, buckets: int | None) -> DataFrame:
     r = running_sum(counts, value_col, ["cnt"], partition_cols, False, buckets, split_groups)
-    tot = counts.groupBy(*partition_cols).agg(F.sum("cnt").alias("n"))
-    pr = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
-    targets = tot.select(*partition_cols, "n", pr)
-    targets = targets.select(*partition_cols, "n", "p",
-                             (F.col("p") * (F.col("n") - 1)).alias("h"))
-    targets = targets.select(*partition_cols, "p", "h",
-                             F.floor("h").cast("long").alias("lo"),
-                             F.least(F.ceil("h").cast("long"), F.col("n") - 1).alias("hi"))
-    # 0-based positions lo and hi; a value covers positions [cnt_before, cnt_cum-1]
+    targets = counts.groupBy(*partition_cols).agg(F.sum("cnt").alias("n")).select(
+        *partition_cols, "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+    targets = targets.withColumn("h", F.col("p") * (F.col("n") - 1)).withColumn("lo", F.floor("h").cast("long"))
+    # 0-based positions lo and hi; a value covers positions [cnt_before, cnt_cum-1]. Both sides are
+    # shuffled by the group: its wanted positions are few, and AQE splits a group with many values
     gk = [f"__g{i}" for i in range(len(partition_cols))]
     pos = targets.select(*[F.col(c).alias(g) for c, g in zip(partition_cols, gk)], "p", "h", "lo",
-                         F.explode(F.array_distinct(F.array("lo", "hi"))).alias("pos"))
-    if not partition_cols or split_groups or pos.count() <= 200_000:
-        # (#groups x #probs x 2) rows, size checked: broadcast it, so a group holding
-        # most of the values is never funnelled into one join task
-        pos = F.broadcast(pos)
+                         F.explode(F.array_distinct(F.array("lo", F.least(F.col("lo") + 1, F.col("n") - 1)))).alias("pos"))
+    cond = (F.col("pos") >= F.col("cnt_before")) & (F.col("pos") < F.col("cnt_cum"))
+    for c, g in zip(partition_cols, gk):
+        cond = cond & F.col(g).eqNullSafe(F.col(c))
     rr = r.select(*partition_cols, F.col(value_col).cast("double").alias("__v"), "cnt_before", "cnt_cum")
-    cond = [F.col(g).eqNullSafe(F.col(c)) for c, g in zip(partition_cols, gk)]
-    cond += [(F.col("pos") >= F.col("cnt_before")), (F.col("pos") < F.col("cnt_cum"))]
-    join_cond = cond[0]
-    for c in cond[1:]:
-        join_cond = join_cond & c
-    # range join: each (group, p) matches exactly the one or two values covering lo/hi
-    hit = pos.join(rr, on=join_cond, how="inner").select(
-        *[F.col(g).alias(c) for c, g in zip(partition_cols, gk)], "p", "h", "lo", "pos", F.col("__v").alias("v"))
-    res = hit.groupBy(*partition_cols, "p").agg(
-        F.first("h").alias("h"), F.first("lo").alias("lo"),
-        F.min_by("v", "pos").alias("v_lo"), F.max_by("v", "pos").alias("v_hi"))
-    return res.select(*partition_cols, "p",
-                      (F.col("v_lo") + (F.col("h") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo"))).alias("q"))
-
-
-def first_k_per_group(df: DataFrame, order_col: str, k: int, partition_cols: Sequence[str],
-                      spread: int | None = None, tie_cols: Sequence[str] = ()) -> DataFrame:
-    """The ``k`` rows with the smallest ``order_col`` of every group (exact; ties at
-    the cut are broken by ``tie_cols``, so the result is deterministic when the order
-    key plus ``tie_cols`` identify the rows that matter).
-
-    Two-level top-k: rows are first spread over ``spread`` sub-groups (hash of the
-    order key), each sub-group keeps its own first k, then the group keeps the first k
-    of those at most spread * k rows. A group holding most of the rows is therefore
-    never sorted in one task; the second level is bounded by spread * k rows."""
-    spread = spread or max(1, shuffle_partitions(df.sparkSession))
-    partition_cols = list(partition_cols)
-    d = df.withColumn("__sub", F.pmod(F.xxhash64(F.col(order_col)), F.lit(spread)))
-    w1 = Window.partitionBy(*partition_cols, "__sub").orderBy(order_col, *tie_cols)
-    d = d.withColumn("__r1", F.row_number().over(w1)).where(F.col("__r1") <= k).drop("__r1", "__sub")
-    w2 = Window.partitionBy(*partition_cols).orderBy(order_col, *tie_cols)
-    return d.withColumn("__rk", F.row_number().over(w2)).where(F.col("__rk") <= k).drop("__rk")
+    hit = pos.join(rr, on=cond).select(*[F.col(g).alias(c) for c, g in zip(partition_cols, gk)], "p", "h", "lo", "pos", F.col("__v").alias("v"))
+    res = hit.groupBy(*partition_cols, "p").agg(F.first("h").alias("h"), F.first("lo").alias("lo"),
+                                                F.min_by("v", "pos").alias("v_lo"), F.max_by("v", "pos").alias("v_hi"))
+    return res.select(*partition_cols, "p", interpolate(F.col("v_lo"), F.col("v_hi"), F.col("h") - F.col("lo")).alias("q"))

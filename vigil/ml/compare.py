@@ -159,8 +159,8 @@ def best_model(results: DataFrame, task: str) -> DataFrame:
                   F.max(primary).alias(primary))
 
 
-def feature_importance(model, names: list[str], top: int = 10) -> DataFrame:
-    """Tree feature importances sorted descending, top ``top`` with their share
+def feature_importance(model, names: list[str], top: int | None = None) -> DataFrame:
+    """Tree feature importances sorted descending (the first ``top`` if given) with their share
     of the total (%). ``model`` is a fitted tree model or a PipelineModel ending in one."""
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()

@@ -9,13 +9,14 @@ Attributions: permutation-sampling Shapley values (Strumbelj & Kononenko 2014).
 each explained row and permutation, a background row is walked towards the row one
 feature at a time; the d+1 intermediate vectors of all (row, permutation) pairs are
 scored by ONE distributed ``model.transform`` and the successive differences are the
-contributions. Explained rows and background rows are bounded samples (the
-sampling is the feature); the work is rows x permutations x (d + 1) model calls.
+contributions. All distinct rows are explained, each weighted by its count; permutations and
+background rows are the sampling. The work is rows x permutations x (d + 1) model calls.
 For linear models the exact value w_j (x_j - E[x_j]) is available too.
 """
 
 from __future__ import annotations
 
+import hashlib
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -98,24 +99,27 @@ def verdict(train_score: float, val_score: float) -> str:
     return "overfitting" if gap > 0.1 else ("underfitting" if gap < -0.05 else "balanced")
 
 
-def shapley_importance(model, data: DataFrame, names: list[str], n_rows: int = 100, n_perm: int = 20,
-                       n_background: int = 100, top: int = 20, seed: int = 42, features: str = "features",
+def shapley_importance(model, data: DataFrame, names: list[str], n_rows: int | None = None, n_perm: int = 20,
+                       n_background: int = 100, top: int | None = None, seed: int = 42, features: str = "features",
                        binary: bool = False) -> DataFrame:
-    """Mean |Shapley value| per feature, top ``top``. ``model`` scores a vector
-    column ``features``; for binary classifiers (``binary``) the positive-class
-    probability is explained, otherwise the prediction."""
-    spark = data.sparkSession
-    arr = data.select(vector_to_array(features).alias("x"), F.xxhash64(vector_to_array(features), F.lit(seed)).alias("h"))
-    rows = arr.orderBy("h").limit(n_rows).select("x")
-    bg = np.array([r["x"] for r in arr.orderBy(F.xxhash64("x", F.lit(seed + 7))).limit(n_background).collect()], float)
+    """Mean |Shapley value| per feature over all rows of ``data`` (a hash sample of ``n_rows`` distinct
+    vectors if given), the first ``top`` features if given. ``model`` scores a vector column ``features``;
+    for binary classifiers (``binary``) the positive-class probability is explained, otherwise the
+    prediction. Equal vectors are explained once and weigh as often as they occur."""
+    arr = data.select(vector_to_array(features).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("weight"))
+    rows = arr if n_rows is None else arr.orderBy(F.xxhash64("x", F.lit(seed)), "x").limit(n_rows)
+    bg = np.array([r["x"] for r in arr.orderBy(F.xxhash64("x", F.lit(seed + 7)), "x").limit(n_background).collect()], float)
+    if not len(bg):
+        return data.sparkSession.createDataFrame([], "feature string, importance double")
     dim = bg.shape[1]
 
     def walks(it):
         for pdf in it:
             out_row, out_perm, out_pos, out_feat, out_vec = [], [], [], [], []
-            for rid, x in zip(pdf["rid"], pdf["x"]):
+            for x in pdf["x"]:
                 x = np.asarray(x, float)
-                rng = np.random.default_rng([seed, int(rid) & 0x7FFFFFFFFFFFFFFF])
+                rid = hashlib.md5(x.tobytes()).hexdigest()  # the vector itself, so equal draws on every run
+                rng = np.random.default_rng([seed, int(rid[:15], 16)])
                 for p in range(n_perm):
                     perm = rng.permutation(dim)
                     v = bg[rng.integers(len(bg))].copy()
@@ -128,8 +132,12 @@ def shapley_importance(model, data: DataFrame, names: list[str], n_rows: int = 1
             yield pd.DataFrame({"rid": out_row, "perm": out_perm, "pos": out_pos, "feat": out_feat,
                                 "v": [list(a) for a in out_vec]})
 
-    ids = rows.withColumn("rid", F.xxhash64("x"))
-    walked = ids.mapInPandas(walks, "rid long, perm int, pos int, feat int, v array<double>")
+    def key(it):
+        for pdf in it:
+            yield pd.DataFrame({"rid": [hashlib.md5(np.asarray(x, float).tobytes()).hexdigest() for x in pdf["x"]], "weight": pdf["weight"]})
+
+    walked = rows.select("x").mapInPandas(walks, "rid string, perm int, pos int, feat int, v array<double>")
+    weights = rows.mapInPandas(key, "rid string, weight long")
     scored = model.transform(walked.withColumn(features, array_to_vector("v")))
     if binary and "probability" in scored.columns:
         f = vector_to_array("probability")[1]
@@ -139,14 +147,14 @@ def shapley_importance(model, data: DataFrame, names: list[str], n_rows: int = 1
     w = Window.partitionBy("rid", "perm").orderBy("pos")
     contrib = s.withColumn("c", F.col("f") - F.lag("f").over(w)).where(F.col("pos") > 0)
     phi = contrib.groupBy("rid", "feat").agg(F.avg("c").alias("phi"))
-    imp = phi.groupBy("feat").agg(F.avg(F.abs("phi")).alias("importance"))
+    imp = phi.join(weights, "rid").groupBy("feat").agg((F.sum(F.abs("phi") * F.col("weight")) / F.sum("weight")).alias("importance"))
     name_map = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(i), F.lit(n))])
-    return imp.select(name_map[F.col("feat")].alias("feature"), "importance") \
-        .orderBy(F.desc("importance"), "feature").limit(top)
+    out = imp.select(name_map[F.col("feat")].alias("feature"), "importance").orderBy(F.desc("importance"), "feature")
+    return out if top is None else out.limit(top)
 
 
 def shapley_linear(coefficients: list[float], names: list[str], data: DataFrame, features: str = "features",
-                   top: int = 20) -> DataFrame:
+                   top: int | None = None) -> DataFrame:
     """E14, exact for linear models: phi_j = w_j (x_j - mean_j); importance =
     |w_j| * mean |x_j - mean_j| over the rows."""
     x = vector_to_array(features)

@@ -208,10 +208,18 @@ class _TEReader(MLReader):
 
 
 # --------------------------------------------------------------------------- F4
+ROLE = "vigil_role"  # column metadata: a row key is no feature
+
+
+def mark_key(df: DataFrame, key: str) -> DataFrame:
+    return df.withMetadata(key, {**(df.schema[key].metadata or {}), ROLE: "key"})
+
+
 def route_columns(df: DataFrame, target: str, max_onehot: int = 100) -> dict:
     """F4 routing: numeric -> F1; string with <= 100 distinct -> F2; > 100 -> F3;
-    everything else (boolean, dates, nested) is dropped and reported."""
-    feats = [f for f in df.schema.fields if f.name != target]
+    everything else (boolean, dates, nested) is dropped and reported; a column marked as
+    key is not routed at all."""
+    feats = [f for f in df.schema.fields if f.name != target and (f.metadata or {}).get(ROLE) != "key"]
     num = [f.name for f in feats if is_numeric_type(f.dataType)]
     strings = [f.name for f in feats if isinstance(f.dataType, T.StringType)]
     dropped = [f.name for f in feats if f.name not in num and f.name not in strings]
@@ -280,14 +288,17 @@ def feature_names(model_df: DataFrame, features_col: str = "features") -> list[s
 # --------------------------------------------------------------------------- F5 / F6
 def split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42, split_col: str = "split") -> DataFrame:
     """exact-size seeded split: rows ranked by xxhash64(key, seed) (distributed
-    row number); the first ceil(n * test_size) are ``test``. Stable under any
-    repartitioning, unlike ``randomSplit``."""
+    row number); the first ceil(n * test_size) are ``test``. Rows that share a key are told
+    apart by a hash of the whole row, so the split is stable under any repartitioning,
+    unlike ``randomSplit``."""
     if not 0.05 <= test_size <= 0.5:
         raise ValueError("test_size must be within [0.05, 0.5]")
     from ..functions.ranking import row_number
     n = df.count()
     n_test = int(math.ceil(n * test_size))
-    h = df.withColumn("__h", F.xxhash64(q(key), F.lit(seed)))
+    # high bits: the key; low bits: the whole row
+    row = F.xxhash64(*[q(c) for c in df.columns]).bitwiseAND(F.lit((1 << 24) - 1))
+    h = df.withColumn("__h", F.shiftleft(F.shiftright(F.xxhash64(q(key), F.lit(seed)), 24), 24).bitwiseOR(row))
     r = row_number(h, "__h", name="__rn")
     return r.withColumn(split_col, F.when(F.col("__rn") <= n_test, F.lit("test")).otherwise(F.lit("train"))) \
         .drop("__h", "__rn")
@@ -307,4 +318,4 @@ def prepare(df: DataFrame, target: str, key: str, test_size: float = 0.2, seed:
     else:
         d = d.withColumn("label", q(target).cast("double"))
     d = d.drop(target) if target != "label" else d
-    return split(d, key, test_size, seed), task
+    return mark_key(split(d, key, test_size, seed), key), task

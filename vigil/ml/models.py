@@ -13,8 +13,9 @@ the reference passes none):
   (all without standardisation; these reproduce the closed forms)
 - decision tree: maxDepth None -> 30 (fast 10), min_samples_split s ->
   minInstancesPerNode = max(1, s // 2)
-- extra trees: random forest without bootstrap, sqrt (classification) / all
-  (regression) features per split
+- extra trees: sqrt (classification) / all (regression) features per split; every tree sees
+  its own 80 % of the rows, drawn without replacement, from which its candidate thresholds follow
+  (Spark draws no random thresholds; without that draw all regression trees would be equal)
 - SVM / SVR: linear models on a feature map (identity, degree-3 polynomial
   expansion, or random Fourier features for the RBF kernel, Rahimi & Recht 2007);
   re-aimed, not the same solver
@@ -149,7 +150,7 @@ def make_estimator(name: str, task: str, train: DataFrame, params: dict | None =
     if name == "extra_trees":
         kw = dict(numTrees=int(p.get("n_estimators", 50 if fast else 100)),
                   maxDepth=_depth(p.get("max_depth", 10 if fast else None)), seed=int(p.get("random_state", 42)),
-                  bootstrap=False, subsamplingRate=1.0, featureSubsetStrategy="sqrt" if cls else "all", **common)
+                  bootstrap=False, subsamplingRate=0.8, featureSubsetStrategy="sqrt" if cls else "all", **common)
         return RandomForestClassifier(**kw) if cls else RandomForestRegressor(**kw)
     if name == "gradient_boosting":
         kw = dict(maxIter=int(p.get("n_estimators", 50 if fast else 100)), maxDepth=_depth(p.get("max_depth", 3)),

@@ -24,21 +24,34 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 
 
 # --------------------------------------------------------------------------- B1
-def contingency(df: DataFrame, a: str, b: str, wide: bool = False) -> DataFrame:
-    """B1: cross tabulation of two columns, NULL pairs excluded, zero cells kept.
-
-    Wide: one row per level of ``a``, one column per level of ``b`` (``pivot``).
-    Long: (a, b, n) for every level pair, zeros included (pivot, then unpivot), so
-    no cross join of the level sets is needed."""
-    d = df.where(q(a).isNotNull() & q(b).isNotNull()).withColumn("__b", q(b).cast("string"))
-    # the level list of ``b`` becomes the column list (bounded by the table's width)
-    levels = [r[0] for r in d.select("__b").distinct().orderBy(1).collect()]
-    w = d.groupBy(q(a).alias(a)).pivot("__b", levels).agg(F.count(F.lit(1)))
-    cell = lambda lv: F.coalesce(F.col(f"`{lv}`"), F.lit(0)).cast("long")
+MAX_LEVELS = 10_000  # levels of a column that may become columns or zero cells
+
+
+def _levels(d: DataFrame, c: str) -> list:
+    """Distinct values of ``c``, refused beyond ``MAX_LEVELS``: a key is no category."""
+    found = [r[0] for r in d.select(c).distinct().limit(MAX_LEVELS + 1).collect()]
+    if len(found) > MAX_LEVELS:
+        raise ValueError(f"more than {MAX_LEVELS} levels; use the long form without zero cells")
+    return sorted(found)
+
+
+def contingency(df: DataFrame, a: str, b: str, wide: bool = False, zeros: bool = True) -> DataFrame:
+    """B1: cross tabulation of two columns, NULL pairs excluded.
+
+    Long: (a, b, n) from one grouped count; with ``zeros`` also the level pairs that never
+    occur (the levels of ``b``, at most ``MAX_LEVELS``, are listed). Wide: one row per
+    level of ``a``, one column per level of ``b``. ``zeros=False`` takes columns of any size."""
+    d = df.where(q(a).isNotNull() & q(b).isNotNull()).select(q(a).alias("a"), q(b).cast("string").alias("b"))
+    counts = d.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    if not wide and not zeros:
+        return counts.select(F.col("a").alias(a), F.col("b").alias(b), "n")
+    levels = _levels(d, "b")
+    w = counts.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))  # at most MAX_LEVELS entries a row
+    cell = lambda lv: F.coalesce(F.col("m")[F.lit(lv)], F.lit(0).cast("long"))
     if wide:
-        return w.select(a, *[cell(lv).alias(lv) for lv in levels])
-    items = [F.struct(F.lit(lv).alias(b), cell(lv).alias("n")) for lv in levels]
-    return w.select(F.col(a), F.inline(F.array(*items)))
+        return w.select(F.col("a").alias(a), *[cell(lv).alias(lv) for lv in levels])
+    every = w.select("a", "m", F.explode(F.lit(levels).cast("array<string>")).alias("b"))
+    return every.select(F.col("a").alias(a), F.col("b").alias(b), F.coalesce(F.col("m")[F.col("b")], F.lit(0).cast("long")).alias("n"))
 
 
 # --------------------------------------------------------------------------- B2
@@ -52,7 +65,7 @@ def box_stats(df: DataFrame, cat: str, num: str) -> DataFrame:
                                      for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
     fences = fences.withColumn("lo_f", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
                    .withColumn("hi_f", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    j = d.join(broadcast_if_small(fences), "cat")
+    j = d.join(fences, "cat")  # AQE broadcasts it by its measured size, or splits hot categories
     inside_lo = F.col("x") >= F.col("lo_f")
     inside_hi = F.col("x") <= F.col("hi_f")
     return j.groupBy("cat").agg(
@@ -64,33 +77,42 @@ def box_stats(df: DataFrame, cat: str, num: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- B3
-def scatter_points(df: DataFrame, x: str, y: str, n: int = 5000, seed: int = 42, key: str | None = None) -> DataFrame:
-    """A bounded, reproducible set of points for a scatter plot (the ``n`` rows
-    with the smallest seeded hash; top-k, no full sort)."""
+def scatter_points(df: DataFrame, x: str, y: str, n: int | None = None, seed: int = 42, key: str | None = None) -> DataFrame:
+    """The points of a scatter plot, all pair-complete rows. With ``n`` a reproducible sample
+    of that many: the rows with the smallest seeded hash (top-k, no full sort)."""
     cols = [q(x), q(y)] + ([q(key)] if key else [])
+    pts = df.select(*cols).where(q(x).isNotNull() & q(y).isNotNull())
+    if n is None:
+        return pts
     h = F.xxhash64(*(cols if key is None else [q(key)]), F.lit(seed))
-    return df.select(*cols).where(q(x).isNotNull() & q(y).isNotNull()).withColumn("__h", h) \
-        .orderBy("__h").limit(n).drop("__h")
+    return pts.withColumn("__h", h).orderBy("__h", *cols).limit(n).drop("__h")
 
 
 # --------------------------------------------------------------------------- B4
 def linregress(df: DataFrame, x: str, y: str) -> DataFrame:
     """Least-squares line of y on x over pair-complete rows: n, slope, intercept,
-    r, r2, stderr (slope), intercept_stderr, p_value (two-sided t-test of slope = 0)."""
+    r, r2, stderr (slope), intercept_stderr, p_value (two-sided t-test of slope = 0). A perfect line
+    has p = 0, a constant y r = 0 and p = 1; without two different x all but n are NaN."""
     xs = nan_to_null(q(x).cast("double"), T.DoubleType())
     ys = nan_to_null(q(y).cast("double"), T.DoubleType())
     d = df.select(xs.alias("x"), ys.alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    a = d.agg(F.count(F.lit(1)).alias("n"), F.regr_slope("y", "x").alias("slope"),
-              F.regr_intercept("y", "x").alias("intercept"), F.corr("x", "y").alias("r"),
-              F.var_pop("x").alias("sxx"), F.var_pop("y").alias("syy"), F.avg("x").alias("mx"))
-    dof = F.col("n") - 2
-    r = F.least(F.greatest(F.col("r"), F.lit(-1.0)), F.lit(1.0))
-    se = F.sqrt((F.lit(1.0) - r * r) * F.col("syy") / F.col("sxx") / dof)
-    t = r * F.sqrt(dof / ((F.lit(1.0) - r) * (F.lit(1.0) + r)))
+    a = d.agg(F.count(F.lit(1)).alias("n"), F.covar_pop("x", "y").alias("sxy"), F.var_pop("x").alias("sxx"),
+              F.var_pop("y").alias("syy"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    a = a.withColumn("slope", F.try_divide("sxy", "sxx")).withColumn("r", F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx") * F.col("syy"))))
+    a = a.withColumn("intercept", F.col("my") - F.col("slope") * F.col("mx"))
+    nan, dof = F.lit(float("nan")), F.col("n") - 2
+    line = (F.col("n") >= 2) & (F.col("sxx") > 0)
+    r = F.when(F.col("syy") == 0, F.lit(0.0)).otherwise(F.least(F.greatest(F.col("r"), F.lit(-1.0)), F.lit(1.0)))
+    rest = (F.lit(1.0) - r) * (F.lit(1.0) + r)
+    se = F.when(dof <= 0, F.lit(0.0)).otherwise(F.sqrt(F.try_divide(F.try_divide(rest * F.col("syy"), F.col("sxx")), dof)))
+    t = F.when(rest <= 0, F.signum(r) * float("inf")).otherwise(r * F.sqrt(F.try_divide(dof.cast("double"), rest)))
+    two = F.when(F.col("syy") == 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    p = F.when(dof <= 0, two).when(rest <= 0, F.lit(0.0)).otherwise(t_two_sided_p(F.when(rest > 0, t), dof.cast("double")))
+    only = lambda c: F.when(line, c).otherwise(nan)
     return a.select(
-        F.col("n").cast("long").alias("n"), "slope", "intercept", r.alias("r"), (r * r).alias("r2"),
-        se.alias("stderr"), (se * F.sqrt(F.col("sxx") + F.col("mx") * F.col("mx"))).alias("intercept_stderr"),
-        t_two_sided_p(t, dof.cast("double")).alias("p_value"))
+        F.col("n").cast("long").alias("n"), only(F.col("slope")).alias("slope"), only(F.col("intercept")).alias("intercept"),
+        only(r).alias("r"), only(r * r).alias("r2"), only(se).alias("stderr"),
+        only(se * F.sqrt(F.col("sxx") + F.col("mx") * F.col("mx"))).alias("intercept_stderr"), only(p).alias("p_value"))
 
 
 # --------------------------------------------------------------------------- B5 / B6

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.normal import add_inv_normal
-from ..functions.ranking import row_number, running_sum
+from ..functions.ranking import ranks_from_counts, running_sum
 
 
 # --------------------------------------------------------------------------- E2
@@ -112,17 +112,14 @@ def roc_curve(p: DataFrame, label: str = "label", score: str = "probability", po
     """E5: ROC points (threshold, fpr, tpr) by decreasing threshold, starting at
     (0, 0) with an infinite threshold; collinear points dropped like scikit-learn's
     ``drop_intermediate``. Output also carries ``idx`` (0 = start point)."""
-    c = _cumulated(p, label, score, pos_label)
-    tot = c.agg(F.sum("tp").alias("P"), F.sum("fp").alias("N")).first()
+    g = _score_groups(p, label, score, pos_label).withColumn("one", F.lit(1).cast("long"))
+    tot = g.agg(F.sum("tp").alias("P"), F.sum("fp").alias("N")).first()
     P, N = float(tot["P"] or 0), float(tot["N"] or 0)
-    c = row_number(c, "threshold", descending=True, name="idx")
+    # counts, position and the next point's counts in one running sum
+    c = running_sum(g, "threshold", ["tp", "fp", "one"], descending=True, lead_cols=["tp", "fp"]).withColumnRenamed("one_cum", "idx")
     if drop_intermediate:
-        nxt = c.select((F.col("idx") - 1).alias("idx"), F.col("tp").alias("tp_next"), F.col("fp").alias("fp_next"))
-        last = c.agg(F.max("idx")).first()[0]
-        c = c.join(nxt, "idx", "left")
-        keep = (F.col("idx") == 1) | (F.col("idx") == last) | (F.col("tp_next") != F.col("tp")) | \
-            (F.col("fp_next") != F.col("fp"))
-        c = c.where(keep)
+        last = F.col("tp_next").isNull()
+        c = c.where((F.col("idx") == 1) | last | (F.col("tp_next") != F.col("tp")) | (F.col("fp_next") != F.col("fp")))
     fpr = F.col("fp_cum") / F.lit(N) if N > 0 else F.lit(float("nan"))
     tpr = F.col("tp_cum") / F.lit(P) if P > 0 else F.lit(float("nan"))
     pts = c.select(F.col("idx").cast("long"), "threshold", fpr.alias("fpr"), tpr.alias("tpr"))
@@ -132,13 +129,14 @@ def roc_curve(p: DataFrame, label: str = "label", score: str = "probability", po
 
 def roc_auc(p: DataFrame, label: str = "label", score: str = "probability", pos_label=1.0) -> DataFrame:
     """E5: area under the ROC curve by the trapezoid rule over all distinct
-    thresholds (ties handled exactly). Output: one row (auc)."""
+    thresholds (ties handled exactly). Output: one row (auc), NaN without both classes."""
     c = _cumulated(p, label, score, pos_label)
     # count x count products pass the long range near 3e9 rows: exact decimals
     twice_area = F.col("fp").cast("decimal(38,0)") * (F.col("tp_cum") + F.col("tp_before")).cast("decimal(38,0)")
     a = c.agg(F.sum(twice_area).alias("s"),
               F.sum("tp").alias("P"), F.sum("fp").alias("N"))
-    return a.select((F.col("s").cast("double") / (F.lit(2.0) * F.col("P") * F.col("N"))).alias("auc"))
+    area = F.try_divide(F.col("s").cast("double"), F.lit(2.0) * F.col("P") * F.col("N"))
+    return a.select(F.coalesce(area, F.lit(float("nan"))).alias("auc"))
 
 
 def pr_curve(p: DataFrame, label: str = "label", score: str = "probability", pos_label=1.0) -> DataFrame:
@@ -229,12 +227,22 @@ def prediction_range(p: DataFrame, label: str = "label", prediction: str = "pred
                  F.max(F.col(prediction).cast("double")).alias("pred_max"))
 
 
+BLOCK = 1 << 16  # positions of one residual that are spread together
+
+
 def qq_table(p: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Normal QQ table of the residuals: position i, ordered residual,
     theoretical quantile from Filliben's order-statistic medians."""
     r = residuals(p, label, prediction, None).select("residual").where(F.col("residual").isNotNull())
-    n = r.count()
-    ranked = row_number(r, "residual", name="i")
+    # equal residuals are counted and ranked as one row, then spread over their positions in blocks
+    counts = r.groupBy("residual").agg(F.count(F.lit(1)).alias("cnt"))
+    n = counts.agg(F.sum("cnt")).first()[0] or 0
+    if not n:
+        return p.sparkSession.createDataFrame([], "i long, theoretical double, ordered double")
+    blocks = ranks_from_counts(counts, "residual").select("residual", "rank_lo", "cnt", F.explode(
+        F.sequence(F.lit(0).cast("long"), F.floor((F.col("cnt") - 1) / BLOCK))).alias("block")).repartition("residual", "block")
+    first = F.col("rank_lo") + F.col("block") * BLOCK
+    ranked = blocks.select("residual", F.explode(F.sequence(first, F.least(first + BLOCK - 1, F.col("rank_lo") + F.col("cnt") - 1))).alias("i"))
     i = F.col("i").cast("double")
     med = (F.when(F.col("i") == 1, F.lit(1.0 - 0.5 ** (1.0 / n))).when(F.col("i") == n, F.lit(0.5 ** (1.0 / n)))
            .otherwise((i - 0.3175) / F.lit(n + 0.365)))

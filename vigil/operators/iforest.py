@@ -2,7 +2,8 @@
 
 1. Samples: for every (column, tree) ``sample`` values are drawn in one pass: each
    value draws a random slot, a slot feeds one tree and holds ~3 * sample candidates,
-   of which ``sample`` are kept (seeded ``rand``: reruns give the same forest).
+   of which ``sample`` are kept. Draws are hashes of the whole row and the seed, so
+   the forest does not depend on the partitioning.
 2. Trees: one isolation tree per (column, tree) grown in ``groupBy(...).applyInPandas``
    (at most ``sample`` values per group). A 1-D tree cuts the line into intervals;
    each tree is returned as its sorted cut points with the path length of every
@@ -82,7 +83,8 @@ def outliers_iforest(df: DataFrame, cols: Sequence[str] | None = None, contamina
         return empty
     items = [F.struct(F.lit(c).alias("column_name"), nan_to_null(q(c).cast("double"), T.DoubleType()).alias("x"))
              for c in cols]
-    lv = df.select(F.inline(F.array(*items))).where(F.col("x").isNotNull())
+    row = F.xxhash64(*[q(c) for c in df.columns])
+    lv = df.select(row.alias("__row"), F.inline(F.array(*items))).where(F.col("x").isNotNull())
     counts = {r["column_name"]: r["n"] for r in lv.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
     keep = [c for c in cols if counts.get(c, 0) > min_rows]
     if not keep:
@@ -97,10 +99,10 @@ def outliers_iforest(df: DataFrame, cols: Sequence[str] | None = None, contamina
     m_map = F.create_map(*[x for c in keep for x in (F.lit(c), F.lit(slots[c]))])
     r_map = F.create_map(*[x for c in keep for x in (F.lit(c), F.lit(copies[c]))])
     offered = lv.withColumn("__m", m_map[F.col("column_name")]) \
-        .select("column_name", "x", "__m", F.explode(F.sequence(F.lit(0), r_map[F.col("column_name")] - 1)).alias("__r"))
-    offered = offered.withColumn("__u", F.rand(seed)) \
-        .withColumn("tree", (F.col("__r") * F.col("__m") + F.floor(F.col("__u") * F.col("__m"))).cast("int")) \
-        .where(F.col("tree") < trees)
+        .select("column_name", "x", "__row", "__m", F.explode(F.sequence(F.lit(0), r_map[F.col("column_name")] - 1)).alias("__r"))
+    offered = offered.withColumn("__u", F.shiftrightunsigned(F.xxhash64("__row", "column_name", "__r", F.lit(seed)), 11) / float(1 << 53)) \
+        .withColumn("tree", (F.col("__r") * F.col("__m") + F.floor(F.col("__u") * F.col("__m"))).cast("long")) \
+        .where(F.col("tree") < trees).withColumn("tree", F.col("tree").cast("int"))
     w = Window.partitionBy("column_name", "tree").orderBy("__u", "x")
     samp = offered.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= sample) \
         .select("column_name", "tree", "x")

@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import decimal
 import math
 
 from pyspark.sql import DataFrame
@@ -23,9 +24,10 @@ from pyspark.sql import types as T
 
 from ..functions.exprs import nan_to_null, q
 from ..functions.ranking import default_buckets, running_sum
+from ..session import ensure_checkpoint_dir
 
 _DEC = "decimal(38,0)"  # exact pair counts for any row count
-_LONG_MAX = 2 ** 63 - 1
+RESULT = f"n long, n_concordant {_DEC}, n_discordant {_DEC}, tau double"
 
 
 def _dense_rank(d: DataFrame, col: str, out: str) -> DataFrame:
@@ -47,6 +49,7 @@ def kendall_tau(df: DataFrame, x: str, y: str, buckets: int | None = None) -> Da
     pairs = d.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
     pairs = _dense_rank(pairs, "x", "rx")
     pairs = _dense_rank(pairs, "y", "ry").select("rx", "ry", "c")
+    ensure_checkpoint_dir(df.sparkSession)
     pairs = pairs.checkpoint(eager=True)  # reused by four aggregates below; cut lineage
 
     # pair counts t(t-1) exceed a long once one value holds ~3e9 rows: exact decimals
@@ -58,7 +61,7 @@ def kendall_tau(df: DataFrame, x: str, y: str, buckets: int | None = None) -> Da
                       F.sum(twice_pairs("c")).alias("t3")).first()
     n = int(stats["n"] or 0)
     if n < 2:
-        return df.sparkSession.createDataFrame([(n, 0, 0, None)], "n long, n_concordant long, n_discordant long, tau double")
+        return df.sparkSession.createDataFrame([(n, decimal.Decimal(0), decimal.Decimal(0), None)], RESULT)
     mx, my = int(stats["mx"]), int(stats["my"])
     levels = max(1, mx.bit_length())
 
@@ -86,6 +89,4 @@ def kendall_tau(df: DataFrame, x: str, y: str, buckets: int | None = None) -> Da
     conc = n0 - n1 - n2 + n3 - disc
     denom = math.sqrt((n0 - n1) * (n0 - n2))
     tau = (conc - disc) / denom if denom > 0 else None
-    conc, disc = (v if v <= _LONG_MAX else None for v in (conc, disc))  # reported as long
-    return df.sparkSession.createDataFrame([(n, conc, disc, tau)],
-                                           "n long, n_concordant long, n_discordant long, tau double")
+    return df.sparkSession.createDataFrame([(n, decimal.Decimal(conc), decimal.Decimal(disc), tau)], RESULT)

@@ -1,14 +1,14 @@
 """Shapiro-Wilk W and p-value for many columns (and groups) at once.
 
 Royston (1995), Algorithm AS R94: coefficients from normal scores of the sorted
-sample, W = squared correlation between coefficients and ordered values, p-value by
-Royston's normalising transformation. Everything is Column arithmetic on a per-group
-sample of at most ``limit`` values:
+values, W = squared correlation between coefficients and ordered values, p-value by
+Royston's normalising transformation. Every value takes part:
 
-- the sample is the first ``limit`` values in ``order_by`` order (or in seeded hash
-  order when no key is given), found with a two-level top-k (per sub-group, then per
-  group), not a full sort or a single-partition window;
-- only the (<= limit)-row samples are sorted with a per-group window.
+- values are counted (a hot value is one row) and ranked with the distributed running
+  counts of ``functions.ranking``;
+- the ranks a value covers are expanded in blocks that are dealt out anew, each rank
+  gets its normal score, and one map-side combined aggregate per group gathers the sums
+  that W needs.
 
 Fixed values: the polynomial coefficients below are the published constants of
 AS R94 (Royston 1995, Applied Statistics 44(4)).
@@ -19,13 +19,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
-from ..functions.exprs import nan_to_null, numeric_columns, q
+from ..functions.exprs import numeric_columns, q
 from ..functions.normal import add_inv_normal, add_norm_sf
-from ..functions.ranking import first_k_per_group
+from ..functions.ranking import ranks_from_counts
 
 C1 = [0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056]
 C2 = [0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633]
@@ -43,68 +43,76 @@ def _poly(cc, x: Column) -> Column:
     return acc
 
 
-def shapiro(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = (), limit: int = 5000,
-            order_by: str | None = None, seed: int = 42, min_n: int = 3, alpha: float = 0.05) -> DataFrame:
-    """Output: column_name, *by, n, w, p_value, normal (p > alpha). Groups with fewer
-    than ``min_n`` values get NULL statistics."""
+MAX_N_FOR_P = 5000  # the published p-value polynomials were fitted up to this sample size
+BLOCK = 1 << 16  # ranks of one value that are expanded together
+
+
+def shapiro(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = (), min_n: int = 3,
+            alpha: float = 0.05) -> DataFrame:
+    """Output: column_name, *by, n, w, p_value, normal (p > alpha). W covers all finite
+    values of a column (and group). ``p_value`` and ``normal`` are NULL above ``MAX_N_FOR_P``
+    values, where the published approximation ends; groups with fewer than ``min_n`` (at least
+    3) values have NULL statistics; a constant sample has w = 1 and p = 1."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    by = list(by)
-    okey = q(order_by) if order_by else None
+    by, min_n = list(by), max(3, min_n)
     items = []
     for c in cols:
-        x = nan_to_null(q(c).cast("double"), T.DoubleType())
-        k = okey if okey is not None else F.xxhash64(x, F.lit(seed))
-        items.append(F.struct(F.lit(c).alias("column_name"), x.alias("x"), k.alias("k")))
+        x = q(c).cast("double")
+        items.append(F.struct(F.lit(c).alias("column_name"), F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x).alias("x")))
     lv = df.select(*[q(b) for b in by], F.inline(F.array(*items))).where(F.col("x").isNotNull())
     parts = ["column_name", *by]
-    # first ``limit`` values of every group in key order (two-level top-k, no full ranking)
-    sample = first_k_per_group(lv, "k", limit, parts, tie_cols=["x"]).select(*parts, "x")
-
-    w_grp = Window.partitionBy(*parts)
-    s = sample.withColumn("i", F.row_number().over(w_grp.orderBy("x")))
-    # per-group constants on a one-row-per-group table
-    s = s.withColumn("__n", F.count(F.lit(1)).over(w_grp))
-    s = s.withColumn("__p", (F.col("i") - 0.375) / (F.col("__n").cast("double") + 0.25))
-    s = add_inv_normal(s, "__p", "m")
-    consts = s.groupBy(*parts).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("m") * F.col("m")).alias("summ2"),
-                                   F.min(F.struct("i", "m")).getField("m").alias("m1"))
-    consts = consts.withColumn("__p2", (F.lit(2.0) - 0.375) / (F.col("n").cast("double") + 0.25))
-    consts = add_inv_normal(consts, "__p2", "m2")
-    n = F.col("n").cast("double")
-    rsn = F.lit(1.0) / F.sqrt(n)
-    a1 = _poly(C1, rsn) - F.col("m1") / F.sqrt(F.col("summ2"))
-    a2 = -F.col("m2") / F.sqrt(F.col("summ2")) + _poly(C2, rsn)
-    consts = consts.select(*parts, "n", "summ2", "m1", "m2", a1.alias("a1"), a2.alias("a2"))
-    fac_big = F.sqrt((F.col("summ2") - 2 * F.col("m1") ** 2 - 2 * F.col("m2") ** 2)
-                     / (1 - 2 * F.col("a1") ** 2 - 2 * F.col("a2") ** 2))
-    fac_small = F.sqrt((F.col("summ2") - 2 * F.col("m1") ** 2) / (1 - 2 * F.col("a1") ** 2))
-    consts = consts.select(*parts, "n", "a1", "a2", F.when(F.col("n") > 5, fac_big).otherwise(fac_small).alias("fac"))
-    s = s.select(*parts, "x", "i", "m").join(consts, parts)
-    # m_j of the nearer end equals -|m_i| by symmetry of the normal scores
-    j = F.least(F.col("i"), F.col("n") - F.col("i") + 1)
-    mj = -F.abs(F.col("m"))
-    a_j = (F.when(F.col("n") == 3, F.lit(math.sqrt(0.5)))
-           .when(j == 1, F.col("a1"))
-           .when((j == 2) & (F.col("n") > 5), F.col("a2"))
-           .otherwise(-mj / F.col("fac")))
-    lower = F.col("i") < (F.col("n") - F.col("i") + 1)
-    upper = F.col("i") > (F.col("n") - F.col("i") + 1)
-    s = s.withColumn("a", F.when(lower, -a_j).when(upper, a_j).otherwise(F.lit(0.0)))
-    g = s.groupBy(*parts).agg(F.count(F.lit(1)).alias("n"), F.corr("a", "x").alias("r"))
-    g = g.withColumn("w", F.least(F.col("r") * F.col("r"), F.lit(1.0)))
+    counts = lv.groupBy(*parts, "x").agg(F.count(F.lit(1)).alias("cnt")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        g = _statistics(counts, parts, min_n)
+        if not by:  # one row a column: brought back, so the counts can be released
+            rows = g.collect()
+            return df.sparkSession.createDataFrame(_labelled(df.sparkSession.createDataFrame(rows, g.schema), parts, alpha).collect(),
+                                                   "column_name string, n long, w double, p_value double, normal boolean")
+    finally:
+        if not by:
+            counts.unpersist()
+    return _labelled(g, parts, alpha)
+
+
+def _statistics(counts: DataFrame, parts: list[str], min_n: int) -> DataFrame:
+    """(parts, n, w) of every group of a counted table (parts, x, cnt)."""
+    size = counts.groupBy(*parts).agg(F.sum("cnt").alias("n"), (F.sum(F.col("x") * F.col("cnt")) / F.sum("cnt")).alias("mean"))
+    ranks = ranks_from_counts(counts, "x", parts, ["column_name"])
+    blocks = ranks.select(*parts, "x", "rank_lo", "cnt", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("cnt") - 1) / BLOCK))).alias("block"))
+    blocks = blocks.repartition(*parts, "x", "block").join(size.where(F.col("n") >= min_n), parts)
+    first = F.col("rank_lo") + F.col("block") * BLOCK
+    s = blocks.select(*parts, (F.col("x") - F.col("mean")).alias("u"), "n",
+                      F.explode(F.sequence(first, F.least(first + BLOCK - 1, F.col("rank_lo") + F.col("cnt") - 1))).alias("i"))
+    s = add_inv_normal(s.withColumn("p", (F.col("i") - 0.375) / (F.col("n").cast("double") + 0.25)), "p", "m")
+    at = lambda r, c: F.max(F.when(F.col("i") == r, F.col(c)))
+    g = s.groupBy(*parts, "n").agg(
+        F.sum(F.col("m") * F.col("m")).alias("summ2"), F.sum(F.col("m") * F.col("u")).alias("smu"), F.sum(F.col("u") * F.col("u")).alias("sse"),
+        at(F.lit(1), "u").alias("u1"), at(F.lit(2), "u").alias("u2"), at(F.col("n") - 1, "u").alias("v2"), at(F.col("n"), "u").alias("v1"),
+        at(F.lit(1), "m").alias("m1"), at(F.lit(2), "m").alias("m2"))
+    rsn = F.lit(1.0) / F.sqrt(F.col("n").cast("double"))
+    g = g.withColumns({"a1": _poly(C1, rsn) - F.col("m1") / F.sqrt("summ2"), "a2": _poly(C2, rsn) - F.col("m2") / F.sqrt("summ2")})
+    ends1 = F.col("m1") * (F.col("u1") - F.col("v1"))  # the scores are antisymmetric
+    ends2 = F.col("m2") * (F.col("u2") - F.col("v2"))
+    wide1, wide2 = F.col("a1") * (F.col("v1") - F.col("u1")), F.col("a2") * (F.col("v2") - F.col("u2"))
+    fac2 = F.sqrt((F.col("summ2") - 2 * F.col("m1") ** 2 - 2 * F.col("m2") ** 2) / (1 - 2 * F.col("a1") ** 2 - 2 * F.col("a2") ** 2))
+    fac1 = F.sqrt((F.col("summ2") - 2 * F.col("m1") ** 2) / (1 - 2 * F.col("a1") ** 2))
+    num = (F.when(F.col("n") == 3, F.lit(math.sqrt(0.5)) * (F.col("v1") - F.col("u1")))
+           .when(F.col("n") <= 5, F.try_divide(F.col("smu") - ends1, fac1) + wide1)
+           .otherwise(F.try_divide(F.col("smu") - ends1 - ends2, fac2) + wide1 + wide2))
+    w = F.when(F.col("v1") == F.col("u1"), F.lit(1.0)).otherwise(F.least(F.try_divide(num * num, F.col("sse")), F.lit(1.0)))
+    return size.select(*parts, "n").join(g.select(*parts, w.alias("w")), parts, "left")
+
+
+def _labelled(g: DataFrame, parts: list[str], alpha: float) -> DataFrame:
     nn = F.col("n").cast("double")
-    gamma = _poly(G, nn)
-    g = g.withColumn("__y", F.log(F.lit(1.0) - F.col("w")))
-    z_small = (-F.log(gamma - F.col("__y")) - _poly(C3, nn)) / F.exp(_poly(C4, nn))
-    ln = F.log(nn)
+    gamma, ln = _poly(G, nn), F.log(nn)
+    g = g.withColumn("__y", F.log(F.when(F.col("w") < 1.0, F.lit(1.0) - F.col("w"))))
+    z_small = F.try_divide(-F.log(F.when(gamma > F.col("__y"), gamma - F.col("__y"))) - _poly(C3, nn), F.exp(_poly(C4, nn)))
     z_big = (F.col("__y") - _poly(C5, ln)) / F.exp(_poly(C6, ln))
-    g = g.withColumn("__z", F.when(F.col("n") <= 11, z_small).otherwise(z_big))
-    g = add_norm_sf(g, "__z", "__pz")
+    g = add_norm_sf(g.withColumn("__z", F.when(F.col("n") <= 11, z_small).otherwise(z_big)), "__z", "__pz")
     p3 = F.greatest(F.lit(1.90985931710274) * (F.asin(F.sqrt(F.col("w"))) - F.lit(1.04719755119660)), F.lit(0.0))
-    p = (F.when(F.col("n") == 3, p3)
-         .when((F.col("n") <= 11) & (F.col("__y") >= gamma), F.lit(1e-99))
-         .otherwise(F.col("__pz")))
-    ok = F.col("n") >= min_n
-    return g.select(*parts, F.col("n").cast("long").alias("n"), F.when(ok, F.col("w")).alias("w"),
-                    F.when(ok, F.least(p, F.lit(1.0))).alias("p_value"),
-                    F.when(ok, F.least(p, F.lit(1.0)) > alpha).alias("normal"))
+    p = (F.when((F.col("n") > MAX_N_FOR_P) | F.col("w").isNull(), F.lit(None).cast("double"))
+         .when(F.col("n") == 3, p3).when(F.col("w") >= 1.0, F.lit(1.0))
+         .when((F.col("n") <= 11) & (F.col("__y") >= gamma), F.lit(1e-99)).otherwise(F.col("__pz")))
+    p = F.when(p > 1.0, F.lit(1.0)).otherwise(p)
+    return g.select(*parts, F.col("n").cast("long").alias("n"), "w", p.alias("p_value"), (p > alpha).alias("normal"))

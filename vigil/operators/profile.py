@@ -121,43 +121,13 @@ def variable_types(df: DataFrame, max_int_levels: int = 10) -> DataFrame:
 QUARTILES = [0.25, 0.5, 0.75]
 
 
-def map_quantile_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
-    """Columns whose exact quantiles may use Spark's map-based ``percentile`` (one
-    HyperLogLog pass over all columns, then ``exact_map_ok``)."""
-    from ..functions.ranking import exact_map_ok
-    if not cols:
-        return []
-    xs = [nan_to_null(q(c).cast("double"), T.DoubleType()) for c in cols]
-    ndv = df.agg(*[F.approx_count_distinct(x).alias(f"d{i}") for i, x in enumerate(xs)]).first()
-    return [c for i, c in enumerate(cols) if exact_map_ok(df, ndv[f"d{i}"])]
-
-
 def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = QUARTILES) -> DataFrame:
-    """Exact quantiles of several numeric columns: column_name, p, q.
-
-    One wide pass estimates every column's distinct count (HyperLogLog). Columns whose
-    count (and partitions x count) is bounded (``exact_map_ok``) get Spark's exact ``percentile`` in one wide
-    aggregate (no unpivot, bounded per-column state); the others go through the
-    distributed order statistics on the unpivoted values."""
+    """Exact quantiles of several numeric columns: column_name, p, q. The columns are unpivoted and
+    counted by value once (map-side combined); no aggregate holds a column's values in one task."""
     cols = list(cols)
-    spark = df.sparkSession
     if not cols:
-        return spark.createDataFrame([], "column_name string, p double, q double")
-    xs = {c: nan_to_null(q(c).cast("double"), T.DoubleType()) for c in cols}
-    small = map_quantile_columns(df, cols)
-    big = [c for c in cols if c not in small]
-    out = None
-    if small:
-        pr = [float(p) for p in probs]
-        a = df.agg(*[F.percentile(xs[c], pr).alias(f"q{i}") for i, c in enumerate(small)])
-        items = [F.struct(F.lit(c).alias("column_name"), F.lit(p).alias("p"), F.col(f"q{i}")[j].alias("q"))
-                 for i, c in enumerate(small) for j, p in enumerate(pr)]
-        out = a.select(F.inline(F.array(*items))).where(F.col("q").isNotNull())
-    if big:
-        lv = long_values(df, big).where(F.col("x").isNotNull())
-        r = exact_quantiles(lv, "x", probs, ["column_name"], split_groups=["column_name"], map_limit=0)
-        out = r if out is None else out.unionByName(r)
-    return out
+        return df.sparkSession.createDataFrame([], "column_name string, p double, q double")
+    return exact_quantiles(long_values(df, cols), "x", probs, ["column_name"], split_groups=["column_name"])
 
 
 def _wide_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
@@ -180,15 +150,6 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, decimals: int = 4
     r = lambda c: F.round(F.col(c), decimals)
     out = ["column_name", "count", r("mean").alias("mean"), r("std").alias("std"), r("min").alias("min"),
            r("q25").alias("q25"), r("q50").alias("q50"), r("q75").alias("q75"), r("max").alias("max")]
-    if cols and len(map_quantile_columns(df, cols)) == len(cols):
-        # every column's exact quartiles fit the bounded map aggregate: moments and
-        # quartiles in one aggregate, one scan
-        pr = [float(p) for p in QUARTILES]
-        x = lambda c: nan_to_null(q(c).cast("double"), T.DoubleType())
-        a = df.agg(*aggs, *[F.percentile(x(c), pr).alias(f"pq{i}") for i, c in enumerate(cols)])
-        rows = _to_rows(a, [F.struct(*fields(i, c), *[F.col(f"pq{i}")[j].alias(f"q{int(round(p * 100))}")
-                                                      for j, p in enumerate(pr)]) for i, c in enumerate(cols)])
-        return rows.select(*out)
     mom = _to_rows(df.agg(*aggs), [F.struct(*fields(i, c)) for i, c in enumerate(cols)])
     qs = _wide_quantiles(df, cols, QUARTILES)
     # both sides have one row per column: a tiny join
@@ -251,6 +212,9 @@ def indicators(df: DataFrame, cols: Sequence[str] | None = None, with_normality:
 
 
 # --------------------------------------------------------------------------- A8
+MAX_BINS = 10_000
+
+
 def _bin_count_auto(n: int, lo: float, hi: float, q25: float, q75: float) -> int:
     """numpy ``bins='auto'``: the smaller of the Sturges and Freedman-Diaconis widths."""
     ptp = hi - lo
@@ -260,14 +224,17 @@ def _bin_count_auto(n: int, lo: float, hi: float, q25: float, q75: float) -> int
     iqr = q75 - q25
     fd = 2.0 * iqr * n ** (-1.0 / 3.0)
     width = min(fd, sturges) if fd > 0 else sturges
-    return max(1, int(math.ceil(ptp / width)))
+    return max(1, int(math.ceil(min(ptp / width, MAX_BINS))))
 
 
 def histogram(df: DataFrame, col: str, bins="auto") -> DataFrame:
     """Equal-width histogram of one numeric column, zero bins kept.
 
-    Output: bin (0-based), lo, hi, n. Last bin is closed on the right."""
-    x = nan_to_null(q(col).cast("double"), T.DoubleType())
+    Output: bin (0-based), lo, hi, n. Last bin is closed on the right. Infinite values lie in
+    no bin and are left out; ``auto`` makes at most ``MAX_BINS`` bins (an outlier far from the
+    rest widens the bins, it does not multiply them)."""
+    raw = q(col).cast("double")
+    x = F.when(~F.isnan(raw) & (F.abs(raw) < float("inf")), raw)
     st = df.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).first()
     n, lo, hi = st["n"], st["lo"], st["hi"]
     spark = df.sparkSession
@@ -294,8 +261,8 @@ def histogram(df: DataFrame, col: str, bins="auto") -> DataFrame:
                     F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
 
 
-def histograms(df: DataFrame, cols: Sequence[str] | None = None, bins="auto", max_cols: int = 6) -> DataFrame:
-    """A8 for several columns (first ``max_cols`` numeric columns by default)."""
+def histograms(df: DataFrame, cols: Sequence[str] | None = None, bins="auto", max_cols: int | None = None) -> DataFrame:
+    """A8 for several columns: all numeric columns by default, the first ``max_cols`` if given."""
     cols = list(cols) if cols is not None else numeric_columns(df)[:max_cols]
     out = None
     for c in cols:

@@ -46,13 +46,13 @@ def preprocessing_section(before: DataFrame, after: DataFrame, log: DataFrame |
     """R2: rows before/after, rows removed and their share, plus the correction log."""
     # both counts from one aggregate over the tagged union (no join of two scalars)
     tagged = before.select(F.lit(1).alias("__b")).unionByName(after.select(F.lit(0).alias("__b")))
-    a = tagged.agg(F.sum("__b").alias("b"), F.sum(1 - F.col("__b")).alias("a"))
+    a = tagged.agg(F.coalesce(F.sum("__b"), F.lit(0)).alias("b"), F.coalesce(F.sum(1 - F.col("__b")), F.lit(0)).alias("a"))
     summary = a.select(F.inline(F.array(
         F.struct(F.lit("rows_before").alias("metric"), F.col("b").cast("double").alias("value")),
         F.struct(F.lit("rows_after").alias("metric"), F.col("a").cast("double").alias("value")),
         F.struct(F.lit("rows_removed").alias("metric"), (F.col("b") - F.col("a")).cast("double").alias("value")),
         F.struct(F.lit("rows_removed_pct").alias("metric"),
-                 F.round((F.col("b") - F.col("a")) / F.col("b") * 100.0, 2).alias("value")))))
+                 F.coalesce(F.round(F.try_divide(F.col("b") - F.col("a"), F.col("b")) * 100.0, 2), F.lit(0.0)).alias("value")))))
     out = {"summary": summary}
     if log is not None:
         out["log"] = log

@@ -203,7 +203,7 @@ def compile_checks(df: DataFrame, rules: list[Rule]) -> tuple[list[Check], list[
             add("missing", is_missing(c, dt), "required value", F.lit(None).cast("string"))
         if typ == "numerique":
             pre = f"__num__{rule.column}"
-            num = F.col(pre) if pre in df.columns else to_numeric(c, dt)
+            num = q(pre) if pre in df.columns else to_numeric(c, dt)
             if not is_numeric_type(dt):
                 add("not_numeric", present & num.isNull(), "numeric value")
             if rule.min is not None:
@@ -223,7 +223,7 @@ def compile_checks(df: DataFrame, rules: list[Rule]) -> tuple[list[Check], list[
         elif typ == "date":
             fmt = rule.format or DEFAULT_DATE_FORMAT
             pre = f"__dt__{rule.column}"
-            parsed = F.col(pre) if pre in df.columns else to_date_fmt(c, dt, fmt)
+            parsed = q(pre) if pre in df.columns else to_date_fmt(c, dt, fmt)
             add("bad_date", present & parsed.isNull(), f"format: {fmt}")
             # bounds are validated on the driver and compared as session-time-zone
             # timestamps, like the parsed values
@@ -339,11 +339,11 @@ def quality_stats(df: DataFrame, rules: DataFrame | list) -> DataFrame:
         row("total_rows", None, n),
         row("total_columns", None, F.lit(float(len(df.columns)))),
         row("total_anomalies", None, n_anom),
-        row("success_rate_pct", None, F.round((F.lit(1.0) - n_anom / n) * 100.0, 2)),
-        row("clean_rows_pct", None, F.round(F.coalesce(F.col("n_clean"), F.lit(0)) / n * 100.0, 2)),
+        row("success_rate_pct", None, F.round((F.lit(1.0) - F.try_divide(n_anom.cast("double"), n)) * 100.0, 2)),
+        row("clean_rows_pct", None, F.round(F.try_divide(F.coalesce(F.col("n_clean"), F.lit(0)).cast("double"), n) * 100.0, 2)),
     ]
     for i, f in enumerate(df.schema.fields):
-        rows.append(row("completeness_pct", f.name, F.round(F.col(f"c{i}") / n * 100.0, 2)))
+        rows.append(row("completeness_pct", f.name, F.round(F.try_divide(F.col(f"c{i}").cast("double"), n) * 100.0, 2)))
     return a.select(F.inline(F.array(*rows)))
 
 
@@ -357,15 +357,16 @@ def missing_overview(df: DataFrame) -> DataFrame:
         aggs.append(F.sum(F.when(is_missing(q(f.name), f.dataType), 1).otherwise(0)).alias(f"m{i}"))
     a = df.agg(*aggs)
     n = F.col("n").cast("long")
-    total_missing = sum((F.col(f"m{i}") for i in range(len(fields))), F.lit(0)).cast("long")
+    missing = [F.coalesce(F.col(f"m{i}"), F.lit(0)).cast("long") for i in range(len(fields))]
+    total_missing = sum(missing, F.lit(0).cast("long"))
     def row(name, cells, missing):
         return F.struct(F.lit(name).alias("column_name"), cells.alias("n_cells"), missing.alias("n_missing"))
 
     rows = [row("*", n * len(fields), total_missing)]
     for i, f in enumerate(fields):
-        rows.append(row(f.name, n, F.col(f"m{i}").cast("long")))
+        rows.append(row(f.name, n, missing[i]))
     out = a.select(F.inline(F.array(*rows)))
-    return (out.withColumn("pct_missing", F.round(F.col("n_missing") / F.col("n_cells") * 100.0, 2))
+    return (out.withColumn("pct_missing", F.coalesce(F.round(F.try_divide(F.col("n_missing"), F.col("n_cells")) * 100.0, 2), F.lit(0.0)))
             .orderBy(F.desc("n_missing"), F.asc("column_name")))
 
 

@@ -37,7 +37,8 @@ def q_select_categorical(spark, sf_dir):
 
 @register("split_xy", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderpriority FROM orders")
 def q_split_xy(spark, sf_dir):
-    return fx.table(spark, sf_dir, "orders").drop("o_orderstatus")
+    from ..operators.frame import split_xy
+    return split_xy(fx.table(spark, sf_dir, "orders"), "o_orderstatus")[0]
 
 
 @register("drop_missing_rows", DIRTY + """
@@ -45,15 +46,25 @@ SELECT o_orderkey, o_custkey, price, price_txt, status, date_txt, email,
   CASE WHEN isnan(ratio) THEN NULL ELSE ratio END AS ratio, constant_col, priority
 FROM dirty_orders WHERE price IS NOT NULL AND NOT isnan(price) AND status IS NOT NULL""")
 def q_drop_missing_rows(spark, sf_dir):
-    from ..functions.exprs import normalize_missing
-    d = normalize_missing(fx.dirty_orders(spark, sf_dir))
-    return d.na.drop(subset=["price", "status"])
+    from ..operators.frame import drop_missing_rows
+    return drop_missing_rows(fx.dirty_orders(spark, sf_dir), ["price", "status"])[0]
+
+
+@register("drop_missing_rows_log", DIRTY + """
+SELECT CAST(count(*) AS BIGINT) AS rows_before,
+  CAST(count(*) FILTER (WHERE price IS NOT NULL AND NOT isnan(price) AND status IS NOT NULL) AS BIGINT) AS rows_after,
+  CAST(count(*) - count(*) FILTER (WHERE price IS NOT NULL AND NOT isnan(price) AND status IS NOT NULL) AS BIGINT) AS rows_removed
+FROM dirty_orders""")
+def q_drop_missing_rows_log(spark, sf_dir):
+    from ..operators.frame import drop_missing_rows
+    return drop_missing_rows(fx.dirty_orders(spark, sf_dir), ["price", "status"])[1]
 
 
 @register("drop_columns", DIRTY + """
 SELECT o_orderkey, o_custkey, price, price_txt, status, date_txt, email, ratio, priority FROM dirty_orders""")
 def q_drop_columns(spark, sf_dir):
-    return fx.dirty_orders(spark, sf_dir).drop("constant_col")
+    from ..operators.frame import drop_columns
+    return drop_columns(fx.dirty_orders(spark, sf_dir), ["constant_col"])[0]
 
 
 @register("filter_anomalies", DQ_DETECT_SQL + """
@@ -66,14 +77,15 @@ def q_filter_anomalies(spark, sf_dir):
 
 @register("preview", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5")
 def q_preview(spark, sf_dir):
-    return fx.table(spark, sf_dir, "orders").orderBy("o_orderkey").limit(5)
+    from ..operators.frame import preview
+    return preview(fx.table(spark, sf_dir, "orders"), 5, "o_orderkey")
 
 
-@register("sample_for_profile")
+@register("sample_for_profile", """SELECT * FROM lineitem WHERE CAST('0x' || substr(md5('42:' || l_orderkey || ':' || l_linenumber), 1, 13) AS BIGINT)
+  / 4503599627370496.0 < 0.1""")
 def q_sample_for_profile(spark, sf_dir):
-    d = fx.table(spark, sf_dir, "lineitem")
-    # seeded, reproducible bounded sample (the sampling is the operator)
-    return d.withColumn("__h", F.xxhash64("l_orderkey", "l_linenumber", F.lit(42))).orderBy("__h").limit(10000).drop("__h")
+    from ..operators.frame import sample_rows
+    return sample_rows(fx.table(spark, sf_dir, "lineitem"), 0.1, ["l_orderkey", "l_linenumber"])
 
 
 @register("format_metrics", DIRTY + """
@@ -94,8 +106,9 @@ def q_cats_to_string(spark, sf_dir):
 @register("validate_split", """WITH n AS (SELECT count(*) AS n, CAST(ceil(count(*) * 0.2) AS BIGINT) AS t FROM orders)
 SELECT 'train_not_empty' AS "check", n - t > 0 AS passed, CAST(n - t AS DOUBLE) AS value, 1.0 AS threshold FROM n
 UNION ALL SELECT 'test_not_empty', t > 0, CAST(t AS DOUBLE), 1.0 FROM n
-UNION ALL SELECT 'labels_match_rows', true, 0.0, 0.0
-UNION ALL SELECT 'train_no_infinite', true, 0.0, 0.0""")
+UNION ALL SELECT 'labels_match_rows', count(o_orderstatus) = count(*), CAST(count(*) - count(o_orderstatus) AS DOUBLE), 0.0 FROM orders
+UNION ALL SELECT 'train_no_infinite', count(*) FILTER (WHERE isinf(o_totalprice)) = 0,
+  CAST(count(*) FILTER (WHERE isinf(o_totalprice)) AS DOUBLE), 0.0 FROM orders""")
 def q_validate_split(spark, sf_dir):
     from ..ml.features import split
     from ..operators.validate import validate_split
@@ -136,10 +149,11 @@ def q_table_profile(spark, sf_dir):
     return table_profile(fx.dirty_orders(spark, sf_dir))
 
 
-@register("scatter_points")
+@register("scatter_points", """SELECT l_quantity, l_extendedprice FROM lineitem
+  WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL""")
 def q_scatter_points(spark, sf_dir):
     from ..operators.bivariate import scatter_points
-    return scatter_points(fx.table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", n=5000)
+    return scatter_points(fx.table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice")
 
 
 def _corr_wide_sql():
@@ -232,15 +246,43 @@ def q_knn_predict(spark, sf_dir):
 def q_adaboost_predict(spark, sf_dir):
     from ..ml.compare import fit_model
     d, task = _prepared(spark, sf_dir)
-    return fit_model(d, "adaboost", task, {"n_estimators": 10}, key="o_orderkey")[1]
+    return fit_model(d, "adaboost", task, key="o_orderkey")[1]
+
+
+def _price_regression(spark, sf_dir):
+    """Line prices from the other numbers of a line, over all of lineitem."""
+    from ..ml.features import prepare
+    d = fx.table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"), "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_extendedprice")
+    return prepare(d, "l_extendedprice", key="line", task="regression")
+
+
+def _register_predictions(name, model, source, key):
+    @register(name)
+    def run(spark, sf_dir):
+        from ..ml.compare import fit_model
+        d, task = source(spark, sf_dir)
+        return fit_model(d, model, task, key=key)[1]
+
+
+_register_predictions("gradient_boosting_predict", "gradient_boosting", _prepared, "o_orderkey")
+_register_predictions("extra_trees_predict", "extra_trees", _prepared, "o_orderkey")
+_register_predictions("svm_predict", "svm", _prepared, "o_orderkey")
+_register_predictions("svr_predict", "svr", _price_regression, "line")
+
+
+@register("compare_regression")
+def q_compare_regression(spark, sf_dir):
+    from ..ml.compare import compare_models
+    d, task = _price_regression(spark, sf_dir)
+    return compare_models(d, task, models=["linear_regression", "ridge", "lasso", "decision_tree"], key="line").drop("fit_seconds")
 
 
 @register("best_model")
 def q_best_model(spark, sf_dir):
     from ..ml.compare import best_model, compare_models
     d, task = _prepared(spark, sf_dir)
-    res = compare_models(d, task, models=["naive_bayes", "decision_tree"], fast=True, key="o_orderkey")
-    return best_model(res, task)
+    return best_model(compare_models(d, task, models=["naive_bayes", "decision_tree", "logistic_regression"], key="o_orderkey"), task)
 
 
 @register("cross_val")
@@ -282,5 +324,4 @@ def q_shapley(spark, sf_dir):
     model, _ = fit_model(d, "decision_tree", task, {"max_depth": 5})
     pre, data, _ = prepare_features(d)
     names = feature_names(data)
-    return shapley_importance(model.stages[-1], data.where("split = 'test'"), names, n_rows=50, n_perm=10,
-                              binary=True)
+    return shapley_importance(model.stages[-1], data.where("split = 'test'"), names, n_perm=10, binary=True)

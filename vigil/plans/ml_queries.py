@@ -114,8 +114,8 @@ def q_fit_logistic(spark, sf_dir):
 def q_compare_models(spark, sf_dir):
     from ..ml.compare import compare_models
     d, task = _prepared(spark, sf_dir)
-    return compare_models(d, task, models=["naive_bayes", "decision_tree", "logistic_regression", "random_forest"],
-                          fast=True, key="o_orderkey", max_workers=2).drop("fit_seconds")
+    return compare_models(d, task, models=["naive_bayes", "decision_tree", "logistic_regression", "random_forest", "gradient_boosting",
+                                           "extra_trees"], key="o_orderkey", max_workers=3).drop("fit_seconds")
 
 
 @register("feature_importance")
@@ -125,7 +125,7 @@ def q_feature_importance(spark, sf_dir):
     d, task = _prepared(spark, sf_dir)
     model, _ = fit_model(d, "decision_tree", task, {"max_depth": 5}, key="o_orderkey")
     names = feature_names(_features_frame(model, d))
-    return feature_importance(model, names, top=10)
+    return feature_importance(model, names)
 
 
 def _features_frame(model, d):

@@ -15,16 +15,20 @@ REPLACEMENT_CHAR = "�"
 
 
 def scan_delimited(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | None = None,
-                   bad_lines: str = "skip", on_bad_bytes: str = "ignore", encoding: str = "UTF-8"):
+                   bad_lines: str = "skip", on_bad_bytes: str = "ignore", encoding: str = "UTF-8",
+                   multi_line: bool = False):
     """Delimited text with a header row and inferred (or given) types.
 
     - lines with more fields than the header are dropped (``bad_lines='skip'``) and
       returned separately; lines with fewer fields are padded with NULL;
-    - bytes that are not valid UTF-8 are removed (``on_bad_bytes='ignore'``).
+    - bytes that are not valid UTF-8 are removed (``on_bad_bytes='ignore'``);
+    - quoted fields may hold separators; with ``multi_line`` also line breaks (a file is then
+      read by one task, so give many files).
 
     Returns ``(df, bad_lines_df)``; ``bad_lines_df`` has one column ``line``.
     """
-    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding) \
+        .option("multiLine", multi_line).option("escape", '"')
     if schema is None:
         # Inference pass over the text; for production pass an explicit schema.
         inferred = reader.option("inferSchema", True).option("mode", "PERMISSIVE").csv(path).schema
@@ -32,18 +36,16 @@ def scan_delimited(spark: SparkSession, path: str, sep: str = ",", schema: T.Str
     full = T.StructType(list(schema.fields) + [T.StructField(_CORRUPT, T.StringType(), True)])
     raw = (reader.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
            .csv(path))
-    # A corrupt record is kept when it only lacks fields (padding); a line with more
-    # tokens than the header is a bad line. Count separators outside quotes roughly by
-    # splitting on the separator (quoted separators are rare in such tables).
-    n_fields = len(schema.fields)
-    sep_re = re.escape(sep)
-    n_tokens = F.size(F.split(F.col(_CORRUPT), sep_re))
-    too_many = F.col(_CORRUPT).isNotNull() & (n_tokens > n_fields)
-    good = raw.where(~too_many | F.col(_CORRUPT).isNull()).drop(_CORRUPT)
-    # the skipped lines, from the raw text (the CSV reader may not project only its
-    # corrupt-record column); the header line has exactly n_fields tokens
-    text = spark.read.option("encoding", encoding).text(path)
-    bad = text.where(F.size(F.split(F.col("value"), sep_re)) > n_fields).select(F.col("value").alias("line"))
+    # A corrupt record is kept when it lacks fields (padding) or a value does not parse; one with
+    # more fields than the header is a bad line. Quoted text may hold separators: it is cut first.
+    outside = F.regexp_replace(F.col(_CORRUPT), '"([^"]|"")*"', "")
+    n_fields = F.length(outside) - F.length(F.replace(outside, F.lit(sep), F.lit(""))) + F.lit(len(sep))
+    # an empty piece of all columns: a query that reads few columns, or the corrupt record alone (which Spark
+    # refuses), would count the fields of a line differently
+    other = F.substring(F.concat_ws("", *[q(f.name).cast("string") for f in schema.fields]), 1, 0)
+    too_many = F.coalesce(n_fields + F.length(other) > F.lit(len(sep) * len(schema.fields)), F.lit(False))
+    good = raw.where(~too_many).drop(_CORRUPT)
+    bad = raw.where(too_many).select(F.col(_CORRUPT).alias("line"))
     if on_bad_bytes == "ignore":
         good = good.select(*[
             (F.translate(q(f.name), REPLACEMENT_CHAR, "") if isinstance(f.dataType, T.StringType) else q(f.name)).alias(f.name)
@@ -79,16 +81,25 @@ def scan_json(spark: SparkSession, path: str, schema: T.StructType | None = None
 def with_row_key(df: DataFrame, order_by: str | None = None, name: str = "row_key") -> DataFrame:
     """Stable 1-based row key.
 
-    With ``order_by`` (unique values) the key is a distributed row number (G1) over
-    that column; without it, the position in file order: ``monotonically_increasing_id``
-    grows with (partition, row) and the distributed row number turns it into 1..n.
-    Rows never leave the JVM.
+    With ``order_by`` (unique values) the key is a distributed row number (G1) over that column.
+    Without it the key is the position in file order: files by path, their blocks by offset, rows as
+    read. Rows are counted per scanned block (one row a block to the driver); no row is moved. A
+    DataFrame that reads no file is numbered in partition order.
     """
     from ..functions.ranking import row_number
     if order_by is not None:
         return row_number(df, order_by, name=name)
-    d = df.withColumn("__mid", F.monotonically_increasing_id())
-    return row_number(d, "__mid", name=name).drop("__mid")
+    spark = df.sparkSession
+    d = df.withColumns({"__mid": F.monotonically_increasing_id(), "__file": F.input_file_name(),
+                        "__at": F.input_file_block_start(), "__part": F.spark_partition_id()})
+    blocks = d.groupBy("__file", "__at", "__part").agg(F.count(F.lit(1)).alias("n"), F.min("__mid").alias("first")).collect()
+    starts, n = [], 0
+    for b in sorted(blocks, key=lambda r: (r["__file"], r["__at"], r["__part"])):
+        starts.append((b["__file"], b["__at"], b["__part"], n + 1 - b["first"]))
+        n += b["n"]
+    shift = spark.createDataFrame(starts, "__file string, __at long, __part int, __shift long")
+    d = d.join(F.broadcast(shift), ["__file", "__at", "__part"])  # one row a scanned block
+    return d.select(*[q(c) for c in df.columns], (F.col("__mid") + F.col("__shift")).alias(name))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -45,15 +45,25 @@ def anomaly_counts_by_window(stream: DataFrame, rules, key: str, ts_col: str, wi
 
 
 def run_to_table(spark: SparkSession, result: DataFrame, output_mode: str = "complete") -> DataFrame:
-    """Run a streaming result over all data available now into an in-memory table and
-    return it as a batch DataFrame (for tests and small results). The checkpoint goes
-    under the shared ``spark.checkpoint.dir``."""
-    name = "vigil_stream_" + uuid.uuid4().hex[:12]
-    ckpt = os.path.join(ensure_checkpoint_dir(spark), "streams", name)
-    q = (result.writeStream.outputMode(output_mode).format("memory").queryName(name)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    """Run a streaming result over all data available now and return it as a batch DataFrame.
+    Every micro-batch is written by the executors as Parquet under the shared
+    ``spark.checkpoint.dir``; nothing passes through the driver. In complete mode the last batch is
+    the result, otherwise all batches are."""
+    root = os.path.join(ensure_checkpoint_dir(spark), "streams", uuid.uuid4().hex)
+    done: list[str] = []
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        path = f"{root}/out/batch={epoch}"
+        batch.write.mode("overwrite").parquet(path)
+        if path not in done:
+            done.append(path)
+
+    q = (result.writeStream.outputMode(output_mode).foreachBatch(write)
+         .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    if not done:
+        return spark.createDataFrame([], result.schema)
+    return spark.read.schema(result.schema).parquet(*(done[-1:] if output_mode == "complete" else done))
 
 
 def run_to_parquet(result: DataFrame, path: str, checkpoint: str | None = None, trigger_seconds: int | None = None):
