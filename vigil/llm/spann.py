@@ -22,7 +22,9 @@ from .common import materialize
 MAX_LISTS = 4096
 SAMPLE_VALUES = 8_000_000  # numbers in the training sample: rows x dimensions
 PART_ROWS = 5_000
+GROUP_ROWS = 20_000  # postings that are scanned together
 SLOTS = 1 << 30
+CELL_PARTS = 1 << 30  # a cell's number is list * CELL_PARTS + part
 
 
 def balanced_clusters(x: np.ndarray, lists: int, seed: int = 0) -> np.ndarray:
@@ -189,9 +191,12 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 10, id_col:
     sizes = {r["list"]: r["count"] for r in postings.groupBy("list").count().collect()}  # MAX_LISTS rows at most
     rows_of = np.array([sizes.get(i, 0) for i in range(len(centroids))])
     parts_of = np.maximum(1, -(-rows_of // PART_ROWS))
+    groups = int(max(1, -(-rows_of.sum() // GROUP_ROWS)))
     stats = spark.sparkContext.broadcast((rows_of, parts_of))
     part_table = F.lit([int(p) for p in parts_of]).cast("array<int>")
-    parted = postings.withColumn("part", F.pmod(F.xxhash64("cls"), F.get(part_table, F.col("list").cast("int"))).cast("int"))
+    part = F.pmod(F.xxhash64("cls"), F.get(part_table, F.col("list").cast("int")))
+    # a cell is a part of a list; cells are dealt to groups of about GROUP_ROWS postings
+    parted = postings.select((F.col("list") * CELL_PARTS + part).alias("cell"), "v", "ids").withColumn("grp", (F.col("cell") % groups).cast("int"))
 
     # a query vector is searched once, however many query rows share it
     asked = materialize(rows.where("asks").select("id", "v").join(classes.select("cls", "v"), "v").select("id", "cls", "v"), "asked")
@@ -201,37 +206,45 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 10, id_col:
         for b in batches:
             if not len(b):
                 continue
-            q, to, part = [], [], []
+            q, grp, cells = [], [], []
             for i, (ids, d) in enumerate(g.search(_matrix(b.column(1)), search_ratio, least_lists)):
                 if size[ids].sum() < 4 * (k + 1):  # too few rows to answer with: read all lists
                     ids = np.arange(len(size))
-                for j in ids[size[ids] > 0].tolist():
-                    for p in range(parts[j]):
-                        q.append(i)
-                        to.append(j)
-                        part.append(p)
+                ids = ids[size[ids] > 0]
+                n = parts[ids]
+                cell = np.repeat(ids * CELL_PARTS, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                for j in np.unique(cell % groups).tolist():
+                    q.append(i)
+                    grp.append(j)
+                    cells.append(cell[cell % groups == j])
             at = pa.array(np.array(q, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(part, pa.int32()), *(b.column(i).take(at) for i in range(2))],
-                                             names=["list", "part", "cls", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), pa.array(cells, pa.list_(pa.int64())), *(b.column(i).take(at) for i in range(2))],
+                                             names=["grp", "cells", "cls", "v"])
 
-    probes = asked.groupBy("cls").agg(F.first("v").alias("v")).mapInArrow(probe, "list long, part int, cls long, v array<double>")
+    probes = asked.groupBy("cls").agg(F.first("v").alias("v")).mapInArrow(probe, "grp int, cells array<long>, cls long, v array<double>")
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         asks, near, dist = [], [], []
         if left.num_rows and right.num_rows:
-            q, x = _matrix(left["v"]), _matrix(right["v"])
-            ids = right["ids"].to_pylist()
-            for cls, v in zip(left["cls"].to_pylist(), q):
-                d = np.sqrt(((x - v) ** 2).sum(1))
-                best = np.argpartition(d, k)[:k + 1] if len(d) > k + 1 else np.arange(len(d))
-                best = np.flatnonzero(d <= d[best].max())  # with ties
-                found = sorted((dj, i) for dj, j in zip(d[best].tolist(), best.tolist()) for i in ids[j])[:k + 1]
+            order = np.argsort(right["cell"].to_numpy(), kind="stable")
+            cell, x, ids = right["cell"].to_numpy()[order], _matrix(right["v"])[order], right["ids"].to_pylist()
+            for cls, v, mine in zip(left["cls"].to_pylist(), _matrix(left["v"]), left["cells"].to_pylist()):
+                a, b = np.searchsorted(cell, mine, "left"), np.searchsorted(cell, mine, "right")
+                rows = np.concatenate([np.arange(i, j) for i, j in zip(a, b)])
+                if not len(rows):
+                    continue
+                d = np.sqrt(((x[rows] - v) ** 2).sum(1))
+                most = (k + 1) * replicas  # a vector may stand in that many lists
+                least = np.partition(d, most - 1)[most - 1] if len(d) > most else d.max()
+                best = np.flatnonzero(d <= least)  # with ties
+                pairs = {i: dj for j, dj in zip(best.tolist(), d[best].tolist()) for i in ids[order[rows[j]]]}  # a replica counts once
+                found = sorted((dj, i) for i, dj in pairs.items())[:k + 1]
                 asks += [cls] * len(found)
                 near += [i for _, i in found]
                 dist += [dj for dj, _ in found]
         return pa.table({"cls": pa.array(asks, pa.int64()), "vec_id": pa.array(near, pa.int64()), "score": pa.array(dist, pa.float64())})
 
-    hits = probes.groupBy("list", "part").cogroup(parted.groupBy("list", "part")).applyInArrow(scan, "cls long, vec_id long, score double")
+    hits = probes.groupBy("grp").cogroup(parted.groupBy("grp")).applyInArrow(scan, "cls long, vec_id long, score double")
     hits = hits.groupBy("cls", "vec_id").agg(F.min("score").alias("score"))
     place = lambda key: F.row_number().over(Window.partitionBy(key).orderBy("score", "vec_id"))
     best = hits.withColumn("nth", place("cls")).where(F.col("nth") <= k + 1).drop("nth")
