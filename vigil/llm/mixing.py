@@ -84,7 +84,7 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5
     doc = F.col(f"`{id_col}`")
     drawn = F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda acc, i: acc + F.size(
         F.filter(F.col(cdf), lambda c: c <= hash_unit(seed, doc, i))))
-    out = rows.withColumn("copies", drawn).where("copies > 0").withColumn("rate", F.col(rate)).drop(src, rate, parts, cdf)
+    out = rows.withColumn("rate", F.col(rate)).withColumn("copies", drawn).where("copies > 0").drop(src, rate, parts, cdf)
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     out = out.withColumn("shuffle_key", F.substring(_hash_text(seed, doc, F.col("copy"), F.lit("place")), 1, 16))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
