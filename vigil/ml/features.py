@@ -161,13 +161,12 @@ class TargetEncoderStageModel(Model, _TEParams, MLReadable, MLWritable):
         self.table: DataFrame | None = None
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        from ..operators.bivariate import broadcast_if_small
         out = df
         prior = self.getOrDefault("prior")
         for c, o in zip(self.getInputCols(), self.getOutputCols()):
             t = self.table.where(F.col("column_name") == c).select(F.col("category").alias(f"__cat_{o}"),
                                                                    F.col("enc").alias(f"__enc_{o}"))
-            out = out.join(broadcast_if_small(t), q(c).cast("string") == F.col(f"__cat_{o}"), "left")
+            out = out.join(t, q(c).cast("string") == F.col(f"__cat_{o}"), "left")
             out = out.withColumn(o, F.coalesce(F.col(f"__enc_{o}"), F.lit(prior))).drop(f"__cat_{o}", f"__enc_{o}")
         return out
 

@@ -29,14 +29,18 @@ from pyspark.sql import types as T
 from ..session import ensure_checkpoint_dir
 
 
+BLOCK_VALUES = 4_000_000
+
+
 def _dist_udf(pivots: np.ndarray):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def dists(col: pd.Series) -> pd.Series:
         if len(col) == 0:
             return pd.Series([], dtype=object)
         x = np.vstack(col.to_numpy())
-        d = np.sqrt(((x[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
-        return pd.Series(list(d))
+        step = max(1, BLOCK_VALUES // pivots.size)  # rows x pivots x features held at once
+        d = [np.sqrt(((x[i:i + step, None, :] - pivots[None, :, :]) ** 2).sum(axis=2)) for i in range(0, len(x), step)]
+        return pd.Series(list(np.concatenate(d)))
     return dists
 
 

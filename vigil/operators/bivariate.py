@@ -17,12 +17,6 @@ from ..functions.ranking import default_buckets, exact_quantiles, ranks_from_cou
 BROADCAST_ROWS = 200_000  # size check before a broadcast hint on a derived table
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting the rows (the table is derived, its size is
-    not known in advance); otherwise a regular shuffle join is planned."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 # --------------------------------------------------------------------------- B1
 MAX_LEVELS = 10_000  # levels of a column that may become columns or zero cells
 
