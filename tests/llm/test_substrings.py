@@ -29,7 +29,15 @@ def brute(docs, w):
 def local(docs, w, shards, per):
     """The operator's own steps without Spark."""
     batches = [docs[i:i + per] for i in range(0, len(docs), per)]
-    rows = [r for n, b in enumerate(batches) for r in S.deal_pieces(n, [i for i, _ in b], [len(t) for _, t in b], b"".join(t for _, t in b), w, shards)]
+    parts = [([i for i, _ in b], [len(t) for _, t in b], b"".join(t for _, t in b)) for b in batches]
+    told, common = {}, {}
+    for n, (_, lens, raw) in enumerate(parts):
+        for s, *rest in S.announce(n, lens, raw, w, shards):
+            told.setdefault(s, []).append(tuple(rest))
+    for s, said in told.items():
+        for n, k, bits in S.common_grams(said):
+            common.setdefault(n, {})[s] = (k, bits)
+    rows = [r for n, p in enumerate(parts) for r in S.deal_pieces(n, *p, w, shards, common.get(n, {}))]
     gone = {}
     for s in {r[0] for r in rows}:
         shard = S.Shard(w)

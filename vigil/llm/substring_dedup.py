@@ -2,11 +2,11 @@
 
 Texts are cut into overlapping pieces in such a way that all copies of a string of ``width`` bytes lie in
 pieces of one shard: a piece is a run of windows of that width with the same smallest hash of a shorter
-gram. Equal pieces of a batch of documents travel once. A shard sorts the suffixes of its pieces
-(only those whose gram occurs in another piece can match) in sub-shards of bounded size, finds equal
-windows by common prefixes, and learns the smallest document of each; sub-shards that a frequent gram
-fills are merged by binary search of their sorted strings. What a document has to give up goes back
-to its batch.
+gram. Batches of documents first announce the hashes of their grams; pieces whose gram occurs nowhere
+else hold no repeat and stay at home. Equal pieces of a batch travel once. A shard sorts the suffixes of
+its pieces in sub-shards of bounded size, finds equal windows by common prefixes, and learns the smallest
+document of each; sub-shards that a frequent gram fills are merged by binary search of their sorted
+strings. What a document has to give up goes back to its batch.
 """
 
 from __future__ import annotations
@@ -140,11 +140,46 @@ def _order_ids(ids: list) -> np.ndarray:
     return np.array([LAST_ID if i is None else i for i in ids], np.int64)
 
 
-def deal_pieces(batch: int, ids: list, lens: list[int], raw: bytes, width: int, shards: int) -> Iterator[tuple]:
-    """Rows of ``SHARD_SCHEMA``: a batch's distinct pieces by shard, and where they occur."""
+def gram_codes(gram: np.ndarray, shards: int) -> np.ndarray:
+    """Shard and 32 bits of each gram in one number; equal grams have equal codes."""
+    return ((gram % np.uint64(shards)) << np.uint64(32)) | (gram >> np.uint64(32))
+
+
+def announce(batch: int, lens: list[int], raw: bytes, width: int, shards: int) -> Iterator[tuple]:
+    """(shard, batch, n, keys): the distinct grams of a batch."""
+    codes = np.unique(gram_codes(cut_pieces(np.frombuffer(raw, np.uint8), *_ends(lens), width)[2], shards))
+    shard = (codes >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else []
+    for a, b in zip(first, [*first[1:], len(codes)]):
+        keys = (codes[a:b] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        yield int(shard[a]), batch, int(b - a), _pack(np.diff(keys, prepend=0).astype("<u4"))
+
+
+def common_grams(announced: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
+    """(batch, n, bits) for the batches of a shard: which of their grams another batch has too."""
+    keys = [np.cumsum(_unpack(blob, n, "<u4")[0], dtype=np.int64) for _, n, blob in announced]
+    grams, count = np.unique(np.concatenate(keys), return_counts=True)
+    grams = grams[count > 1]
+    for (batch, n, _), k in zip(announced, keys):
+        at = np.minimum(np.searchsorted(grams, k), max(0, len(grams) - 1))
+        common = grams[at] == k if len(grams) else np.zeros(n, bool)
+        if common.any():
+            yield batch, n, np.packbits(common).tobytes()
+
+
+def deal_pieces(batch: int, ids: list, lens: list[int], raw: bytes, width: int, shards: int,
+                common: dict[int, tuple[int, bytes]]) -> Iterator[tuple]:
+    """Rows of ``SHARD_SCHEMA``: by shard, a batch's distinct pieces that may hold a repeat, and where they
+    occur. ``common`` has by shard the answer to what the batch announced."""
     starts, ends = _ends(lens)
     text, who = np.frombuffer(raw, np.uint8), _order_ids(ids)
     first, count, gram = cut_pieces(text, starts, ends, width)
+    codes, of, times = np.unique(gram_codes(gram, shards), return_inverse=True, return_counts=True)
+    travels = times > 1  # or in another batch
+    for s, (n, bits) in common.items():
+        a = int(np.searchsorted(codes, np.uint64(s << 32)))
+        travels[a:a + n] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+    first, count, gram = (x[travels[of]] for x in (first, count, gram))
     if not len(first):
         return
     known: dict[bytes, int] = {}
@@ -310,12 +345,25 @@ class Shard:
 
 def repeated_windows(batches: DataFrame, width: int, shards: int) -> DataFrame:
     """(batch, n, spans): windows that each batch's documents share with smaller documents."""
-    def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tell(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for r in b.to_pylist():
-                rows = list(deal_pieces(r["batch"], r["ids"], r["lens"], zstandard.ZstdDecompressor().decompress(r["text"]), width, shards))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                if rows := list(announce(r["batch"], r["lens"], zstandard.ZstdDecompressor().decompress(r["text"]), width, shards)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))],
+                                                     names=["shard", "batch", "n", "keys"])
+
+    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = [(r["shard"], (r["batch"], r["n"], r["keys"])) for b in it for r in b.to_pylist()]  # about 4 bytes a piece of one shard
+        if told:
+            if found := list(common_grams([x for _, x in told])):
+                yield pa.RecordBatch.from_arrays([pa.array([told[0][0]] * len(found), pa.int32()), *(
+                    pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int32(), pa.binary())))], names=["shard", "batch", "n", "bits"])
+
+    def deal(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, common = [], {r["shard"]: (r["n"], r["bits"]) for r in right.to_pylist()}
+        for r in left.to_pylist():
+            rows += deal_pieces(r["batch"], r["ids"], r["lens"], zstandard.ZstdDecompressor().decompress(r["text"]), width, shards, common)
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names=names)
 
     def solve(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, settled = Shard(width), False
@@ -334,7 +382,11 @@ def repeated_windows(batches: DataFrame, width: int, shards: int) -> DataFrame:
                                                       "spans": pa.array([_pack(_deltas(doc), _deltas(lo), (hi - lo).astype("<i4"))], pa.binary())})
 
     names, kinds = ["shard", "kind", "batch", "n", "a", "b"], [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-    dealt = batches.select("batch", "ids", "lens", "text").mapInArrow(deal, SHARD_SCHEMA)
+    told = batches.select("batch", "lens", "text").mapInArrow(tell, "shard int, batch long, n int, keys binary")
+    answers = told.repartitionById(shards, F.col("shard")).sortWithinPartitions("batch").mapInArrow(
+        compare, "shard int, batch long, n int, bits binary")
+    # the same exchange of the batches serves here and when the spans come home
+    dealt = batches.select("batch", "ids", "lens", "text").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(deal, SHARD_SCHEMA)
     return dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("kind", "batch").mapInArrow(
         solve, "batch long, n int, spans binary")
 
