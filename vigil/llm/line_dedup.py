@@ -159,6 +159,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     suspect = materialize(docs.select(doc.alias("doc"), text.alias("text")).mapInArrow(suspects, "doc long, key binary"),
                           "suspects")
     first = suspect.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    first = materialize(first, "repeats")  # a plain table on both sides lets AQE split the join where a line is hot
     return suspect.join(first, "key").where("doc > first").select("doc", "key")
 
 
