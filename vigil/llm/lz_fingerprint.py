@@ -28,22 +28,30 @@ def lz_phrases(text: str, stop: int, known: set[str], start: int = 0) -> tuple[l
     """Parse ``text[start:stop]`` into new phrases, added to ``known``: their ends, and where the first
     phrase that does not end by ``stop`` starts."""
     ends, i, size = [], start, 2
+    learn, end = known.add, ends.append
     while i < stop:
-        j = min(i + size, stop)
-        # every prefix of a known phrase is known, so the search may start at any length
-        if text[i:j] in known:
-            j += 1
-            while j <= stop and text[i:j] in known:
+        j = i + size  # the last phrase's length: every prefix of a known phrase is known, so the search may start anywhere
+        if j > stop:
+            j = stop
+        phrase = text[i:j]
+        if phrase in known:
+            while True:
                 j += 1
-            if j > stop:
-                break
+                if j > stop:
+                    return ends, i
+                phrase = text[i:j]
+                if phrase not in known:
+                    break
         else:
-            while j > i + 1 and text[i:j - 1] not in known:
+            while j > i + 1:
+                shorter = text[i:j - 1]
+                if shorter in known:
+                    break
+                phrase = shorter
                 j -= 1
-        known.add(text[i:j])
-        ends.append(j)
-        size = max(1, j - i - 1)
-        i = j
+        learn(phrase)
+        end(j)
+        size, i = j - i, j
     return ends, i
 
 
