@@ -108,3 +108,12 @@ def test_sweep_matches_nearest():
 
 def test_across_ranges():
     assert across_ranges([(0, 2, 3), (1, 1, 0), (2, 0, 2), (3, 3, 1)]) == [(0, 0, 1, 0, 1), (2, 0, 3, 0, 2), (0, 1, 3, 2, 1)]
+
+
+@pytest.mark.parametrize("openers, length", [(99, 10), (99, 32), (90, 40)])
+def test_few_gaps_take_all_they_hold(spark, openers, length):
+    lengths = [1025] * openers + [length] * 10_000  # under 1 % of the documents leave a gap
+    df = spark.createDataFrame(list(enumerate(lengths)), "rid long, length long")
+    got = pack_pieces(df, 2048, per_range=700).collect()
+    assert sorted(r.rid for r in got) == list(range(len(lengths)))
+    assert check([(r.sequence_id, r.offset, lengths[r.rid]) for r in got], 2048) == best_fit(lengths, 2048)

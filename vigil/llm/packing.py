@@ -1,15 +1,14 @@
-"""Best-fit packing in bulk-synchronous steps.
-
-Documents are taken in bands of falling length. Within a band every step range-sorts the waiting
-documents together with the open gaps, and a sweep over each range gives every document its
-successor, the smallest gap that holds it; where several documents have the same successor their rank
-decides (the longest stands nearest, the others go on to the next gap). What a range cannot match is
-matched across ranges by rank from one count a range. Gaps shrink, and the step is repeated until it
-places hardly any document; those left over open new sequences, filled in falling order.
+"""Best-fit decreasing by counts.
+
+Documents of one length are alike to best-fit, and so are sequences with the same open gap: the whole packing is
+planned from the number of documents of each length, at most ``capacity`` numbers. One range sort gives
+every document its rank among those of its length, from one count a range and length; the plan says for
+runs of ranks which sequences they fill. No document opens a sequence while a gap holds it.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Band limits as fractions of the capacity: from 1/2 down, documents of a band fit equally often.
-BANDS = (2, 3, 4, 6, 8, 12, 16, 32)
-LEAST_SHARE = 0.01  # a step that places a smaller share of the band's first documents ends the band
-STEP_SCHEMA = "kind int, part int, idx long, rid long, length long, sid long, gap long"
-DOC, GAP, MATCH = 0, 1, 2
+RANKED_SCHEMA = "part int, nth long, rid long, length long"
 
 
+# sweep and across_ranges (one document a gap) are no longer part of the packing; their tests still read them
 def _runs(sizes: np.ndarray) -> dict[int, tuple[int, int]]:
     v, at, n = np.unique(sizes, return_index=True, return_counts=True)
     return {int(a): (int(b), int(c)) for a, b, c in zip(v, at, n)}
@@ -75,141 +71,98 @@ def across_ranges(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, in
     return out
 
 
-def _sweep_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None  # one range, bounded by per_range
-    if table is None or not table.num_rows:
-        return
-    size, kind, who = (table[c].to_numpy() for c in ("size", "kind", "id"))
-    part = TaskContext.get().partitionId()
-    dl, di, gl, gi = size[kind == DOC], who[kind == DOC], size[kind == GAP], who[kind == GAP]
-    d, g = sweep(dl, gl)
-    free_d, free_g = np.ones(len(dl), bool), np.ones(len(gl), bool)
-    free_d[d], free_g[g] = False, False
-    yield _rows(MATCH, part, di[d], dl[d], gi[g], gl[g])
-    yield _rows(DOC, part, di[free_d][::-1], dl[free_d][::-1], None, None)
-    yield _rows(GAP, part, None, None, gi[free_g], gl[free_g])
-
-
-def _rows(kind, part, rid, length, sid, gap) -> pa.RecordBatch:
-    n = len(rid if rid is not None else sid)
-    col = lambda x: pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(n)),
-                                       col(rid), col(length), col(sid), col(gap)], schema=STEP_ARROW)
-
-
-STEP_ARROW = pa.schema([("kind", pa.int32()), ("part", pa.int32()), *((c, pa.int64()) for c in ("idx", "rid", "length", "sid", "gap"))])
+def best_fit_plan(counts: dict[int, int], capacity: int) -> np.ndarray:
+    """Best-fit decreasing of ``counts`` documents of each length, as rows (length, rank, sequence, each, offset) in
+    order of length and rank: from ``rank`` on, ``each`` documents a sequence are put from ``offset`` on into the
+    sequences from ``sequence`` on, up to the next row's rank.
 
+    A run of sequences splits only where a length ends, and its gap more than halves when it is filled: at most
+    about 3 * lengths * log2(capacity) rows.
+    """
+    gaps: dict[int, list[tuple[int, int]]] = {}  # runs (first sequence, number) of sequences by their open gap
+    sizes, plan, opened = [], [], 0
+
+    def leave(gap: int, first: int, n: int) -> None:
+        if gap and n:
+            if gap not in gaps:
+                insort(sizes, gap)
+            gaps.setdefault(gap, []).append((first, n))
+
+    for length in sorted(counts, reverse=True):
+        rank, left = 0, counts[length]
+        while left:
+            i = bisect_left(sizes, length)
+            if i < len(sizes):
+                gap = sizes[i]
+                first, n = gaps[gap].pop()
+                if not gaps[gap]:
+                    del gaps[gap], sizes[i]
+            else:  # no gap holds it
+                gap, first, n = capacity, opened, -(-left // (capacity // length))
+                opened += n
+            each = gap // length
+            full, part = min(n, left // each), 0
+            plan.append((length, rank, first, each, capacity - gap))
+            leave(gap - each * length, first, full)
+            if full < n and left > full * each:
+                part = left - full * each  # the last one is filled in part
+                leave(gap - part * length, first + full, 1)
+            leave(gap, first + full + (part > 0), n - full - (part > 0))
+            rank, left = rank + full * each + part, left - full * each - part
+    return np.array(sorted(plan), np.int64).reshape(-1, 5)
+
+
+def _ranked(pieces: DataFrame, n: int, per_range: int) -> DataFrame:
+    """``pieces`` in ranges of about ``per_range`` rows by length, each with its place among those of its range and
+    length; equal lengths are split by a hash, so a length that many documents share fills as many ranges as it needs."""
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, held = TaskContext.get().partitionId(), None, 0
+        for b in batches:
+            if not len(b):
+                continue
+            length = b.column(1).to_numpy()
+            at = np.flatnonzero(np.concatenate(([True], length[1:] != length[:-1])))
+            nth = np.arange(len(length)) - np.repeat(at, np.diff(at, append=len(length)))
+            if length[0] == last:
+                nth[:at[1] if len(at) > 1 else None] += held
+            last, held = length[-1], int(nth[-1]) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nth), part, np.int32)), pa.array(nth.astype(np.int64)), b.column(0), b.column(1)],
+                                             names=["part", "nth", "rid", "length"])
 
-def _ranged(events: DataFrame, n: int, per_range: int, descending: bool = False) -> DataFrame:
-    """Sorted by (size, kind) in ranges of about ``per_range`` rows; equal sizes are split by a hash, so a size
-    that many documents share fills as many ranges as it needs."""
     ranges = max(1, -(-n // per_range))
-    keys = [F.desc("size") if descending else F.asc("size"), F.asc("kind"), F.asc("h")]
-    events = events.withColumn("h", F.xxhash64("id"))
-    dealt = events.repartitionByRange(ranges, *keys) if ranges > 1 else events.coalesce(1)
-    return dealt.sortWithinPartitions(*keys).select("size", "kind", "id")
-
-
-class _Packer:
-    def __init__(self, capacity: int, per_range: int):
-        self.capacity, self.per_range = capacity, per_range
-        self.placed: list[DataFrame] = []  # (rid, sid, offset)
-        self.gaps: list[DataFrame] = []  # (sid, gap)
-
-    def _union(self, frames: list[DataFrame]) -> DataFrame:
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
-
-    def step(self, docs: DataFrame, n_docs: int, least: int) -> tuple[DataFrame, int]:
-        """One matching of ``docs`` (rid, length) with the gaps of at least ``least``; the documents left."""
-        able = self._union([g.where(F.col("gap") >= least) for g in self.gaps])
-        events = docs.select(F.col("length").alias("size"), F.lit(DOC).alias("kind"), F.col("rid").alias("id")).unionByName(
-            able.select(F.col("gap").alias("size"), F.lit(GAP).alias("kind"), F.col("sid").alias("id")))
-        ranged = _ranged(events, n_docs + self.n_gaps, self.per_range)
-        step = materialize(ranged.mapInArrow(_sweep_range, STEP_SCHEMA), "pack-step")
-        count = {(r["part"], r["kind"]): r["count"] for r in step.groupBy("part", "kind").count().collect()}  # three rows a range
-        n = sum(v for (_, kind), v in count.items() if kind == MATCH)
-        parts = sorted({p for p, _ in count})
-        runs = across_ranges([(p, count.get((p, GAP), 0), count.get((p, DOC), 0)) for p in parts])
-        match = step.where(F.col("kind") == MATCH).select("rid", "length", "sid", "gap")
-        docs = step.where(F.col("kind") == DOC).select("part", "idx", "rid", "length")
-        gaps = step.where(F.col("kind") == GAP).select("part", "idx", "sid", "gap")
-        if runs:
-            spark = step.sparkSession
-            run = F.broadcast(spark.createDataFrame(runs, "dpart int, drank long, gpart int, grank long, n long"))  # two rows a range
-            to = docs.join(run, (F.col("part") == F.col("dpart")) & F.col("idx").between(F.col("drank"), F.col("drank") + F.col("n") - 1)) \
-                .select("rid", "length", F.col("gpart").alias("part"), (F.col("idx") - F.col("drank") + F.col("grank")).alias("idx"))
-            crossed = materialize(to.join(gaps, ["part", "idx"]).select("rid", "length", "sid", "gap"), "pack-cross")
-            match = match.unionByName(crossed)
-            docs = docs.join(crossed.select("rid"), "rid", "left_anti")
-            gaps = gaps.join(crossed.select("sid"), "sid", "left_anti")
-            n += sum(r[4] for r in runs)
-        self.placed.append(match.select("rid", "sid", (F.lit(self.capacity) - F.col("gap")).alias("offset")))
-        self.gaps = [g.where(F.col("gap") < least) for g in self.gaps] + [
-            gaps.select("sid", "gap"), match.select("sid", (F.col("gap") - F.col("length")).alias("gap")).where("gap > 0")]
-        return docs.select("rid", "length"), n
-
-    def open_new(self, docs: DataFrame, n_docs: int) -> None:
-        """New sequences for ``docs``, filled one after the other in falling order of length."""
-        capacity = self.capacity
-
-        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sid, used = None, 0
-            for b in batches:
-                sids, offsets, closed = [], [], []
-                for size, rid in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                    if sid is None or used + size > capacity:
-                        if sid is not None and used < capacity:
-                            closed.append((sid, capacity - used))
-                        sid, used = rid, 0
-                    sids.append(sid)
-                    offsets.append(used)
-                    used += size
-                part = TaskContext.get().partitionId()
-                # a placement's gap column holds its offset as the gap it was put into
-                yield _rows(MATCH, part, b.column(2).to_numpy(), b.column(0).to_numpy(), sids, [capacity - o for o in offsets])
-                if closed:
-                    yield _rows(GAP, part, None, None, *zip(*closed))
-            if sid is not None and used < capacity:
-                yield _rows(GAP, TaskContext.get().partitionId(), None, None, [sid], [capacity - used])
-
-        events = docs.select(F.col("length").alias("size"), F.lit(DOC).alias("kind"), F.col("rid").alias("id"))
-        done = materialize(_ranged(events, n_docs, self.per_range, descending=True).mapInArrow(fill, STEP_SCHEMA), "pack-open")
-        self.placed.append(done.where(F.col("kind") == MATCH).select("rid", "sid", (F.lit(capacity) - F.col("gap")).alias("offset")))
-        self.gaps.append(done.where(F.col("kind") == GAP).select("sid", "gap"))
-
-    def band(self, docs: DataFrame, n: int, least: int) -> None:
-        first = n
-        while n and self.gaps:
-            if len(self.gaps) > 1:
-                self.gaps = [materialize(self._union(self.gaps), "pack-gaps")]
-            self.n_gaps = self.gaps[0].where(F.col("gap") >= least).count()
-            if not self.n_gaps:
-                break
-            docs, matched = self.step(docs, n, least)
-            n -= matched
-            if matched < max(1, LEAST_SHARE * first):
-                break
-        if n:
-            self.open_new(docs, n)
+    pieces = pieces.select("rid", "length", F.xxhash64("rid").alias("h"))
+    dealt = pieces.repartitionByRange(ranges, "length", "h") if ranges > 1 else pieces.coalesce(1)
+    return materialize(dealt.sortWithinPartitions("length", "h").select("rid", "length").mapInArrow(number, RANKED_SCHEMA), "ranked")
 
 
 def pack_pieces(pieces: DataFrame, capacity: int, per_range: int = 50_000) -> DataFrame:
     """(rid, sequence_id, offset) for ``pieces`` (rid long, unique; length between 1 and ``capacity``)."""
-    packer = _Packer(capacity, per_range)
-    packer.placed.append(pieces.where(F.col("length") == capacity).select("rid", F.col("rid").alias("sid"), F.lit(0).cast("long").alias("offset")))
-    limits = [capacity - 1] + sorted({capacity // b for b in BANDS if capacity // b >= 1}, reverse=True) + [0]
-    bounds = list(zip(limits[1:], limits))
-    which = F.coalesce(*[F.when((F.col("length") > low) & (F.col("length") <= high), F.lit(i)) for i, (low, high) in enumerate(bounds)])
-    sizes = {r["band"]: (r["n"], r["least"]) for r in pieces.where(F.col("length") < capacity).groupBy(which.alias("band"))
-             .agg(F.count("*").alias("n"), F.min("length").alias("least")).collect()}  # one row a band
-    for i, (low, high) in enumerate(bounds):
-        if i in sizes:
-            band = pieces.where((F.col("length") > low) & (F.col("length") <= high)).select("rid", "length")
-            packer.band(band, *sizes[i])
-    return packer._union(packer.placed).withColumnRenamed("sid", "sequence_id")
+    ranked = _ranked(pieces.select("rid", F.col("length").cast("long").alias("length")), pieces.count(), per_range)
+    held = np.array(sorted((r["length"], r["part"], r["count"]) for r in ranked.groupBy("part", "length").count().collect()),
+                    np.int64).reshape(-1, 3)  # a row a range and length in it: at most ranges + capacity
+    length, part, count = held.T
+    lengths, first = np.unique(length, return_index=True)
+    before = np.cumsum(count) - count
+    start = before - np.repeat(before[first], np.diff(first, append=len(length)))
+    totals = np.add.reduceat(count, first) if len(first) else first
+    plan = best_fit_plan(dict(zip(lengths.tolist(), totals.tolist())), capacity)
+    # one sorted number for (length, range) and for (length, rank)
+    parts, ranks = int(part.max(initial=0)) + 1, int(totals.max(initial=0)) + 1
+    shared = pieces.sparkSession.sparkContext.broadcast((length * parts + part, start, plan[:, 0] * ranks + plan[:, 1], plan))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges, start, runs, plan = shared.value
+        for b in batches:
+            if not len(b):
+                continue
+            part, nth, length = (b.column(i).to_numpy().astype(np.int64) for i in (0, 1, 3))
+            rank = start[np.searchsorted(ranges, length * parts + part)] + nth
+            _, at, sequence, each, offset = plan[np.searchsorted(runs, length * ranks + rank, "right") - 1].T
+            nth = rank - at
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(sequence + nth // each), pa.array(offset + nth % each * length)],
+                                             names=["rid", "sequence_id", "offset"])
+
+    return ranked.mapInArrow(place, "rid long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str = "word_bpe_49k.json", end_id: int = 0,
