@@ -76,3 +76,32 @@ def test_graph_reaches_all_within_ratio():
     d = np.sqrt(((q[:, None] - c[None]) ** 2).sum(-1))
     want = [set(np.flatnonzero(r <= 1.3 * r.min())) for r in d]
     assert np.mean([len(w & set(ids.tolist())) / len(w) for w, (ids, _) in zip(want, found)]) > 0.97
+
+
+@pytest.mark.parametrize("groups", [2, 16, 64])
+def test_groups_are_bounded(spark, monkeypatch, groups):
+    rng, n = np.random.default_rng(4), 3000
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(n, 3)))]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    per_group = -(-n // groups)
+    monkeypatch.setattr(S, "GROUP_ROWS", per_group)
+    monkeypatch.setattr(S, "PART_ROWS", max(1, per_group // 4))
+    seen, group_by = [], type(df).groupBy
+    monkeypatch.setattr(type(df), "groupBy", lambda self, *c: (seen.append(self) if isinstance(c[0], str) and c[0] == "grp" and "cell" in self.columns else None, group_by(self, *c))[1])
+    # one replica: as many postings as vectors, so a power of two of groups
+    out = nearest_neighbours(df, F.col("vec_id") % 100 == 0, replicas=1, search_ratio=50.0)
+    got = {q: [(s, i) for _, s, i in v] for q, v in results(out).items()}
+    assert got == {q: [(pytest.approx(s), i) for s, i in v] for q, v in brute(rows, lambda q: q % 100 == 0).items()}
+    sizes = [r["count"] for r in group_by(seen[0], "grp").count().collect()]
+    assert sum(sizes) == n and len(sizes) == groups and max(sizes) <= 2 * per_group
+
+
+def test_cells_fill_groups_evenly():
+    rng = np.random.default_rng(6)
+    for groups in (2, 100, 1000, 1024):
+        size = rng.lognormal(0, 1, 4096)
+        size = (size / size.sum() * groups * S.GROUP_ROWS).astype(np.int64)
+        parts, first, n = S.number_cells(size)
+        cells = np.repeat(first - (np.cumsum(parts) - parts), parts) + np.arange(parts.sum())
+        assert sorted(cells.tolist()) == list(range(parts.sum())) and n == groups
+        assert np.bincount(cells % n, np.repeat(size / parts, parts)).max() <= S.GROUP_ROWS + S.PART_ROWS

@@ -24,7 +24,6 @@ SAMPLE_VALUES = 8_000_000  # numbers in the training sample: rows x dimensions
 PART_ROWS = 5_000
 GROUP_ROWS = 20_000  # postings that are scanned together
 SLOTS = 1 << 30
-CELL_PARTS = 1 << 30  # a cell's number is list * CELL_PARTS + part
 
 
 def balanced_clusters(x: np.ndarray, lists: int, seed: int = 0) -> np.ndarray:
@@ -132,6 +131,17 @@ def usable(vector: Column) -> Column:
     return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def number_cells(rows_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(parts, first cell) of every list, and the number of groups. A cell is a part of a list; cells are numbered
+    from the largest to the smallest and cell c is in group c % groups, so a group holds no more
+    than the average, GROUP_ROWS at most, and one cell of about PART_ROWS."""
+    parts = np.maximum(1, -(-rows_of // PART_ROWS))
+    order = np.argsort(-rows_of / parts, kind="stable")
+    first = np.empty_like(parts)
+    first[order] = np.cumsum(parts[order]) - parts[order]
+    return parts, first, int(max(1, -(-rows_of.sum() // GROUP_ROWS)))
+
+
 def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
                        list_rows: int = 64, search_ratio: float = 1.15, boundary_ratio: float = 1.1, replicas: int = 4,
                        least_lists: int = 8) -> DataFrame:
@@ -190,19 +200,17 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 10, id_col:
     postings = materialize(classes.select("cls", "v", "ids").mapInArrow(post, "list long, cls long, v array<double>, ids array<long>"), "postings")
     sizes = {r["list"]: r["count"] for r in postings.groupBy("list").count().collect()}  # MAX_LISTS rows at most
     rows_of = np.array([sizes.get(i, 0) for i in range(len(centroids))])
-    parts_of = np.maximum(1, -(-rows_of // PART_ROWS))
-    groups = int(max(1, -(-rows_of.sum() // GROUP_ROWS)))
-    stats = spark.sparkContext.broadcast((rows_of, parts_of))
-    part_table = F.lit([int(p) for p in parts_of]).cast("array<int>")
-    part = F.pmod(F.xxhash64("cls"), F.get(part_table, F.col("list").cast("int")))
-    # a cell is a part of a list; cells are dealt to groups of about GROUP_ROWS postings
-    parted = postings.select((F.col("list") * CELL_PARTS + part).alias("cell"), "v", "ids").withColumn("grp", (F.col("cell") % groups).cast("int"))
+    parts_of, cell_of, groups = number_cells(rows_of)
+    stats = spark.sparkContext.broadcast((rows_of, parts_of, cell_of))
+    of_list = lambda x: F.get(F.lit([int(v) for v in x]).cast("array<long>"), F.col("list").cast("int"))
+    cell = of_list(cell_of) + F.pmod(F.xxhash64("cls"), of_list(parts_of))
+    parted = postings.select(cell.alias("cell"), "v", "ids").withColumn("grp", (F.col("cell") % groups).cast("int"))
 
     # a query vector is searched once, however many query rows share it
     asked = materialize(rows.where("asks").select("id", "v").join(classes.select("cls", "v"), "v").select("id", "cls", "v"), "asked")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, (size, parts) = graph.value, stats.value
+        g, (size, parts, first) = graph.value, stats.value
         for b in batches:
             if not len(b):
                 continue
@@ -212,7 +220,7 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 10, id_col:
                     ids = np.arange(len(size))
                 ids = ids[size[ids] > 0]
                 n = parts[ids]
-                cell = np.repeat(ids * CELL_PARTS, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                cell = np.repeat(first[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 for j in np.unique(cell % groups).tolist():
                     q.append(i)
                     grp.append(j)
