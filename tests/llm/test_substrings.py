@@ -100,3 +100,66 @@ def test_suffix_array(depth):
     for i in range(1, len(sa)):
         a, b = raw[sa[i - 1]:sa[i - 1] + depth], raw[sa[i]:sa[i] + depth]
         assert lcp[i] == next((k for k in range(depth) if a[k] != b[k]), depth)
+
+
+def dealt(docs, w, shards, per, hot_bytes):
+    """Rows for the shards, by the operator's own steps."""
+    batches = [docs[i:i + per] for i in range(0, len(docs), per)]
+    parts = [([i for i, _ in b], [len(t) for _, t in b], b"".join(t for _, t in b)) for b in batches]
+    told, common = {}, {}
+    for n, (_, lens, raw) in enumerate(parts):
+        for s, *rest in S.announce(n, lens, raw, w, shards):
+            told.setdefault(s, []).append(tuple(rest))
+    for s, said in told.items():
+        for n, k, bits in S.common_grams(said, *hot_bytes):
+            common.setdefault(n, {})[s] = (k, bits)
+    return [r for n, p in enumerate(parts) for r in S.deal_pieces(n, *p, w, shards, common.get(n, {}))]
+
+
+def test_a_hot_gram_is_dealt_over_the_shards():
+    rnd = random.Random(7)
+    phrase = "this phrase is in every document"
+    text = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(60))
+    docs = [(i, (text() + phrase + text()).encode()) for i in range(2000)]
+    hot = (20_000,) if hasattr(S, "HOT_BYTES") else ()
+    sizes = np.zeros(8, int)
+    for s, kind, _, n, *_ in dealt(docs, 50, 8, 500, hot):
+        sizes[s] += n if kind % 2 == 0 else 0
+    assert sizes.max() < 1.5 * sizes.mean()
+
+
+def test_windows_of_hot_grams_against_brute_force(spark, monkeypatch, docs, docs_rows):
+    want = sorted(brute([(r[0], (r[1] or "").encode()) for r in docs_rows], 50), key=str)
+    monkeypatch.setattr(S, "BATCH_BYTES", 2000)
+    for hot_bytes in (0, 200, 1000):  # all grams, some, few
+        monkeypatch.setattr(S, "HOT_BYTES", hot_bytes)
+        got = rows_of(S.remove_repeated_substrings(docs, 50), "doc_id", "kept", "n_bytes", "n_removed", "n_spans")
+        assert [(i, bytes(k), *x) for i, k, *x in got] == want
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_hot_steps_against_brute_force(seed):
+    rnd = random.Random(seed)
+    w, shards, base = rnd.choice([3, 8, 50]), rnd.choice([1, 3, 7]), ["".join(rnd.choice("ab\x00 é") for _ in range(150)) for _ in range(3)]
+    docs = [(rnd.choice([i, None, 3]), "".join(rnd.choice(base)[rnd.randint(0, 50):rnd.randint(30, 150)] for _ in range(rnd.randint(0, 4))).encode())
+            for i in range(12)]
+    per, gone = rnd.choice([1, 3, 20]), {}
+    rows = dealt(docs, w, shards, per, (rnd.choice([0, 128, 512]),))
+    for s in range(shards):
+        for kind, solver in ((S.PIECES, S.Shard), (S.WINDOWS, S.Windows)):
+            mine = [r for r in rows if r[:2] == (s, kind)]
+            shard = solver(w)
+            for r in mine:
+                shard.add(*r[2:])
+            if mine:
+                shard.settle()
+            for r in (r for r in rows if r[:2] == (s, kind + 1)):
+                for d, lo, hi in zip(*shard.repeats(*r[2:])):
+                    gone.setdefault(r[2] * per + int(d), []).append((int(lo), int(hi)))
+    out = []
+    for k, (i, t) in enumerate(docs):
+        g = np.zeros(len(t), bool)
+        for lo, hi in gone.get(k, []):
+            g[lo:hi + w - 1] = True
+        out.append((i, bytes(x for x, y in zip(t, g) if not y), int(g.sum())))
+    assert out == [r[:2] + r[3:4] for r in brute(docs, w)]

@@ -3,7 +3,8 @@
 Texts are cut into overlapping pieces in such a way that all copies of a string of ``width`` bytes lie in
 pieces of one shard: a piece is a run of windows of that width with the same smallest hash of a shorter
 gram. Batches of documents first announce the hashes of their grams; pieces whose gram occurs nowhere
-else hold no repeat and stay at home. Equal pieces of a batch travel once. A shard sorts the suffixes of
+else hold no repeat and stay at home. Equal pieces of a batch travel once. Of a gram with very many
+pieces every window is dealt by itself, as a digest, so that no gram fills a shard. A shard sorts the suffixes of
 its pieces in sub-shards of bounded size, finds equal windows by common prefixes, and learns the smallest
 document of each; sub-shards that a frequent gram fills are merged by binary search of their sorted
 strings. What a document has to give up goes back to its batch.
@@ -11,6 +12,7 @@ strings. What a document has to give up goes back to its batch.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,11 @@ BATCH_DOCS = 20_000
 SHARD_BYTES = 64 << 20  # of pieces; about four times the text
 SUB_BYTES = LIMIT - (1 << 16)
 PIECE_WINDOWS = 4096
+HOT_BYTES = 4 << 20  # a gram with more bytes of distinct pieces has its windows dealt one by one
+WEIGHT_BYTES = 64  # unit in which the bytes of a gram's pieces are announced
+FEW = 8  # pieces of a gram in a batch that are announced without looking for equal ones
 SHARD_SCHEMA = "shard int, kind int, batch long, n int, a binary, b binary"
-PIECES, PLACES = 0, 1
+PIECES, PLACES, WINDOWS, WINDOW_PLACES = range(4)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -146,67 +151,115 @@ def gram_codes(gram: np.ndarray, shards: int) -> np.ndarray:
 
 
 def announce(batch: int, lens: list[int], raw: bytes, width: int, shards: int) -> Iterator[tuple]:
-    """(shard, batch, n, keys): the distinct grams of a batch."""
-    codes = np.unique(gram_codes(cut_pieces(np.frombuffer(raw, np.uint8), *_ends(lens), width)[2], shards))
+    """(shard, batch, n, keys): the distinct grams of a batch, and about how much their distinct pieces weigh."""
+    first, count, gram = cut_pieces(np.frombuffer(raw, np.uint8), *_ends(lens), width)
+    codes, of, times = np.unique(gram_codes(gram, shards), return_inverse=True, return_counts=True)
+    size = count + (width - 1)
+    many = np.flatnonzero(times[of] > FEW)
+    once = {raw[a:a + n]: i for i, a, n in zip(many.tolist(), first[many].tolist(), size[many].tolist())}
+    counted = np.concatenate((np.flatnonzero(times[of] <= FEW), np.fromiter(once.values(), np.int64, len(once))))
+    weight = np.bincount(of[counted], -(-size[counted] // WEIGHT_BYTES), len(codes)).astype("<u4")
     shard = (codes >> np.uint64(32)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else []
     for a, b in zip(first, [*first[1:], len(codes)]):
         keys = (codes[a:b] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        yield int(shard[a]), batch, int(b - a), _pack(np.diff(keys, prepend=0).astype("<u4"))
+        yield int(shard[a]), batch, int(b - a), _pack(np.diff(keys, prepend=0).astype("<u4"), weight[a:b])
 
 
-def common_grams(announced: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
-    """(batch, n, bits) for the batches of a shard: which of their grams another batch has too."""
-    keys = [np.cumsum(_unpack(blob, n, "<u4")[0], dtype=np.int64) for _, n, blob in announced]
-    grams, count = np.unique(np.concatenate(keys), return_counts=True)
+def common_grams(announced: list[tuple[int, int, bytes]], hot_bytes: int = HOT_BYTES) -> Iterator[tuple[int, int, bytes]]:
+    """(batch, n, bits) for the batches of a shard: which of their grams another batch has too, and, where there
+    are any, as many bits again: of which all batches together have more than ``hot_bytes`` of pieces."""
+    keys, weights = zip(*(_unpack(blob, n, "<u4", "<u4") for _, n, blob in announced))
+    keys = [np.cumsum(k, dtype=np.int64) for k in keys]
+    every, weight = np.concatenate(keys), np.concatenate(weights)
+    grams, count = np.unique(every, return_counts=True)
     grams = grams[count > 1]
+    heavy = np.bincount(every >> 12, weight)[every >> 12] > hot_bytes // WEIGHT_BYTES  # grams that share their upper bits
+    hot_grams, of = np.unique(every[heavy], return_inverse=True)
+    hot_grams = hot_grams[np.bincount(of, weight[heavy], len(hot_grams)) > hot_bytes // WEIGHT_BYTES]
     for (batch, n, _), k in zip(announced, keys):
         at = np.minimum(np.searchsorted(grams, k), max(0, len(grams) - 1))
         common = grams[at] == k if len(grams) else np.zeros(n, bool)
-        if common.any():
-            yield batch, n, np.packbits(common).tobytes()
+        hot = np.isin(k, hot_grams) if len(hot_grams) else np.zeros(n, bool)
+        if common.any() or hot.any():
+            yield batch, n, np.packbits(common).tobytes() + (np.packbits(hot).tobytes() if hot.any() else b"")
+
+
+def _equal(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one place of each distinct row, number of the distinct row at each place) of (n, 2) ``words``."""
+    order = np.lexsort((words[:, 1], words[:, 0]))
+    w = words[order]
+    head = np.ones(len(w), bool)
+    head[1:] = (w[1:] != w[:-1]).any(1)
+    group = np.empty(len(w), np.int64)
+    group[order] = np.cumsum(head) - 1
+    return order[head], group
+
+
+def _distinct(raw: bytes, first: np.ndarray, size: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    known: dict[bytes, int] = {}
+    of = np.fromiter((known.setdefault(raw[a:a + n], len(known)) for a, n in zip(first.tolist(), size.tolist())), np.int64, len(first))
+    return list(known), of
 
 
 def deal_pieces(batch: int, ids: list, lens: list[int], raw: bytes, width: int, shards: int,
                 common: dict[int, tuple[int, bytes]]) -> Iterator[tuple]:
     """Rows of ``SHARD_SCHEMA``: by shard, a batch's distinct pieces that may hold a repeat, and where they
-    occur. ``common`` has by shard the answer to what the batch announced."""
+    occur; of hot grams the distinct windows. ``common`` has by shard the answer to what the batch announced."""
     starts, ends = _ends(lens)
     text, who = np.frombuffer(raw, np.uint8), _order_ids(ids)
     first, count, gram = cut_pieces(text, starts, ends, width)
     codes, of, times = np.unique(gram_codes(gram, shards), return_inverse=True, return_counts=True)
     travels = times > 1  # or in another batch
+    hot = np.zeros(len(codes), bool)
     for s, (n, bits) in common.items():
         a = int(np.searchsorted(codes, np.uint64(s << 32)))
-        travels[a:a + n] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
-    first, count, gram = (x[travels[of]] for x in (first, count, gram))
-    if not len(first):
-        return
-    known: dict[bytes, int] = {}
-    stops = first + count + (width - 1)
-    of = np.fromiter((known.setdefault(raw[a:b], len(known)) for a, b in zip(first.tolist(), stops.tolist())), np.int64, len(first))
-    pieces = list(known)
-    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    doc = np.searchsorted(ends, first, "right")
-    least = np.full(len(pieces), LAST_ID, np.int64)
-    np.minimum.at(least, of, who[doc])
-    gram_of = np.empty(len(pieces), np.uint64)
-    gram_of[of] = gram
-    shard = (gram_of % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    local = np.empty(len(pieces), np.int64)
-    bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-    local[order] = np.arange(len(pieces)) - bounds[shard[order]]
-    occ = np.argsort(shard[of], kind="stable")
-    occ_bounds = np.searchsorted(shard[of][occ], np.arange(shards + 1))
-    for s in np.unique(shard).tolist():
-        mine = order[bounds[s]:bounds[s + 1]]
-        yield (s, PIECES, batch, len(mine), zstandard.ZstdCompressor(level=3).compress(b"".join([pieces[i] for i in mine.tolist()])),
-               _pack(least[mine].astype("<i8"), size[mine].astype("<i4"), (gram_of[mine] >> np.uint64(32)).astype("<u4")))
-        at = occ[occ_bounds[s]:occ_bounds[s + 1]]
-        docs, nth = np.unique(doc[at], return_inverse=True)
-        yield (s, PLACES, batch, len(at), _pack(_deltas(local[of[at]]), _deltas(nth), _deltas(first[at] - starts[doc[at]])),
-               _pack(np.array([len(docs)], "<i4"), docs.astype("<i4"), who[docs].astype("<i8")))
+        flags, half = np.frombuffer(bits, np.uint8), -(-n // 8)
+        travels[a:a + n] |= np.unpackbits(flags[:half], count=n).astype(bool)
+        if len(flags) > half:
+            hot[a:a + n] = np.unpackbits(flags[half:], count=n).astype(bool)
+
+    def rows(kind, of, first, shard, body, *meta):
+        doc = np.searchsorted(ends, first, "right")
+        least = np.full(len(shard), LAST_ID, np.int64)
+        np.minimum.at(least, of, who[doc])
+        order = np.argsort(shard, kind="stable")
+        local = np.empty(len(shard), np.int64)
+        bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+        local[order] = np.arange(len(shard)) - bounds[shard[order]]
+        occ = np.argsort(shard[of], kind="stable")
+        occ_bounds = np.searchsorted(shard[of][occ], np.arange(shards + 1))
+        for s in np.unique(shard).tolist():
+            mine = order[bounds[s]:bounds[s + 1]]
+            yield (s, kind, batch, len(mine), zstandard.ZstdCompressor(level=3).compress(body(mine)),
+                   _pack(least[mine].astype("<i8"), *(x[mine] for x in meta)))
+            at = occ[occ_bounds[s]:occ_bounds[s + 1]]
+            docs, nth = np.unique(doc[at], return_inverse=True)
+            yield (s, kind + 1, batch, len(at), _pack(_deltas(local[of[at]]), _deltas(nth), _deltas(first[at] - starts[doc[at]])),
+                   _pack(np.array([len(docs)], "<i4"), docs.astype("<i4"), who[docs].astype("<i8")))
+
+    cold, hot = (travels & ~hot)[of], (travels & hot)[of]
+    if cold.any():
+        at, windows, gram = first[cold], count[cold], gram[cold]
+        pieces, of = _distinct(raw, at, windows + (width - 1))
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        gram_of = np.empty(len(pieces), np.uint64)
+        gram_of[of] = gram
+        yield from rows(PIECES, of, at, (gram_of % np.uint64(shards)).astype(np.int64), lambda mine: b"".join([pieces[i] for i in mine.tolist()]),
+                        size.astype("<i4"), (gram_of >> np.uint64(32)).astype("<u4"))
+    if hot.any():
+        at, windows = first[hot], count[hot]
+        pieces, of = _distinct(raw, at, windows + (width - 1))
+        held, digests = np.fromiter((len(x) - width + 1 for x in pieces), np.int64, len(pieces)), bytearray()
+        for x in pieces:
+            for i in range(len(x) - width + 1):
+                digests += hashlib.blake2b(x[i:i + width], digest_size=16).digest()
+        words = np.frombuffer(bytes(digests), "<u8").reshape(-1, 2)
+        one, group = _equal(words)
+        words = words[one]
+        nth = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)  # of the piece's windows
+        of = group[np.repeat((np.cumsum(held) - held)[of], windows) + nth]
+        yield from rows(WINDOWS, of, np.repeat(at, windows) + nth, (words[:, 0] % np.uint64(shards)).astype(np.int64), lambda mine: words[mine].tobytes())
 
 
 class SubShard:
@@ -343,8 +396,27 @@ class Shard:
         return doc[nth[occ]], pos[occ] + self.run_from[run], pos[occ] + self.run_to[run]
 
 
+class Windows(Shard):
+    """Windows of hot grams by their digests: each is a run of its own."""
+
+    def add(self, batch: int, n: int, text: bytes, meta: bytes) -> None:
+        self.base[batch] = self.n
+        self.n += n
+        self.pieces.append(zstandard.ZstdDecompressor().decompress(text))
+        self.least.append(_unpack(meta, n, "<i8")[0])
+
+    def settle(self) -> None:
+        one, group = _equal(np.frombuffer(b"".join(self.pieces), "<u8").reshape(-1, 2))
+        self.pieces, least = [], np.full(len(one), LAST_ID, np.int64)
+        np.minimum.at(least, group, np.concatenate(self.least))
+        self.run_from, self.run_to, self.run_least = np.zeros(self.n, np.int64), np.ones(self.n, np.int64), least[group]
+        self.run_at = np.arange(self.n + 1)
+
+
 def repeated_windows(batches: DataFrame, width: int, shards: int) -> DataFrame:
     """(batch, n, spans): windows that each batch's documents share with smaller documents."""
+    hot_bytes = HOT_BYTES
+
     def tell(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for r in b.to_pylist():
@@ -353,9 +425,9 @@ def repeated_windows(batches: DataFrame, width: int, shards: int) -> DataFrame:
                                                      names=["shard", "batch", "n", "keys"])
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told = [(r["shard"], (r["batch"], r["n"], r["keys"])) for b in it for r in b.to_pylist()]  # about 4 bytes a piece of one shard
+        told = [(r["shard"], (r["batch"], r["n"], r["keys"])) for b in it for r in b.to_pylist()]  # about 8 bytes a piece of one shard
         if told:
-            if found := list(common_grams([x for _, x in told])):
+            if found := list(common_grams([x for _, x in told], hot_bytes)):
                 yield pa.RecordBatch.from_arrays([pa.array([told[0][0]] * len(found), pa.int32()), *(
                     pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int32(), pa.binary())))], names=["shard", "batch", "n", "bits"])
 
@@ -366,11 +438,13 @@ def repeated_windows(batches: DataFrame, width: int, shards: int) -> DataFrame:
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names=names)
 
     def solve(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, settled = Shard(width), False
-        for b in it:  # all pieces come before the first places
+        shard, settled = None, False
+        for b in it:  # all pieces come before the first places, then all windows before theirs
             for i in range(b.num_rows):
                 _, kind, batch, n, x, y = (c[i].as_py() for c in b.columns)
-                if kind == PIECES:
+                if kind in (PIECES, WINDOWS):
+                    if shard is None or settled:
+                        shard, settled = (Shard if kind == PIECES else Windows)(width), False
                     shard.add(batch, n, x, y)
                     continue
                 if not settled:
