@@ -41,6 +41,13 @@ def test_edges(spark, no_docs):
     assert dedup_lines(no_docs).collect() == []
 
 
+def test_null_text_beside_a_text_of_the_same_id(spark):
+    rows = [(1, "same line here"), (2, "same line here\nother"), (2, None), (None, "same line here"), (None, None)]
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(out, "doc_id", "text", "n_lines", "n_dropped") == sorted(
+        [(1, "same line here", 1, 0), (2, "other", 2, 1), (2, None, 1, 0), (None, "", 1, 1), (None, None, 1, 0)], key=str)
+
+
 def test_small_filter_changes_nothing(docs, docs_rows):
     got = [(i, t or "", n, d) for i, t, n, d in rows_of(dedup_lines(docs, max_bits=1 << 13, bits_per_line=1), "doc_id", "text", "n_lines", "n_dropped")]
     assert sorted(got, key=str) == brute([r[:2] for r in docs_rows])

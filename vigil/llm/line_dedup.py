@@ -185,7 +185,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def cut(texts: pd.Series, drop: pd.Series) -> pd.DataFrame:
         rows = []
         for t, d in zip(texts, drop):
-            if d is None or not len(d):
+            if t is None or d is None or not len(d):
                 rows.append((t, 1 + t.count("\n") if t else 1, 0))
                 continue
             gone, lines = {bytes(x) for x in d}, t.encode().split(b"\n")
