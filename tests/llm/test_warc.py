@@ -8,7 +8,7 @@ import io
 import pytest
 
 from vigil.llm.common import scratch
-from vigil.llm.warc import decode_record, encode_record, list_archives, read_warc, scan_range, write_warc
+from vigil.llm.warc import decode_record, encode_record, list_archives, mark_revisits, read_warc, scan_range, write_warc
 
 ROWS = [(3, "http://a/x", "same"), (1, "http://b\r\nX: 1/é ?q=1", "same"), (2, None, None), (7, "u", ""), (5, "u", "é\r\n\r\nWARC/1.0\r\n" * 40),
         (5, "u", "é\r\n\r\nWARC/1.0\r\n" * 40), (None, "n", "same"), (None, "n", "alone"), (9, "z", "x" * 300_000), (1, "v", "same")]
@@ -73,3 +73,9 @@ def test_scan_skips_false_magic():
         assert got == [f"<urn:page:{i}>" for i in range(3)]
     with pytest.raises(ValueError):
         list(scan_range(io.BytesIO(encode_record(1, "u", bytes(range(256)) * 400, "00" * 20, None, "d")[:-9]), 0, 100))
+
+
+def test_no_aggregate_between_shuffle_and_join(spark):
+    marked = mark_revisits(spark.createDataFrame([(1, "u", "same"), (2, "v", "same"), (3, "w", None)], "page_id long, url string, html string"))
+    assert "Aggregate" not in marked._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.id, r.refers_to) for r in marked.collect()) == [(1, None), (2, "<urn:page:1>"), (3, None)]

@@ -135,6 +135,7 @@ def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     # copies are counted before they are shuffled; the joined side has one row a payload
     first = p.groupBy("sha1", "size", "id").agg(F.count("*").alias("rows")).groupBy("sha1", "size").agg(
         F.min_by(F.struct("id", "rows"), F.struct(F.col("id").isNull(), "id")).alias("first"))
+    first = materialize(first, "first")  # a plain table on both sides lets AQE split the join at a hot payload
     j = p.join(first, ["sha1", "size"])
     own = F.col("id").eqNullSafe(F.col("first.id"))
     urn = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("first.id").cast("string"), F.lit("")), F.lit(">"))
