@@ -105,3 +105,12 @@ def test_components(spark):
 def test_fingerprint_words():
     for t in ("one", "one two three", "a b c a b c a b c", "É é É é", None, "", "a\x1cb c d e"):
         assert simhash(t, 3) % (1 << 64) == brute_fingerprint(t, 3)
+
+
+def test_an_id_of_unlike_texts(spark):
+    rows = [(1, "one text of its own here"), (1, "something quite different stands there"), (2, "something quite different stands there"),
+            (0, "a third group of words again"), (2, "a third group of words again"), (3, "and the last one is alone"), (1, "one text of its own here"),
+            (4, "a fifth text nobody else has"), (4, "a third group of words again")]
+    kept = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    # every group keeps one row: id 1 is the smallest of two groups, id 4 of one and second in another
+    assert rows_of(kept, "doc_id", "text") == sorted([rows[0], rows[1], rows[3], rows[5], rows[7]], key=str)

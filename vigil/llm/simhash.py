@@ -15,12 +15,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 from .components import connected_components
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -242,24 +243,39 @@ def simhash_components(docs: DataFrame, shingle: int = 3, limit: int = 2, id_col
     null ``component_id``); repeated rows come back once each; other columns are not read.
     """
     rows = materialize(fingerprints(docs, shingle, id_col, text_col), "simhash")
+    return rows.join(_components(rows, limit, per_range), "fp").select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _components(rows: DataFrame, limit: int, per_range: int) -> DataFrame:
+    """(fp, root, component_id) of the fingerprints in ``rows``; two components may share their smallest id, not their root."""
     classes = rows.groupBy("fp").agg(F.min("id").alias("least"))
     linked = connected_components(hamming_links(classes, limit, per_range))
     labelled = materialize(classes.join(linked, F.col("fp") == F.col("node"), "left")
                            .select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash")
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    component = labelled.join(least, "root").select("fp", "component_id")
-    return rows.join(component, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                                             "component_id")
+    return labelled.join(least, "root").select("fp", "root", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 2, id_col: str = "doc_id",
-                         text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each SimHash component: that with the smallest id (of rows that share
-    that id, one). Rows with a null id all stay: no id could name the one to keep. Columns stay as they are."""
-    found = simhash_components(docs, shingle, limit, id_col, text_col)
-    keepers = found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("keep")).count()
-    keepers = materialize(keepers, "keepers")
-    kept = docs.join(keepers, F.col(f"`{id_col}`") == F.col("keep"), "left_semi")
-    if keepers.where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+                         text_col: str = "text", per_range: int = 100_000) -> DataFrame:
+    """``docs`` with one document of each SimHash component: that with the smallest id (of rows of the component that
+    share that id, one). Rows with a null id all stay: no id could name the one to keep. Columns stay as they are."""
+    rows = materialize(fingerprints(docs, shingle, id_col, text_col), "simhash")
+    component = materialize(_components(rows, limit, per_range), "components")
+    keep, fp, root, least = fresh(docs.columns, "keep", "fp", "root", "component_id")
+    named = rows.join(component, "fp").groupBy(F.col("id").alias(keep)).agg(
+        F.count("*").alias("rows"), F.max(F.col("id") == F.col("component_id")).alias("keeps"))
+    keepers = materialize(named.where("keeps").select(keep, "rows"), "keepers")
+    doc_id = F.col(f"`{id_col}`")
+    kept = docs.join(keepers.where("rows = 1"), doc_id == F.col(keep), "left_semi")
+    if keepers.where("rows > 1").limit(1).count():  # an id names several rows: each is judged by its own text
+
+        @F.pandas_udf("long")
+        def print_of(texts: pd.Series) -> pd.Series:
+            return pd.Series([simhash(t, shingle) for t in texts], dtype="int64")
+
+        shared = docs.join(keepers.where("rows > 1"), doc_id == F.col(keep), "left_semi").withColumn(fp, print_of(F.col(f"`{text_col}`")))
+        shared = shared.join(component.select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(least)), fp)
+        kept = kept.unionByName(shared.where(doc_id == F.col(least)).dropDuplicates([id_col, root]).drop(fp, root, least))
+    return kept.unionByName(docs.where(doc_id.isNull()))
