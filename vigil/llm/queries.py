@@ -135,3 +135,47 @@ def op6_substring_dedup(spark, sf_dir):
     from .substring_dedup import remove_repeated_substrings
     return remove_repeated_substrings(documents(spark, sf_dir), width=50).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+RESAMPLE = {"max_words": 1, "buckets": 10_000, "percent": 10, "min_words": 20, "seed": 2024}
+
+
+def _features_sql(table: str) -> str:
+    words = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+    return f"SELECT *, {words} AS words FROM {table}"
+
+
+@register("op11_importance_resampling", f"""
+WITH RECURSIVE register AS (
+  SELECT range AS byte, range AS c, 0 AS step FROM range(256)
+  UNION ALL SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, step + 1 FROM register WHERE step < 8),
+crc_table AS (SELECT list(c ORDER BY byte) AS images FROM register WHERE step = 8),
+d AS ({_features_sql('documents')}), b AS ({_features_sql('benchmark')}),
+uses AS (
+  SELECT w, sum(n) AS s, sum(m) AS t FROM (
+    SELECT w, count(*) AS n, 0 AS m FROM (SELECT unnest(words) AS w FROM d) GROUP BY w
+    UNION ALL SELECT w, 0, count(*) FROM (SELECT unnest(words) AS w FROM b) GROUP BY w) GROUP BY w),
+hashed AS (
+  SELECT w, s, t, xor(4294967295, list_reduce(list_transform(range(0, strlen(w)), lambda i: CAST('0x' || substr(hex(encode(w)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)),
+         lambda c, x: xor(c >> 8, images[CAST((xor(c, x) & 255) + 1 AS BIGINT)]), CAST(4294967295 AS BIGINT))) % {RESAMPLE['buckets']} AS bucket
+  FROM uses, crc_table),
+gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * (all_s + {RESAMPLE['buckets']}) / ((s + 1) * (all_t + {RESAMPLE['buckets']})))) AS gain
+  FROM (SELECT bucket, CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM hashed GROUP BY bucket),
+       (SELECT CAST(sum(s) AS DOUBLE) AS all_s, CAST(sum(t) AS DOUBLE) AS all_t FROM hashed)),
+weights AS (
+  SELECT row_id, sum(gain) AS weight FROM (SELECT rowid AS row_id, unnest(words) AS w FROM (SELECT *, row_number() OVER () AS rowid FROM d))
+  JOIN hashed USING (w) JOIN gain USING (bucket) GROUP BY row_id),
+scored AS (
+  SELECT doc_id, len(words) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln(
+         (CAST('0x' || substr(sha256('{RESAMPLE['seed']}:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM (SELECT *, row_number() OVER () AS row_id FROM d) LEFT JOIN weights USING (row_id)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= {RESAMPLE['min_words']} ORDER BY score DESC, doc_id) AS place,
+         count(*) FILTER (n_features >= {RESAMPLE['min_words']}) OVER () AS able FROM scored)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= {RESAMPLE['min_words']} AND place <= able * {RESAMPLE['percent']} // 100 THEN place END AS rank FROM placed""")
+def op11_importance_resampling(spark, sf_dir):
+    from .target_resampling import importance_resample
+    return importance_resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), **RESAMPLE)
