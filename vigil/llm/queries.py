@@ -179,3 +179,18 @@ SELECT doc_id, n_features, weight, score,
 def op11_importance_resampling(spark, sf_dir):
     from .target_resampling import importance_resample
     return importance_resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), **RESAMPLE)
+
+
+@register("op12_sorted_projections")
+def op12_sorted_projections(spark, sf_dir):
+    from .projection_dedup import near_duplicate_vectors
+    return near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.9)
+
+
+@register("op13_whitening")
+def op13_whitening(spark, sf_dir):
+    from .whitening import whiten
+    done = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=8, scale=1024, shift=100_000)
+    return done.select("vec_id", "n", F.col("deviation").cast("long").alias("deviation"), "identity_error", "explained",
+                       F.posexplode("whitened").alias("at", "whitened")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.col("explained")[F.col("at")].alias("explained"), "identity_error")
