@@ -22,13 +22,16 @@ def scan_delimited(spark: SparkSession, path: str, sep: str = ",", schema: T.Str
     - lines with more fields than the header are dropped (``bad_lines='skip'``) and
       returned separately; lines with fewer fields are padded with NULL;
     - bytes that are not valid UTF-8 are removed (``on_bad_bytes='ignore'``);
-    - quoted fields may hold separators; with ``multi_line`` also line breaks (a file is then
-      read by one task, so give many files).
+    - quoted fields may hold separators; with ``multi_line`` also line breaks: see ``quoted.scan_quoted``, which
+      still reads a file by many tasks.
 
     Returns ``(df, bad_lines_df)``; ``bad_lines_df`` has one column ``line``.
     """
+    if multi_line:
+        from .quoted import scan_quoted
+        return scan_quoted(spark, path, sep, schema, encoding, on_bad_bytes)
     reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding) \
-        .option("multiLine", multi_line).option("escape", '"')
+        .option("escape", '"')
     if schema is None:
         # Inference pass over the text; for production pass an explicit schema.
         inferred = reader.option("inferSchema", True).option("mode", "PERMISSIVE").csv(path).schema
