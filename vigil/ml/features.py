@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import is_inf, is_numeric_type, nan_to_null, q
+from ..functions.exprs import is_finite, is_inf, is_numeric_type, nan_to_null, q
 from ..functions.ranking import exact_quantiles
 
 CLASSIFICATION = "classification"
@@ -53,8 +53,8 @@ class NumericStage(Estimator, _NumericParams, DefaultParamsReadable, DefaultPara
         med = {r["column_name"]: r["q"] for r in
                exact_quantiles(lv, "x", [0.5], ["column_name"], split_groups=["column_name"]).collect()}
         medians = [float(med.get(c, 0.0) if med.get(c) is not None else 0.0) for c in cols]
-        # mean / std of the imputed column, one aggregate for all columns
-        filled = [F.coalesce(nan_to_null(q(c).cast("double"), T.DoubleType()), F.lit(m)) for c, m in zip(cols, medians)]
+        # mean / std of the imputed column (infinities are imputed as well), one aggregate for all columns
+        filled = [F.when(is_finite(q(c).cast("double")), q(c).cast("double")).otherwise(F.lit(m)) for c, m in zip(cols, medians)]
         a = df.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(filled)],
                    *[F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(filled)]).first()
         means = [float(a[f"m{i}"] or 0.0) for i in range(len(cols))]

@@ -140,7 +140,8 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None, method: str =
     if method == "pearson":
         return _pearson_long(d, cols)
     if method == "spearman":
-        return _spearman_long(d, cols)
+        plain = [f"c{i}" for i in range(len(cols))]  # any name is allowed in the input
+        return _spearman_long(d.toDF(*plain), plain, dict(zip(plain, cols)))
     if method == "kendall":
         from .kendall import kendall_tau
         out = None
@@ -194,8 +195,8 @@ def _spearman_pairs(d: DataFrame, cols: Sequence[str]) -> list[tuple[str, str, f
         counts.unpersist()
 
 
-def _spearman_long(d: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Spearman matrix; the k x k coefficients (an aggregate) come back to the driver,
+def _spearman_long(d: DataFrame, cols: Sequence[str], names: dict) -> DataFrame:
+    """Spearman matrix over ``names`` of the columns; the k x k coefficients (an aggregate) come back to the driver,
     which lets the shared rank table be persisted and released within the call."""
     nulls = d.agg(*[F.sum(F.when(F.col(c).isNull(), 1).otherwise(0)).alias(c) for c in cols]).first()
     if all(not nulls[c] for c in cols):
@@ -206,9 +207,9 @@ def _spearman_long(d: DataFrame, cols: Sequence[str]) -> DataFrame:
         for u, v in _pairs(cols):
             sub = d.where(F.col(u).isNotNull() & F.col(v).isNotNull()).select(u, v)
             res += _spearman_pairs(sub, [u, v])
-    rows = [(c, c, 1.0) for c in cols]
+    rows = [(names[c], names[c], 1.0) for c in cols]
     for u, v, r in res:
-        rows += [(u, v, r), (v, u, r)]
+        rows += [(names[u], names[v], r), (names[v], names[u], r)]
     return d.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.exprs import is_float_type, q
 from ..functions.normal import add_inv_normal
 from ..functions.ranking import ranks_from_counts, running_sum
 
@@ -25,20 +26,20 @@ def coerce_predictions(p: DataFrame, label: str = "label", prediction: str = "pr
     round half to even; an array of class scores -> position of the maximum."""
     dt = p.schema[prediction].dataType
     if isinstance(dt, T.ArrayType):
-        arr = F.col(prediction)
+        arr = q(prediction)
         return p.withColumn(prediction, (F.array_position(arr, F.array_max(arr)) - 1).cast("double"))
     if not isinstance(dt, (T.FloatType, T.DoubleType)):
         return p
     if binary is None:
-        binary = p.select(label).distinct().limit(3).count() == 2
-    c = F.col(prediction)
+        binary = p.select(q(label)).distinct().limit(3).count() == 2
+    c = q(prediction)
     new = F.when(c >= 0.5, 1.0).otherwise(0.0) if binary else F.bround(c, 0)
     return p.withColumn(prediction, F.when(c.isNull(), None).otherwise(new))
 
 
 # --------------------------------------------------------------------------- E1 / E4
 def confusion_counts(p: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    return p.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(
+    return p.groupBy(q(label).alias("label"), q(prediction).alias("prediction")).agg(
         F.count(F.lit(1)).alias("n"))
 
 
@@ -87,16 +88,23 @@ def confusion_matrix(p: DataFrame, label: str = "label", prediction: str = "pred
 # --------------------------------------------------------------------------- E3
 def regression_metrics(p: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Mse, rmse, r2 (1 - SS_res / SS_tot) in one aggregate. Output: one row."""
-    e = F.col(label).cast("double") - F.col(prediction).cast("double")
-    a = p.agg(F.avg(e * e).alias("mse"), F.var_pop(F.col(label).cast("double")).alias("vy"))
+    e = q(label).cast("double") - q(prediction).cast("double")
+    a = p.agg(F.avg(e * e).alias("mse"), F.var_pop(q(label).cast("double")).alias("vy"))
     return a.select("mse", F.sqrt("mse").alias("rmse"),
                     F.when(F.col("vy") > 0, F.lit(1.0) - F.col("mse") / F.col("vy")).otherwise(F.lit(float("nan"))).alias("r2"))
 
 
 # --------------------------------------------------------------------------- E5 / E6
+def scored(p: DataFrame, label: str, score: str) -> DataFrame:
+    """Rows that have a score and a label: neither NULL nor NaN (Spark ranks NaN above every number, and a missing
+    label is no negative)."""
+    known = [q(c).isNotNull() & ~F.isnan(q(c)) if is_float_type(p.schema[c].dataType) else q(c).isNotNull() for c in (label, score)]
+    return p.where(known[0] & known[1])
+
+
 def _score_groups(p: DataFrame, label: str, score: str, pos_label) -> DataFrame:
-    pos = F.col(label) == F.lit(pos_label)
-    return p.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("threshold")).agg(
+    pos = q(label) == F.lit(pos_label)
+    return scored(p, label, score).groupBy(q(score).cast("double").alias("threshold")).agg(
         F.sum(F.when(pos, 1).otherwise(0)).cast("long").alias("tp"),
         F.sum(F.when(pos, 0).otherwise(1)).cast("long").alias("fp"))
 
@@ -111,7 +119,7 @@ def roc_curve(p: DataFrame, label: str = "label", score: str = "probability", po
               drop_intermediate: bool = True) -> DataFrame:
     """E5: ROC points (threshold, fpr, tpr) by decreasing threshold, starting at
     (0, 0) with an infinite threshold; collinear points dropped like scikit-learn's
-    ``drop_intermediate``. Output also carries ``idx`` (0 = start point)."""
+    ``drop_intermediate``. Rows without a score or a label (NULL or NaN) are left out. Output also carries ``idx`` (0 = start point)."""
     g = _score_groups(p, label, score, pos_label).withColumn("one", F.lit(1).cast("long"))
     tot = g.agg(F.sum("tp").alias("P"), F.sum("fp").alias("N")).first()
     P, N = float(tot["P"] or 0), float(tot["N"] or 0)
@@ -152,18 +160,18 @@ def pr_curve(p: DataFrame, label: str = "label", score: str = "probability", pos
 
 
 # --------------------------------------------------------------------------- E7 / E8
-def quantile_edges(p: DataFrame, col: str, q: int = 10) -> list[float]:
-    """Linear-interpolated quantile edges at 0, 1/q, ..., 1 with duplicates dropped
+def quantile_edges(p: DataFrame, col: str, n: int = 10) -> list[float]:
+    """Linear-interpolated quantile edges at 0, 1/n, ..., 1 with duplicates dropped
     (pandas ``qcut(..., duplicates='drop')``), exact."""
     from ..functions.ranking import exact_quantiles
-    probs = [i / q for i in range(q + 1)]
-    rows = exact_quantiles(p.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull()), "x", probs).collect()
+    probs = [i / n for i in range(n + 1)]
+    rows = exact_quantiles(p.select(q(col).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x")), "x", probs).collect()
     return sorted({r["q"] for r in rows})
 
 
 def _bin_expr(col: str, edges: Sequence[float]):
     interior = list(edges[1:-1])
-    x = F.col(col).cast("double")
+    x = q(col).cast("double")
     b = F.lit(0)
     for e in interior:
         b = b + F.when(x > F.lit(e), 1).otherwise(0)
@@ -178,18 +186,19 @@ def decile_table(p: DataFrame, task: str = "classification", label: str = "label
     Regression: mean and sample std of truth, prediction and absolute error."""
     score = probability if task == "classification" else prediction
     edges = quantile_edges(p, score)
-    d = p.where(F.col(score).isNotNull()).withColumn("decile", _bin_expr(score, edges))
+    x = q(score).cast("double")
+    d = p.where(x.isNotNull() & ~F.isnan(x)).withColumn("decile", _bin_expr(score, edges))
     r = lambda e: F.round(e, decimals)
     if task == "classification":
-        y = (F.col(label) == F.lit(pos_label)).cast("int")
+        y = (q(label) == F.lit(pos_label)).cast("int")
         return d.groupBy("decile").agg(
             F.count(F.lit(1)).cast("long").alias("n"), F.sum(y).cast("long").alias("n_positive"),
-            r(F.avg(y)).alias("positive_rate"), r(F.avg(score)).alias("mean_probability"),
-            r(F.min(score)).alias("min_probability"), r(F.max(score)).alias("max_probability"))
-    err = F.abs(F.col(label).cast("double") - F.col(prediction).cast("double"))
+            r(F.avg(y)).alias("positive_rate"), r(F.avg(q(score))).alias("mean_probability"),
+            r(F.min(q(score))).alias("min_probability"), r(F.max(q(score))).alias("max_probability"))
+    err = F.abs(q(label).cast("double") - q(prediction).cast("double"))
     return d.groupBy("decile").agg(
-        r(F.avg(label)).alias("true_mean"), r(F.stddev_samp(label)).alias("true_std"),
-        r(F.avg(prediction)).alias("pred_mean"), r(F.stddev_samp(prediction)).alias("pred_std"),
+        r(F.avg(q(label))).alias("true_mean"), r(F.stddev_samp(q(label))).alias("true_std"),
+        r(F.avg(q(prediction))).alias("pred_mean"), r(F.stddev_samp(q(prediction))).alias("pred_std"),
         r(F.avg(err)).alias("error_mean"), r(F.stddev_samp(err)).alias("error_std"))
 
 
@@ -197,20 +206,20 @@ def decile_table(p: DataFrame, task: str = "classification", label: str = "label
 def calibration_curve(p: DataFrame, label: str = "label", probability: str = "probability", bins: int = 10,
                       pos_label=1.0) -> DataFrame:
     """Uniform bins on [0, 1] (right-closed), empty bins dropped: mean predicted
-    probability vs observed positive rate."""
+    probability vs observed positive rate, over the rows with a score and a label."""
     # edges as numpy.linspace(0, 1, bins + 1) computes them (i * step)
     edges = [i * (1.0 / bins) for i in range(bins + 1)]
-    d = p.where(F.col(probability).isNotNull()).withColumn("bin", _bin_expr(probability, edges))
-    y = (F.col(label) == F.lit(pos_label)).cast("double")
+    d = scored(p, label, probability).withColumn("bin", _bin_expr(probability, edges))
+    y = (q(label) == F.lit(pos_label)).cast("double")
     return d.groupBy("bin").agg(F.count(F.lit(1)).cast("long").alias("n"),
-                                F.avg(probability).alias("mean_predicted"), F.avg(y).alias("fraction_positive"))
+                                F.avg(q(probability)).alias("mean_predicted"), F.avg(y).alias("fraction_positive"))
 
 
 # --------------------------------------------------------------------------- E10-E12
 def residuals(p: DataFrame, label: str = "label", prediction: str = "prediction", key: str | None = "key") -> DataFrame:
     """residual = truth - prediction per row."""
-    cols = ([F.col(key)] if key and key in p.columns else []) + [F.col(label), F.col(prediction)]
-    return p.select(*cols, (F.col(label).cast("double") - F.col(prediction).cast("double")).alias("residual"))
+    cols = ([q(key)] if key and key in p.columns else []) + [q(label), q(prediction)]
+    return p.select(*cols, (q(label).cast("double") - q(prediction).cast("double")).alias("residual"))
 
 
 def residual_histogram(p: DataFrame, label: str = "label", prediction: str = "prediction", bins: int = 30) -> DataFrame:
@@ -222,9 +231,9 @@ def residual_histogram(p: DataFrame, label: str = "label", prediction: str = "pr
 def prediction_range(p: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """End points of the identity line (min and max of the truth) and of the
     predictions."""
-    return p.agg(F.min(F.col(label).cast("double")).alias("y_min"), F.max(F.col(label).cast("double")).alias("y_max"),
-                 F.min(F.col(prediction).cast("double")).alias("pred_min"),
-                 F.max(F.col(prediction).cast("double")).alias("pred_max"))
+    return p.agg(F.min(q(label).cast("double")).alias("y_min"), F.max(q(label).cast("double")).alias("y_max"),
+                 F.min(q(prediction).cast("double")).alias("pred_min"),
+                 F.max(q(prediction).cast("double")).alias("pred_max"))
 
 
 BLOCK = 1 << 16  # positions of one residual that are spread together

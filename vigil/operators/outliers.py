@@ -12,13 +12,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import nan_to_null, numeric_columns, q
+from ..functions.exprs import is_inf, nan_to_null, numeric_columns, q
 
 
 def _x(c: str):
     return nan_to_null(q(c).cast("double"), T.DoubleType())
 
 
+def _finite(c: str):
+    """The value, NULL for a missing or infinite one: an infinity has no z-score, and in a mean it would leave none to
+    the others (NaN is above every threshold in Spark)."""
+    return F.when(~is_inf(_x(c)), _x(c))
+
+
 def iqr_fences(df: DataFrame, cols: Sequence[str]) -> dict:
     from .profile import quantile_table
     rows = quantile_table(df, cols, [0.25, 0.75]).collect()
@@ -34,8 +40,9 @@ def iqr_fences(df: DataFrame, cols: Sequence[str]) -> dict:
 
 
 def zscore_bounds(df: DataFrame, cols: Sequence[str], threshold: float = 3.0) -> dict:
-    a = df.agg(*[F.avg(_x(c)).alias(f"m{i}") for i, c in enumerate(cols)],
-               *[F.stddev_pop(_x(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    """Mean and population std of the finite values of every column, one aggregate."""
+    a = df.agg(*[F.avg(_finite(c)).alias(f"m{i}") for i, c in enumerate(cols)],
+               *[F.stddev_pop(_finite(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     return {c: (a[f"m{i}"], a[f"s{i}"]) for i, c in enumerate(cols)}
 
 
@@ -48,7 +55,7 @@ def _flag_z(c, bounds, threshold):
     m, s = bounds[c]
     if s is None or s == 0:
         return F.lit(False)
-    return F.abs((_x(c) - F.lit(m)) / F.lit(s)) > threshold
+    return F.abs((_finite(c) - F.lit(m)) / F.lit(s)) > threshold
 
 
 def outliers_iqr(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -62,7 +69,8 @@ def outliers_iqr(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def outliers_zscore(df: DataFrame, cols: Sequence[str] | None = None, threshold: float = 3.0) -> DataFrame:
-    """O2: |x - mean| / std > 3 with the population std (std = 0 -> none).
+    """O2: |x - mean| / std > 3 with the population std (std = 0 -> none), over the finite values; infinite ones
+    have no z-score (``profile`` counts them, ``fix_infinite`` replaces them).
     Output (long): column_name, value, z."""
     cols = list(cols) if cols is not None else numeric_columns(df)
     b = zscore_bounds(df, cols)
@@ -71,7 +79,7 @@ def outliers_zscore(df: DataFrame, cols: Sequence[str] | None = None, threshold:
         m, s = b[c]
         if s is None or s == 0:
             continue
-        z = (_x(c) - F.lit(m)) / F.lit(s)
+        z = (_finite(c) - F.lit(m)) / F.lit(s)
         items.append(F.when(F.abs(z) > threshold, F.struct(F.lit(c).alias("column_name"), _x(c).alias("value"),
                                                             z.alias("z"))))
     if not items:

@@ -276,9 +276,10 @@ def kde(df: DataFrame, col: str, grid: int = 200, fine_bins: int = 2048, cut: fl
     """Gaussian kernel density on a grid, Scott bandwidth (std * n^(-1/5)).
 
     Binned KDE: the data is reduced to ``fine_bins`` bin centres with counts, the
-    (bins x grid) sum runs on those counts, so the cost does not grow with n.
-    Output: x, density."""
-    x = nan_to_null(q(col).cast("double"), T.DoubleType())
+    (bins x grid) sum runs on those counts, so the cost does not grow with n. Infinite
+    values are left out. Output: x, density."""
+    raw = q(col).cast("double")
+    x = F.when(~F.isnan(raw) & (F.abs(raw) < float("inf")), raw)
     st = df.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.stddev_samp(x).alias("s")).first()
     n, lo, hi, s = st["n"], st["lo"], st["hi"], st["s"]
     spark = df.sparkSession

@@ -259,7 +259,8 @@ def q_outlier_summary(spark, sf_dir):
     return _round(outlier_summary(_prices(spark, sf_dir), ["price"], with_iforest=False), 6)
 
 
-@register("outlier_summary_forest", "SELECT 'isolation_forest' AS method, true AS share_in_range, true AS counts_agree")
+@register("outlier_summary_forest", _PRICES + """
+SELECT 'isolation_forest' AS method, CAST(count(*) AS BIGINT) AS n_values, true AS share_in_range, true AS counts_agree FROM x""")
 def q_outlier_summary_forest(spark, sf_dir):
     """Invariants of the forest row: about its share of the values at most is flagged, and the summary counts what the
     operator returns."""
@@ -268,7 +269,8 @@ def q_outlier_summary_forest(spark, sf_dir):
     d = _prices(spark, sf_dir)
     row = outlier_summary(d, ["price"]).where("method = 'isolation_forest'")
     flagged = outliers_iforest(d, ["price"]).agg(F.count(F.lit(1)).alias("k"))
-    return row.join(F.broadcast(flagged)).select("method", F.col("pct_outliers").between(0.0, 10.5).alias("share_in_range"),
+    return row.join(F.broadcast(flagged)).select("method", F.round(F.col("n_outliers") / F.col("pct_outliers") * 100.0).cast("long").alias("n_values"),
+                                                 F.col("pct_outliers").between(0.0, 10.5).alias("share_in_range"),
                                                  (F.col("n_outliers") == F.col("k")).alias("counts_agree"))
 
 
