@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def _load():
     from . import catalog  # noqa: F401  (registers on import)
-    for mod in ("stats_queries", "eval_queries", "ml_queries", "extra_queries"):
+    for mod in ("stats_queries", "eval_queries", "ml_queries", "extra_queries", "finite_queries"):
         try:
             __import__(f"{__name__}.{mod}")
         except ModuleNotFoundError as exc:
