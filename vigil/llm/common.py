@@ -9,8 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ensure_checkpoint_dir
 
 
+BATCH_BYTES = 4 << 20  # of an Arrow batch that goes to a Python worker
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by bytes, unless the user has set a bound: 10 000 long texts at once
+    are held several times over, by the executor and by its Python workers."""
+    if _BATCH not in spark.conf.getAll and not spark.sparkContext.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path under the shared folder named by ``spark.checkpoint.dir``."""
+    bound_batches(spark)
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -36,6 +48,7 @@ def fresh(columns, *bases: str) -> list[str]:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -1,29 +1,35 @@
 """Token ids of whole texts by a public tokenizer, with a cache of words.
 
 The tokenizer drops white space and never joins characters across it, so a text's ids are those of
-its words in a row. In Latin-1 text, where lower case and normal form are plain, a word falls apart
-further into runs of letters, single digits and runs of other signs. Each distinct run goes through
-the tokenizer once for as long as the worker lives; other texts are cached by word.
+its words in a row. In Latin-1 text, where lower case and normal form are plain, a word without an
+apostrophe falls apart further into runs of letters, single digits and runs of other signs. Each distinct run, or word of
+other texts, goes through the tokenizer once for as long as the cache holds it.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 600_000
-RUNS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-ODD_SPACE = regex.compile("[\x1c-\x1f]")
-PLAIN_SPACE = regex.compile("[ \n\r\t]+")
-TEXTS_AT_ONCE = 1 << 20  # characters whose words are looked up together
+CACHE = 300_000  # runs and words a worker holds: about 60 MB
+LETTERS, DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"  # of lower-case Latin-1
+RUNS = re.compile(f"[{LETTERS}]+|[{DIGITS}]|[^\\s{LETTERS}{DIGITS}]+")
+RUNS_OR_QUOTED = re.compile(f"[^\\s']*'\\S*|{RUNS.pattern}")
+ODD_SPACE = re.compile("[\x1c-\x1f]")
+PLAIN_SPACE = re.compile("[ \n\r\t]+")
+#: byte-level models write a byte as its Latin-1 sign if that is visible, else as the next sign from 256 on
+_HIDDEN = [b for b in range(256) if b < 33 or 127 <= b < 161 or b == 173]
+BYTE_SIGNS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+TEXTS_AT_ONCE = 1 << 20  # characters that are looked up together
 
 
 class WordTokenizer:
@@ -39,40 +45,58 @@ class WordTokenizer:
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.last[i] = token.endswith("</w>")
-        self.runs: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(len(self.last))]
+        self.known: dict[str, bytes] = {}
+        form = json.loads(self.tok.to_str())
+        steps = [form["pre_tokenizer"], *(form["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        # a run that is already lower-case and split can go to the merges at once, its bytes written as the model writes them
+        self.bytewise = form["model"]["type"] == "BPE" and any(x and x["type"] == "ByteLevel" and not x["add_prefix_space"] for x in steps)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn_runs(self, runs: list[str]) -> None:
+        if self.bytewise:
+            merge, known, own = self.tok.model.tokenize, self.known, self.id_bytes
+            for r in runs:
+                word = r if r.isascii() and r.isprintable() else r.encode().decode("latin-1").translate(BYTE_SIGNS)
+                known[r] = b"".join([own[t.id] for t in merge(word)])
+            return
         for i in range(0, len(runs), 1000):
             part = runs[i:i + 1000]
             ids = np.frombuffer(self.encode([" ".join(part)])[0], "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
                 starts = np.concatenate(([0], ends[:-1]))
-                self.runs.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, starts.tolist(), ends.tolist()))
+                self.known.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, starts.tolist(), ends.tolist()))
             else:
-                self.runs.update(zip(part, self.encode(part)))
-
-    def _learn_words(self, plain: set[str], other: set[str]) -> None:
-        """``plain``: lower-case Latin-1 words; ``other``: any words."""
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.runs) > CACHE_WORDS:
-            self.runs.clear()
-        plain, other = plain - self.words.keys(), other - self.words.keys()
-        whole = [w for w in plain if "'" in w] + [w for w in other]
-        cut = {w: RUNS.findall(w) for w in plain if "'" not in w}
-        self._learn_runs(list({r for runs in cut.values() for r in runs} - self.runs.keys()))
-        get = self.runs.__getitem__
-        self.words.update((w, b"".join(map(get, runs))) for w, runs in cut.items())
-        self.words.update(zip(whole, self.encode(whole)))
+                self.known.update(zip(part, self.encode(part)))
+
+    def _learn(self, plain: set[str], other: set[str]) -> None:
+        """``plain``: runs of lower-case Latin-1 and its words with an apostrophe; ``other``: any words."""
+        known = self.known
+        if len(known) > CACHE:  # what this group of texts uses stays
+            known = self.known = {w: known[w] for w in plain | other if w in known}
+        new = [w for w in plain if w not in known]
+        self._learn_runs([w for w in new if "'" not in w])
+        whole = [w for w in new if "'" in w] + [w for w in other if w not in known]
+        self.known.update(zip(whole, self.encode(whole)))
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text; texts go through in groups of about TEXTS_AT_ONCE characters, longer ones in slices that
+        end at white space."""
         held, size = [], 0
         for t in texts:
+            if len(t) > TEXTS_AT_ONCE:
+                yield from self._ids(held)
+                held, size, at, parts = [], 0, 0, []
+                while at < len(t):
+                    cut = PLAIN_SPACE.search(t, at + TEXTS_AT_ONCE)
+                    end = cut.end() if cut else len(t)
+                    parts += self._ids([t[at:end]])
+                    at = end
+                yield b"".join(parts)
+                continue
             held.append(t)
             size += len(t)
             if size >= TEXTS_AT_ONCE:
@@ -85,15 +109,19 @@ class WordTokenizer:
         for t in texts:
             try:
                 t.encode("latin-1")
-                words = None if ODD_SPACE.search(t) else t.lower().split()
-                plain.update(words or ())
+                if ODD_SPACE.search(t):
+                    runs = None
+                else:
+                    t = t.lower()
+                    runs = (RUNS_OR_QUOTED if "'" in t else RUNS).findall(t)
+                    plain.update(runs)
             except UnicodeEncodeError:
-                words = [w for w in PLAIN_SPACE.split(t) if w]
-                other.update(words)
-            cut.append(words)
-        self._learn_words(plain, other - plain)
-        get = self.words.__getitem__
-        return [self.encode([t])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, cut)]
+                runs = [w for w in PLAIN_SPACE.split(t) if w]
+                other.update(runs)
+            cut.append(runs)
+        self._learn(plain, other - plain)
+        get = self.known.__getitem__
+        return [self.encode([t])[0] if runs is None else b"".join(map(get, runs)) for t, runs in zip(texts, cut)]
 
 
 @cache
