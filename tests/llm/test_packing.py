@@ -10,7 +10,7 @@ import pytest
 from llm_fixtures import docs, docs_rows, no_docs  # noqa: F401
 from tokenizers import Tokenizer
 
-from vigil.llm.packing import across_ranges, pack_documents, pack_pieces, sweep
+from vigil.llm.packing import GAP, WAITS, across_ranges, pack_documents, pack_pieces, sweep
 from vigil.llm.tokenize import WordTokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -92,22 +92,62 @@ def test_edges(spark, no_docs):
     assert pack_documents(no_docs).collect() == []
 
 
-def test_sweep_matches_nearest():
+def test_sweep_is_best_fit():
     rng = np.random.default_rng(1)
+    for opens in (False, True):
+        for _ in range(150):
+            docs, gaps = rng.integers(1, 20, rng.integers(0, 30)).tolist(), rng.integers(1, 21, rng.integers(0, 30)).tolist()
+            rows = sorted([(x, WAITS, i) for i, x in enumerate(docs)] + [(g, GAP, 100 + i) for i, g in enumerate(gaps)], key=lambda r: (-r[0], r[1], r[2]))
+            placed, left, waits = sweep(iter(rows), 20, 1000, opens)
+            free, want = {100 + i: g for i, g in enumerate(gaps)}, []
+            for x in sorted(docs, reverse=True):
+                able = [g for g in free.values() if g >= x]
+                want.append((x, min(able) if able else None))
+                if able or opens:
+                    at = next((k for k, g in free.items() if able and g == min(able)), 1000 + len(free))
+                    free[at] = free.get(at, 20) - x
+            assert [n for _, n, _, _ in placed] == [x for x, g in want if g or opens] and sorted(n for _, n in waits) == sorted(x for x, g in want if not g and not opens)
+            assert [g for g, _ in left] == sorted((g for g in free.values() if g), reverse=True)
+            assert all(20 - o == g for (_, _, _, o), (_, g) in zip(placed, [w for w in want if w[1] or opens]) if g)
+
+
+def test_across_ranges_fill_only_what_fits():
+    rng = np.random.default_rng(3)
     for _ in range(200):
-        docs, gaps = np.sort(rng.integers(1, 20, rng.integers(0, 30))), np.sort(rng.integers(1, 20, rng.integers(0, 30)))
-        d, g = sweep(docs, gaps)
-        free, want = gaps.tolist(), []
-        for x in docs[::-1].tolist():
-            i = bisect.bisect_left(free, x)
-            if i < len(free):
-                want.append((x, free.pop(i)))
-        assert sorted(zip(docs[d].tolist(), gaps[g].tolist())) == sorted(want)
-        assert len(set(d.tolist())) == len(d) and len(set(g.tolist())) == len(g)
-
-
-def test_across_ranges():
-    assert across_ranges([(0, 2, 3), (1, 1, 0), (2, 0, 2), (3, 3, 1)]) == [(0, 0, 1, 0, 1), (2, 0, 3, 0, 2), (0, 1, 3, 2, 1)]
+        edges = np.sort(rng.integers(1, 500, 6))[::-1]  # range p holds sizes up to edges[p]
+        gaps, sizes, waits, lengths = [], {}, [], {}
+        for p in range(5):
+            low, high = int(edges[p + 1]), int(edges[p])
+            mine = np.sort(rng.integers(1 if rng.random() < 0.5 else low, high + 1, rng.integers(0, 6)))[::-1]  # some were filled in part
+            for c in {int(g).bit_length() for g in mine}:
+                own = [int(g) for g in mine if int(g).bit_length() == c]
+                gaps.append((p, c, len(own), min(own), max(own)))
+                sizes.update({(p, c, i): g for i, g in enumerate(own)})
+            if rng.random() < 0.7:
+                lengths[p] = np.sort(rng.integers(low, high + 1, rng.integers(1, 9)))[::-1].tolist()
+                waits.append((p, len(lengths[p]), lengths[p][0]))
+        taken, filled = set(), {}
+        for p, first, n, each, at, c, rank in across_ranges(gaps, waits):
+            assert at < p and each >= 1
+            for i in range(n):
+                assert (p, first + i) not in taken
+                taken.add((p, first + i))
+                key = (at, c, rank + i // each)
+                filled.setdefault((key, p, first), []).append(lengths[p][first + i])
+        assert len({k for k, *_ in filled}) == len(filled) and all(sum(v) <= sizes[k] for (k, *_), v in filled.items())
+        for p, n, longest in waits:  # a gap of a higher range that holds the longest is used if documents are left
+            if any((p, i) not in taken for i in range(n)):
+                assert all(k in {f for f, *_ in filled} or sizes[k] < longest or sizes[(k[0], k[1], 0)] != sizes[k] for k in sizes if k[0] < p)
+
+
+@pytest.mark.parametrize("per_range", [150, 1000, 10_000])
+def test_rounds_place_every_document(spark, per_range):
+    rng = np.random.default_rng(per_range)
+    lengths = np.concatenate([rng.integers(1, 60, 700), rng.integers(1, 2049, 700), np.full(200, 900), np.full(150, 2048)]).tolist()
+    got = pack_pieces(spark.createDataFrame(list(enumerate(lengths)), "rid long, length long"), 2048, per_range=per_range).collect()
+    assert sorted(r.rid for r in got) == list(range(len(lengths)))
+    n = check([(r.sequence_id, r.offset, lengths[r.rid]) for r in got], 2048)
+    assert n <= 1.01 * best_fit(lengths, 2048) + (0 if per_range == 10_000 else 4)
 
 
 @pytest.mark.parametrize("openers, length", [(99, 10), (99, 32), (90, 40)])

@@ -1,9 +1,11 @@
-"""Best-fit decreasing by counts.
-
-Documents of one length are alike to best-fit, and so are sequences with the same open gap: the whole packing is
-planned from the number of documents of each length, at most ``capacity`` numbers. One range sort gives
-every document its rank among those of its length, from one count a range and length; the plan says for
-runs of ranks which sequences they fill. No document opens a sequence while a gap holds it.
+"""Bulk-synchronous best-fit packing.
+
+Waiting documents and the open gaps of sequences are sorted by size, largest first, and cut into ranges. In a round
+every range is swept by its own task: from the longest document on, each takes its successor, the smallest open
+gap that holds it, and what is left of the gap stands for the next documents. Documents that found no gap in
+their range are ranked, and so are the gaps that are left; the ranks alone, counted by range, say which
+gaps of higher ranges they take. Gaps are updated, and rounds go on until no waiting document
+fits any open gap. Only then the longest ones open sequences, and the rounds begin again.
 """
 
 from __future__ import annotations
@@ -14,159 +16,220 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-RANKED_SCHEMA = "part int, nth long, rid long, length long"
-
-
-# sweep and across_ranges (one document a gap) are no longer part of the packing; their tests still read them
-def _runs(sizes: np.ndarray) -> dict[int, tuple[int, int]]:
-    v, at, n = np.unique(sizes, return_index=True, return_counts=True)
-    return {int(a): (int(b), int(c)) for a, b, c in zip(v, at, n)}
-
-
-def sweep(lengths: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Match ascending ``lengths`` with ascending ``gaps``, each document with the smallest gap that holds it
-    and is not taken by a longer one; equal sizes are handled as runs. Returns both positions."""
-    docs, open_, waiting, out = _runs(lengths), _runs(gaps), [], []
-    for size in sorted(docs.keys() | open_.keys()):
-        if size in docs:
-            waiting.append(list(docs[size]))
-        at, left = open_.get(size, (0, 0))
-        while left and waiting:
-            first, n = waiting[-1]
-            t = min(left, n)
-            out.append((first + n - t, at, t))
-            at, left = at + t, left - t
-            if t == n:
-                waiting.pop()
-            else:
-                waiting[-1][1] -= t
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return (np.concatenate([np.arange(d, d + t) for d, _, t in out]), np.concatenate([np.arange(g, g + t) for _, g, t in out]))
-
-
-def across_ranges(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """Match what ranges left over: ``counts`` holds (range, gaps, documents) in order of size; a range's gaps
-    take the documents of lower ranges, nearest first. Returns (doc range, doc rank, gap range, gap rank, n);
-    documents rank from the longest, gaps from the smallest."""
-    waiting, out = [], []
-    for part, gaps, docs in counts:
-        at = 0
-        while at < gaps and waiting:
-            low, rank, n = waiting[-1]
-            t = min(gaps - at, n)
-            out.append((low, rank, part, at, t))
-            at += t
-            if t == n:
-                waiting.pop()
-            else:
-                waiting[-1] = (low, rank + t, n - t)
-        if docs:
-            waiting.append((part, 0, docs))
-    return out
+GAP, WAITS, PLACED = 0, 1, 2
+SWEPT = "kind int, part int, class int, nth long, id long, size int, sequence_id long, offset int"
+NAMES = ["kind", "part", "class", "nth", "id", "size", "sequence_id", "offset"]
 
 
-def best_fit_plan(counts: dict[int, int], capacity: int) -> np.ndarray:
-    """Best-fit decreasing of ``counts`` documents of each length, as rows (length, rank, sequence, each, offset) in
-    order of length and rank: from ``rank`` on, ``each`` documents a sequence are put from ``offset`` on into the
-    sequences from ``sequence`` on, up to the next row's rank.
+def sweep(rows: Iterator[tuple[int, int, int]], capacity: int, first: int, opens: bool) -> tuple[list, list, list]:
+    """Best fit of ``rows`` (size, kind, id), largest first and gaps before documents of their size.
 
-    A run of sequences splits only where a length ends, and its gap more than halves when it is filled: at most
-    about 3 * lengths * log2(capacity) rows.
+    Returns placements (rid, length, sequence, offset), what is left of the gaps (gap, sequence) and the documents
+    that no gap holds (rid, length), all in order; with ``opens`` such a document opens sequence ``first``,
+    ``first`` + 1, ... instead.
+    """
+    open_, placed, waits = [], [], []
+    for size, kind, id_ in rows:
+        if kind == GAP:
+            insort(open_, (size, id_))
+            continue
+        at = bisect_left(open_, (size,))
+        if at < len(open_):
+            gap, sequence = open_.pop(at)
+        elif opens:
+            gap, sequence, first = capacity, first, first + 1
+        else:
+            waits.append((id_, size))
+            continue
+        placed.append((id_, size, sequence, capacity - gap))
+        if gap > size:
+            insort(open_, (gap - size, sequence))
+    return placed, open_[::-1], waits
+
+
+def across_ranges(gaps: list[tuple[int, int, int, int, int]], waits: list[tuple[int, int, int]]) -> list[tuple[int, ...]]:
+    """Give the documents that wait to gaps of higher ranges (lower numbers), smallest class first, nearest range first.
+
+    ``gaps``: (range, class, number, least gap, largest gap); ``waits``: (range, number, longest document). A gap takes as many
+    documents as surely fit it; of a class whose least gap is too small the largest one takes one. Returns rows (range, first
+    rank, documents, documents a gap, gap range, class, first gap rank). A gap that was left untouched in its own range holds
+    every document of a lower one, so a round without any placement means that nothing fits.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}  # runs (first sequence, number) of sequences by their open gap
-    sizes, plan, opened = [], [], 0
-
-    def leave(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in gaps:
-                insort(sizes, gap)
-            gaps.setdefault(gap, []).append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            i = bisect_left(sizes, length)
-            if i < len(sizes):
-                gap = sizes[i]
-                first, n = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap], sizes[i]
-            else:  # no gap holds it
-                gap, first, n = capacity, opened, -(-left // (capacity // length))
-                opened += n
-            each = gap // length
-            full, part = min(n, left // each), 0
-            plan.append((length, rank, first, each, capacity - gap))
-            leave(gap - each * length, first, full)
-            if full < n and left > full * each:
-                part = left - full * each  # the last one is filled in part
-                leave(gap - part * length, first + full, 1)
-            leave(gap, first + full + (part > 0), n - full - (part > 0))
-            rank, left = rank + full * each + part, left - full * each - part
-    return np.array(sorted(plan), np.int64).reshape(-1, 5)
-
-
-def _ranked(pieces: DataFrame, n: int, per_range: int) -> DataFrame:
-    """``pieces`` in ranges of about ``per_range`` rows by length, each with its place among those of its range and
-    length; equal lengths are split by a hash, so a length that many documents share fills as many ranges as it needs."""
+    pool: dict[int, list] = {}
+    steps = sorted([(p, 0, n, longest) for p, n, longest in waits] + [(p, 1, c, n, least, most) for p, c, n, least, most in gaps])
+    out = []
+    for part, kind, *step in steps:
+        if kind:
+            c, n, least, most = step
+            pool.setdefault(c, []).append([part, n, least, most, 0])
+            continue
+        n, longest = step
+        rank = 0
+        for c in sorted(k for k in pool if k >= longest.bit_length()):
+            stack, i = pool[c], len(pool[c]) - 1
+            while i >= 0 and rank < n:
+                at, left, least, most, used = stack[i]
+                if least >= longest:
+                    each = least // longest
+                    take = min(left, -(-(n - rank) // each))
+                elif most >= longest and not used:  # gaps rank from the largest
+                    each = take = 1
+                else:
+                    i -= 1
+                    continue
+                docs = min(n - rank, take * each)
+                out.append((part, rank, docs, each, at, c, used))
+                rank += docs
+                stack[i] = [at, left - take, least, most, used + take]
+                if left == take:
+                    stack.pop(i)
+                i -= 1
+    return out
+
+
+def _dealt(rows: DataFrame, n: int, per_range: int) -> tuple[DataFrame, int]:
+    """``rows`` (size, kind, id) in ranges of about ``per_range``, largest first; a hash cuts runs of equal size."""
+    ranges = max(1, -(-n // per_range))
+    order = [F.desc("size"), F.asc("kind"), F.asc("h")]
+    rows = rows.select("size", "kind", "id", F.xxhash64("id").alias("h"))
+    dealt = rows.repartitionByRange(ranges, *order) if ranges > 1 else rows.coalesce(1)
+    return dealt.sortWithinPartitions(*order).select("size", "kind", "id"), ranges
+
+
+def _sweep_all(rows: DataFrame, n: int, capacity: int, per_range: int, base: int, opens: bool) -> tuple[DataFrame, int]:
+    """Every range swept once (SWEPT rows): placements, gaps left by class (power of two) and rank, documents left by rank."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        stream = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        placed, gaps, waits = sweep(stream, capacity, base + (part << 28), opens)
+        out, seen = [(PLACED, part, 0, 0, i, s, q, o) for i, s, q, o in placed], {}
+        for gap, sequence in gaps:
+            c = gap.bit_length()
+            seen[c] = nth = seen.get(c, -1) + 1
+            out.append((GAP, part, c, nth, sequence, gap, None, None))
+        out += [(WAITS, part, 0, nth, i, s, None, None) for nth, (i, s) in enumerate(waits)]
+        for at in range(0, len(out), 20_000):
+            cols = zip(*out[at:at + 20_000])
+            types = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=NAMES)
+
+    dealt, ranges = _dealt(rows, n, per_range)
+    return materialize(dealt.mapInArrow(run, SWEPT), "swept"), ranges
+
+
+def _across(swept: DataFrame, plan: list[tuple], capacity: int) -> DataFrame:
+    """Placements (rid, length, sequence_id, offset, gap_left) of the documents that ``plan`` gives to gaps of other ranges."""
+    spark = swept.sparkSession
+    a = np.array(sorted(plan), np.int64).reshape(-1, 7)  # a few rows a range
+    top = int((a[:, 1] + a[:, 2]).max()) + 1
+    shared = spark.sparkContext.broadcast((a, a[:, 0] * top + a[:, 1], top))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, keys, top = shared.value
+        for b in batches:
+            part, nth = b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy()
+            at = np.maximum(np.searchsorted(keys, part * top + np.minimum(nth, top - 1), "right") - 1, 0)
+            hit = rows[at]
+            ok = (hit[:, 0] == part) & (nth >= hit[:, 1]) & (nth < hit[:, 1] + hit[:, 2])
+            hit, keep = hit[ok], pa.array(np.flatnonzero(ok))
+            step = nth[ok] - hit[:, 1]
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(keep) for i in (2, 3)), pa.array(hit[:, 4].astype(np.int32)), pa.array(hit[:, 5].astype(np.int32)),
+                                              pa.array(hit[:, 6] + step // hit[:, 3]), pa.array(step)], names=["rid", "length", "part", "class", "nth", "step"])
+
+    docs = swept.where(F.col("kind") == WAITS).select("part", "nth", "id", "size").mapInArrow(
+        find, "rid long, length int, part int, class int, nth long, step long")
+    gaps = swept.where(F.col("kind") == GAP).select("part", "class", "nth", F.col("id").alias("sequence_id"), F.col("size").alias("gap"))
+    met = docs.join(gaps, ["part", "class", "nth"])
+    w = Window.partitionBy("sequence_id").orderBy("step")  # at most `capacity` documents
+    before = F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    whole = F.sum("length").over(Window.partitionBy("sequence_id"))
+    return met.select("rid", "length", "sequence_id", (F.lit(capacity) - F.col("gap") + F.coalesce(before, F.lit(0))).cast("int").alias("offset"),
+                      (F.col("gap") - whole).cast("int").alias("gap_left"))
+
+
+def _open(band: DataFrame, n: int, k: int, capacity: int, per_range: int, base: int) -> DataFrame:
+    """Placements of documents that open sequences of ``k`` in a row each, in order of length."""
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, held = TaskContext.get().partitionId(), None, 0
+        part, seen = TaskContext.get().partitionId(), 0
         for b in batches:
-            if not len(b):
-                continue
-            length = b.column(1).to_numpy()
-            at = np.flatnonzero(np.concatenate(([True], length[1:] != length[:-1])))
-            nth = np.arange(len(length)) - np.repeat(at, np.diff(at, append=len(length)))
-            if length[0] == last:
-                nth[:at[1] if len(at) > 1 else None] += held
-            last, held = length[-1], int(nth[-1]) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nth), part, np.int32)), pa.array(nth.astype(np.int64)), b.column(0), b.column(1)],
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), part, np.int32)), pa.array(np.arange(seen, seen + len(b))), b.column(2), b.column(0)],
                                              names=["part", "nth", "rid", "length"])
+            seen += len(b)
+
+    dealt, _ = _dealt(band, n, per_range)
+    ranked = materialize(dealt.mapInArrow(number, "part int, nth long, rid long, length int"), "ranked")
+    counts = ranked.groupBy("part").count().orderBy("part")
+    starts = counts.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("start"))  # a row a range
+    rank = F.col("start") + F.col("nth")
+    ranked = ranked.join(F.broadcast(starts), "part").withColumns({"rank": rank, "sequence_id": F.lit(base) + F.floor(rank / k)})
+    before = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+    whole = F.sum("length").over(Window.partitionBy("sequence_id"))
+    return ranked.select("rid", "length", "sequence_id", F.coalesce(before, F.lit(0)).cast("int").alias("offset"), (F.lit(capacity) - whole).cast("int").alias("gap_left"))
 
-    ranges = max(1, -(-n // per_range))
-    pieces = pieces.select("rid", "length", F.xxhash64("rid").alias("h"))
-    dealt = pieces.repartitionByRange(ranges, "length", "h") if ranges > 1 else pieces.coalesce(1)
-    return materialize(dealt.sortWithinPartitions("length", "h").select("rid", "length").mapInArrow(number, RANKED_SCHEMA), "ranked")
-
-
-def pack_pieces(pieces: DataFrame, capacity: int, per_range: int = 50_000) -> DataFrame:
-    """(rid, sequence_id, offset) for ``pieces`` (rid long, unique; length between 1 and ``capacity``)."""
-    ranked = _ranked(pieces.select("rid", F.col("length").cast("long").alias("length")), pieces.count(), per_range)
-    held = np.array(sorted((r["length"], r["part"], r["count"]) for r in ranked.groupBy("part", "length").count().collect()),
-                    np.int64).reshape(-1, 3)  # a row a range and length in it: at most ranges + capacity
-    length, part, count = held.T
-    lengths, first = np.unique(length, return_index=True)
-    before = np.cumsum(count) - count
-    start = before - np.repeat(before[first], np.diff(first, append=len(length)))
-    totals = np.add.reduceat(count, first) if len(first) else first
-    plan = best_fit_plan(dict(zip(lengths.tolist(), totals.tolist())), capacity)
-    # one sorted number for (length, range) and for (length, rank)
-    parts, ranks = int(part.max(initial=0)) + 1, int(totals.max(initial=0)) + 1
-    shared = pieces.sparkSession.sparkContext.broadcast((length * parts + part, start, plan[:, 0] * ranks + plan[:, 1], plan))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranges, start, runs, plan = shared.value
-        for b in batches:
-            if not len(b):
-                continue
-            part, nth, length = (b.column(i).to_numpy().astype(np.int64) for i in (0, 1, 3))
-            rank = start[np.searchsorted(ranges, length * parts + part)] + nth
-            _, at, sequence, each, offset = plan[np.searchsorted(runs, length * ranks + rank, "right") - 1].T
-            nth = rank - at
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(sequence + nth // each), pa.array(offset + nth % each * length)],
-                                             names=["rid", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "rid long, sequence_id long, offset long")
+def pack_pieces(pieces: DataFrame, capacity: int, per_range: int = 200_000) -> DataFrame:
+    """(rid, sequence_id, offset) for ``pieces`` (rid long, unique; length between 1 and ``capacity``).
+
+    Once documents and gaps fit one range, a sweep that may open sequences ends the work; before, documents of which as many fit
+    a sequence as of the longest one waiting (for short ones: of nearly its length) open sequences when no gap holds any.
+    """
+    docs = pieces.select(F.col("rid").alias("id"), F.col("length").cast("int").alias("size"))
+    gaps, done, opened = None, [], 0
+    place = lambda df: df.select("rid", "sequence_id", F.col("offset").cast("long").alias("offset"))
+    as_rows = lambda df, kind: df.select("size", F.lit(kind).alias("kind"), "id")
+    while True:
+        waiting = docs.agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("longest")).first()
+        if not waiting["n"]:
+            break
+        base = (opened := opened + 1) << 48
+        if gaps is not None:
+            gaps = gaps.where(F.col("size") >= waiting["least"])  # a smaller one holds nothing any more
+        n_gaps = gaps.count() if gaps is not None else 0
+        rows = as_rows(docs, WAITS) if not n_gaps else as_rows(docs, WAITS).union(as_rows(gaps, GAP))
+        if waiting["n"] + n_gaps <= per_range:
+            swept, _ = _sweep_all(rows, waiting["n"] + n_gaps, capacity, per_range, base, True)
+            done.append(place(swept.where(F.col("kind") == PLACED).withColumnRenamed("id", "rid")))
+            break
+        if n_gaps:
+            swept, ranges = _sweep_all(rows, waiting["n"] + n_gaps, capacity, per_range, base, False)
+            placed = swept.where(F.col("kind") == PLACED).withColumnRenamed("id", "rid")
+            found = swept.groupBy("kind", "part", "class").agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("most")).collect()
+            plan = across_ranges([(r["part"], r["class"], r["n"], r["least"], r["most"]) for r in found if r["kind"] == GAP],
+                                 [(r["part"], r["n"], r["most"]) for r in found if r["kind"] == WAITS])
+            if plan or any(r["kind"] == PLACED for r in found):
+                done.append(place(placed))
+                docs, gaps = (swept.where(F.col("kind") == k).select("id", "size") for k in (WAITS, GAP))
+                if plan:
+                    crossed = materialize(_across(swept, plan, capacity), "crossed")
+                    done.append(place(crossed))
+                    docs = docs.join(crossed.select(F.col("rid").alias("id")), "id", "left_anti")
+                    used = crossed.groupBy(F.col("sequence_id").alias("id")).agg(F.first("gap_left").alias("size"))
+                    gaps = gaps.join(used.select("id"), "id", "left_anti").union(used.where("size > 0"))
+                docs, gaps = materialize(docs, "waiting"), materialize(gaps, "gaps")
+                continue
+        k = capacity // waiting["longest"]
+        fits = F.floor(F.lit(capacity) / F.col("size")) == k if k < 8 else F.col("size") * 8 > waiting["longest"] * 7
+        band = materialize(docs.where(fits), "band")
+        new = materialize(_open(as_rows(band, WAITS), band.count(), k, capacity, per_range, base), "opened")
+        done.append(place(new))
+        docs = docs.where(~fits)
+        left = new.groupBy(F.col("sequence_id").alias("id")).agg(F.first("gap_left").alias("size")).where("size > 0")
+        gaps = materialize(left if gaps is None else gaps.union(left), "gaps")
+    if not done:
+        return pieces.sparkSession.createDataFrame([], "rid long, sequence_id long, offset long")
+    out = done[0]
+    for df in done[1:]:
+        out = out.union(df)
+    return out
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str = "word_bpe_49k.json", end_id: int = 0,
-                   id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, per_range: int = 50_000) -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, per_range: int = 200_000) -> DataFrame:
     """Pack the whole texts of ``docs`` into sequences of at most ``capacity`` tokens.
 
     Returns per piece ``id_col``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id`` and ``offset`` (its
