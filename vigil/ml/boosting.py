@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from ..session import ensure_checkpoint_dir
+from .tables import SideTables
 
 CHECKPOINT_EVERY = 5
 
@@ -102,7 +103,7 @@ class AdaBoost(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
         return model
 
 
-class AdaBoostModel(Model, HasFeaturesCol, HasPredictionCol):
+class AdaBoostModel(Model, HasFeaturesCol, HasPredictionCol, SideTables):
     def __init__(self, task: str, trees: list, alphas: list[float], featuresCol: str = "features",
                  classes: list[float] | None = None):
         super().__init__()
@@ -143,3 +144,14 @@ class AdaBoostModel(Model, HasFeaturesCol, HasPredictionCol):
 
             pred = weighted_median(F.array(*[F.col(n) for n in names]))
         return out.withColumn(self.getPredictionCol(), pred).drop(*names)
+
+    # ---- persistence: the rounds' trees as models beside the settings
+    def side_tables(self, spark):
+        return {"task": self.task, "alphas": [float(a) for a in self.alphas], "classes": self.classes, "features": self.getFeaturesCol()}, {}
+
+    def side_models(self):
+        return {f"tree{i:04d}": t for i, t in enumerate(self.trees)}
+
+    @classmethod
+    def from_tables(cls, meta, tables, models):
+        return cls(meta["task"], [models[k] for k in sorted(models)], meta["alphas"], meta["features"], meta["classes"])

@@ -79,9 +79,14 @@ def cross_val(data: DataFrame, name: str, task: str, key: str, folds: int = 5, s
               fast: bool = False) -> float:
     """Mean k-fold score (accuracy / R2) of a model on prepared rows
     (``features``, ``label``). Fold = pmod(xxhash64(key, seed), k): fixed under
-    repartitioning; the k fits run concurrently."""
+    repartitioning. Naive Bayes, linear and ridge regression take all folds from one aggregate
+    (``sufficient``), the k fits of other models run concurrently."""
     if not 3 <= folds <= 10:
         raise ValueError("folds must be within [3, 10]")
+    from .sufficient import MODELS, fold_scores
+    if canonical(name) in MODELS and (task == CLASSIFICATION) == (canonical(name) == "naive_bayes"):
+        scores = [va for *_, va in fold_scores(data, canonical(name), key, folds, [1.0], seed, params) if va is not None]
+        return float(sum(scores) / len(scores))
     d = data.withColumn("__fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)))
 
     folds_of = {}

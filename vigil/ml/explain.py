@@ -2,8 +2,9 @@
 
 Learning curve: folds by ``pmod(xxhash64(key, seed), k)``; nested training subsets
 by a second seeded hash (subset f keeps the fold's training rows with u < f, so the
-subsets grow into each other); every (size, fold) fit runs from a driver thread pool,
-each fit distributed. Scores: accuracy (classification) or R2.
+subsets grow into each other). Naive Bayes, linear and ridge regression take all fits from one aggregate
+(``sufficient``); of other models every (size, fold) fit runs from a driver thread pool, each fit
+distributed. Scores: accuracy (classification) or R2.
 
 Attributions: permutation-sampling Shapley values (Strumbelj & Kononenko 2014). For
 each explained row and permutation, a background row is walked towards the row one
@@ -37,7 +38,12 @@ def learning_curve(data: DataFrame, name: str, task: str, key: str, folds: int =
     (population std over folds), verdict (from the largest size: train - validation
     > 0.1 overfitting, < -0.05 underfitting, else balanced)."""
     from .compare import _score, predictions
-    from .models import make_estimator
+    from .models import canonical, make_estimator
+    from .sufficient import MODELS, fold_scores
+    if canonical(name) in MODELS and (task == CLASSIFICATION) == (canonical(name) == "naive_bayes"):
+        fractions = [round(float(f), 6) for f in np.linspace(0.1, 1.0, sizes)]
+        res = [(fractions[size], *rest) for size, *rest in fold_scores(data, canonical(name), key, folds, fractions, seed, params)]
+        return _curve(data.sparkSession, res)
     d = data.withColumn("__fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds))) \
         .withColumn("__u", (F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(1_000_003)) / 1_000_003.0))
     fractions = [round(float(f), 6) for f in np.linspace(0.1, 1.0, sizes)]
@@ -84,14 +90,18 @@ def learning_curve(data: DataFrame, name: str, task: str, key: str, folds: int =
             res = list(ex.map(run, jobs))
     finally:
         d.unpersist()
-    pdf = pd.DataFrame(res, columns=["fraction", "fold", "n", "train", "val"])
+    return _curve(data.sparkSession, res)
+
+
+def _curve(spark, res: list[tuple]) -> DataFrame:
+    pdf = pd.DataFrame(res, columns=["fraction", "fold", "n", "train", "val"]).astype({"train": float, "val": float})
     g = pdf.groupby("fraction")
     out = pd.DataFrame({"fraction": g["n"].mean().index, "train_rows": g["n"].mean().values,
                         "train_mean": g["train"].mean().values, "train_std": g["train"].std(ddof=0).values,
                         "val_mean": g["val"].mean().values, "val_std": g["val"].std(ddof=0).values})
     gap = out["train_mean"].iloc[-1] - out["val_mean"].iloc[-1]
     out["verdict"] = "overfitting" if gap > 0.1 else ("underfitting" if gap < -0.05 else "balanced")
-    return data.sparkSession.createDataFrame(out)
+    return spark.createDataFrame(out)
 
 
 def verdict(train_score: float, val_score: float) -> str:

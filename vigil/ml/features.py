@@ -9,9 +9,7 @@ is written as Parquet next to the stage metadata.
 
 from __future__ import annotations
 
-import json
 import math
-import os
 from collections.abc import Sequence
 
 from pyspark import keyword_only
@@ -19,13 +17,14 @@ from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasLabelCol, HasOutputCols
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable, MLReadable, MLReader, MLWritable, MLWriter
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import is_finite, is_inf, is_numeric_type, nan_to_null, q
 from ..functions.ranking import exact_quantiles
+from .tables import SideTables
 
 CLASSIFICATION = "classification"
 REGRESSION = "regression"
@@ -151,7 +150,7 @@ class TargetEncoderStage(Estimator, _TEParams, DefaultParamsReadable, DefaultPar
         return model
 
 
-class TargetEncoderStageModel(Model, _TEParams, MLReadable, MLWritable):
+class TargetEncoderStageModel(Model, _TEParams, SideTables):
     prior = Param(Params._dummy(), "prior", "overall target mean", TypeConverters.toFloat)
 
     @keyword_only
@@ -170,39 +169,17 @@ class TargetEncoderStageModel(Model, _TEParams, MLReadable, MLWritable):
             out = out.withColumn(o, F.coalesce(F.col(f"__enc_{o}"), F.lit(prior))).drop(f"__cat_{o}", f"__enc_{o}")
         return out
 
-    def write(self):
-        return _TEWriter(self)
+    # ---- persistence: the encodings as a table
+    def side_tables(self, spark):
+        names = ("k", "f", "prior")
+        return {"inputCols": self.getInputCols(), "outputCols": self.getOutputCols(), "labelCol": self.getLabelCol(),
+                **{n: self.getOrDefault(n) for n in names}}, {"table": self.table}
 
     @classmethod
-    def read(cls):
-        return _TEReader()
-
-
-class _TEWriter(MLWriter):
-    def __init__(self, instance):
-        super().__init__()
-        self.instance = instance
-
-    def saveImpl(self, path: str) -> None:
-        inst = self.instance
-        meta = {"class": "vigil.ml.features.TargetEncoderStageModel", "uid": inst.uid,
-                "inputCols": inst.getInputCols(), "outputCols": inst.getOutputCols(), "labelCol": inst.getLabelCol(),
-                "k": inst.getOrDefault("k"), "f": inst.getOrDefault("f"), "prior": inst.getOrDefault("prior")}
-        spark = inst.table.sparkSession
-        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(
-            os.path.join(path, "metadata"))
-        inst.table.write.mode("overwrite").parquet(os.path.join(path, "table"))
-
-
-class _TEReader(MLReader):
-    def load(self, path: str):
-        from pyspark.sql import SparkSession
-        spark = SparkSession.getActiveSession()
-        meta = json.loads(spark.read.text(os.path.join(path, "metadata")).first()[0])
-        m = TargetEncoderStageModel(inputCols=meta["inputCols"], outputCols=meta["outputCols"],
-                                    labelCol=meta["labelCol"], k=meta["k"], f=meta["f"])
+    def from_tables(cls, meta, tables):
+        m = cls(inputCols=meta["inputCols"], outputCols=meta["outputCols"], labelCol=meta["labelCol"], k=meta["k"], f=meta["f"])
         m._set(prior=meta["prior"])
-        m.table = spark.read.parquet(os.path.join(path, "table"))
+        m.table = tables["table"]
         return m
 
 

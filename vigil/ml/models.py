@@ -13,12 +13,9 @@ the reference passes none):
   (all without standardisation; these reproduce the closed forms)
 - decision tree: maxDepth None -> 30 (fast 10), min_samples_split s ->
   minInstancesPerNode = max(1, s // 2)
-- extra trees: sqrt (classification) / all (regression) features per split; every tree sees
-  its own 80 % of the rows, drawn without replacement, from which its candidate thresholds follow
-  (Spark draws no random thresholds; without that draw all regression trees would be equal)
-- SVM / SVR: linear models on a feature map (identity, degree-3 polynomial
-  expansion, or random Fourier features for the RBF kernel, Rahimi & Recht 2007);
-  re-aimed, not the same solver
+- extra trees: sqrt (classification) / all (regression) features per split, one random threshold each, every
+  tree sees every row (``extra_trees``)
+- SVM / SVR: kernel machines by a cascade of block-wise dual solves (``kernel_svm``)
 - Gaussian naive Bayes: NaiveBayes(modelType="gaussian")
 - AdaBoost (SAMME / AdaBoost.R2) and k-nearest neighbours are own estimators
   (``boosting``, ``neighbors``).
@@ -26,24 +23,11 @@ the reference passes none):
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
-from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
-from pyspark.storagelevel import StorageLevel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        NaiveBayes, OneVsRest, RandomForestClassifier)
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.feature import PolynomialExpansion
-from pyspark import keyword_only
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 CLASSIFICATION = "classification"
 REGRESSION = "regression"
@@ -79,61 +63,8 @@ def _depth(d):
     return MAX_DEPTH if d in (None, 0) else min(int(d), MAX_DEPTH)
 
 
-# --------------------------------------------------------------------------- feature maps
-class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """z(x) = sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma), b ~ U(0, 2 pi): an explicit
-    approximation of the RBF kernel. W is D x d (bounded by parameters, not data) and
-    is kept as a Param; the map runs Arrow-batched in a pandas UDF."""
-    weights = Param(Params._dummy(), "weights", "flattened D x d projection", TypeConverters.toListFloat)
-    offsets = Param(Params._dummy(), "offsets", "D phase offsets", TypeConverters.toListFloat)
-
-    @keyword_only
-    def __init__(self, inputCol=None, outputCol=None, weights=None, offsets=None):
-        super().__init__()
-        self._set(**self._input_kwargs)
-
-    @staticmethod
-    def create(input_col, output_col, dim: int, gamma: float, components: int = 200, seed: int = 42):
-        rng = np.random.default_rng(seed)
-        w = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(components, dim))
-        b = rng.uniform(0.0, 2 * math.pi, size=components)
-        return RandomFourierFeatures(inputCol=input_col, outputCol=output_col, weights=w.ravel().tolist(),
-                                     offsets=b.tolist())
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        b = np.asarray(self.getOrDefault("offsets"))
-        w = np.asarray(self.getOrDefault("weights")).reshape(len(b), -1)
-        scale = math.sqrt(2.0 / len(b))
-
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def rff(col: pd.Series) -> pd.Series:
-            x = np.vstack(col.to_numpy()) if len(col) else np.zeros((0, w.shape[1]))
-            z = scale * np.cos(x @ w.T + b)
-            return pd.Series(list(z))
-
-        return df.withColumn(self.getOutputCol(), array_to_vector(rff(vector_to_array(F.col(self.getInputCol())))))
-
-
-class MappedFit(Estimator):
-    """Feature map + iterative estimator: the mapped training rows are persisted for
-    the fit (the solver passes over them many times) and released afterwards."""
-
-    def __init__(self, maps: list, estimator):
-        super().__init__()
-        self.maps, self.estimator = maps, estimator
-
-    def _fit(self, df: DataFrame):
-        fitted = Pipeline(stages=self.maps).fit(df)
-        mapped = fitted.transform(df).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            model = self.estimator.fit(mapped)
-        finally:
-            mapped.unpersist()
-        return PipelineModel(stages=list(fitted.stages) + [model])
-
-
 def _label_std(train: DataFrame, label: str = "label") -> float:
-    return float(train.agg(F.stddev_samp(label)).first()[0] or 1.0)
+    return float(train.agg(F.stddev_pop(label)).first()[0] or 1.0)
 
 
 def make_estimator(name: str, task: str, train: DataFrame, params: dict | None = None, fast: bool = False,
@@ -148,10 +79,10 @@ def make_estimator(name: str, task: str, train: DataFrame, params: dict | None =
                   maxDepth=_depth(p.get("max_depth", 10 if fast else None)), seed=int(p.get("random_state", 42)), **common)
         return RandomForestClassifier(**kw) if cls else RandomForestRegressor(**kw)
     if name == "extra_trees":
-        kw = dict(numTrees=int(p.get("n_estimators", 50 if fast else 100)),
-                  maxDepth=_depth(p.get("max_depth", 10 if fast else None)), seed=int(p.get("random_state", 42)),
-                  bootstrap=False, subsamplingRate=0.8, featureSubsetStrategy="sqrt" if cls else "all", **common)
-        return RandomForestClassifier(**kw) if cls else RandomForestRegressor(**kw)
+        from .extra_trees import ExtraTrees
+        return ExtraTrees(task=task, n_estimators=int(p.get("n_estimators", 50 if fast else 100)),
+                          max_depth=_depth(p.get("max_depth", 10 if fast else None)), min_samples_split=int(p.get("min_samples_split", 2)),
+                          seed=int(p.get("random_state", 42)), featuresCol=features, labelCol=label)
     if name == "gradient_boosting":
         kw = dict(maxIter=int(p.get("n_estimators", 50 if fast else 100)), maxDepth=_depth(p.get("max_depth", 3)),
                   stepSize=float(p.get("learning_rate", 0.1)), seed=int(p.get("random_state", 42)), **common)
@@ -187,28 +118,11 @@ def make_estimator(name: str, task: str, train: DataFrame, params: dict | None =
     if name == "naive_bayes":
         return NaiveBayes(modelType="gaussian", **common)
     if name in ("svm", "svr"):
-        kernel = p.get("kernel", "rbf")
-        c = float(p.get("C", 1.0))
-        dim = len(train.select(features).first()[0])
-        stages = []
-        feats = features
-        if kernel == "poly":
-            stages.append(PolynomialExpansion(degree=int(p.get("degree", 3)), inputCol=features, outputCol="__phi"))
-            feats = "__phi"
-        elif kernel == "rbf":
-            # gamma = 'scale': 1 / (d * Var(X)) over all feature values
-            var = train.select(F.explode(vector_to_array(features)).alias("v")).agg(F.var_pop("v")).first()[0] or 1.0
-            gamma = float(p.get("gamma", 1.0 / (dim * var))) if var > 0 else 1.0
-            stages.append(RandomFourierFeatures.create(features, "__phi", dim, gamma,
-                                                       int(p.get("components", 200)), int(p.get("random_state", 42))))
-            feats = "__phi"
-        if name == "svm":
-            svc = LinearSVC(regParam=1.0 / (c * n), maxIter=int(p.get("max_iter", 100)), featuresCol=feats, labelCol=label)
-            est = svc if n_classes <= 2 else OneVsRest(classifier=svc, featuresCol=feats, labelCol=label)
-        else:
-            est = LinearRegression(loss="huber", regParam=1.0 / (c * n), elasticNetParam=0.0, featuresCol=feats,
-                                   labelCol=label)
-        return MappedFit(stages, est) if stages else est
+        from .kernel_svm import KernelMachines
+        gamma = p.get("gamma")
+        return KernelMachines(task=task, c=float(p.get("C", 1.0)), kind=p.get("kernel", "rbf"), gamma=None if gamma in (None, "scale") else float(gamma),
+                              degree=int(p.get("degree", 3)), epsilon=float(p.get("epsilon", 0.1)), seed=int(p.get("random_state", 42)),
+                              featuresCol=features, labelCol=label)
     if name == "adaboost":
         from .boosting import AdaBoost
         return AdaBoost(task=task, n_estimators=int(p.get("n_estimators", 30 if fast else 50)),

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
+from .tables import SideTables
 
 
 BLOCK_VALUES = 4_000_000
@@ -58,7 +59,10 @@ class KNN(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
         ensure_checkpoint_dir(spark)
         fc, lc = self.getFeaturesCol(), self.getLabelCol()
         d = df.select(vector_to_array(fc).alias("x"), F.col(lc).cast("double").alias("y"))
-        n_piv = self.n_pivots or int(min(1024, max(16, d.count() ** 0.5)))
+        n = d.count()
+        if n < self.k:
+            raise ValueError(f"{self.k} neighbours asked of {n} rows")
+        n_piv = self.n_pivots or int(min(1024, max(16, n ** 0.5)))
         piv = (d.withColumn("__h", F.xxhash64(F.col("x"), F.lit(self.seed))).orderBy("__h")
                .limit(n_piv).select("x").collect())
         pivots = np.unique(np.array([r["x"] for r in piv], dtype=float), axis=0)
@@ -75,7 +79,7 @@ class KNN(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
         return KNNModel(self.task, self.k, pivots, radius, size, train, fc, self.getPredictionCol())
 
 
-class KNNModel(Model, HasFeaturesCol, HasPredictionCol):
+class KNNModel(Model, HasFeaturesCol, HasPredictionCol, SideTables):
     def __init__(self, task, k, pivots, radius, size, train, featuresCol="features", predictionCol="prediction"):
         super().__init__()
         self.task, self.k, self.pivots, self.radius, self.size, self.train = task, k, pivots, radius, size, train
@@ -89,14 +93,10 @@ class KNNModel(Model, HasFeaturesCol, HasPredictionCol):
         live = size > 0
 
         @F.pandas_udf(T.ArrayType(T.IntegerType()))
-        def covering(col: pd.Series) -> pd.Series:
+        def covering(distances: pd.Series) -> pd.Series:
             """Nearest cells (by pivot distance) that together hold at least k rows."""
-            if len(col) == 0:
-                return pd.Series([], dtype=object)
-            x = np.vstack(col.to_numpy())
-            dist = np.sqrt(((x[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
             out = []
-            for row in dist:
+            for row in distances:
                 order = np.argsort(row)
                 order = order[live[order]]
                 j = min(int(np.searchsorted(np.cumsum(size[order]), k)), len(order) - 1)
@@ -108,7 +108,7 @@ class KNNModel(Model, HasFeaturesCol, HasPredictionCol):
         qx = q.select("__qid", vector_to_array(self.getFeaturesCol()).alias("qx"))
         qx = qx.withColumn("pd", _dist_udf(pivots)(F.col("qx")))
         # phase 1: exact k-th distance among the covering cells -> tight bound per query
-        p1 = qx.select("__qid", "qx", F.explode(covering(F.col("qx"))).alias("cell")).join(train, "cell")
+        p1 = qx.select("__qid", "qx", F.explode(covering(F.col("pd"))).alias("cell")).join(train, "cell")
         p1 = p1.select("__qid", sq.alias("d2"))
         w1 = Window.partitionBy("__qid").orderBy("d2")
         bound = p1.withColumn("__rn", F.row_number().over(w1)).where(F.col("__rn") == k) \
@@ -129,3 +129,15 @@ class KNNModel(Model, HasFeaturesCol, HasPredictionCol):
             pred = top.groupBy("__qid").agg(F.avg("y").alias("__pred"))
         return q.join(pred, "__qid", "left").withColumn(self.getPredictionCol(), F.col("__pred")) \
             .drop("__pred", "__qid")
+
+    # ---- persistence: the training rows with their cells, and the cells
+    def side_tables(self, spark):
+        cells = spark.createDataFrame([(i, p.tolist(), float(r), int(n)) for i, (p, r, n) in enumerate(zip(self.pivots, self.radius, self.size))],
+                                      "cell int, pivot array<double>, radius double, size long")
+        return {"task": self.task, "k": self.k, "features": self.getFeaturesCol(), "prediction": self.getPredictionCol()}, {"train": self.train, "cells": cells}
+
+    @classmethod
+    def from_tables(cls, meta, tables):
+        cells = tables["cells"].orderBy("cell").collect()  # a row a pivot
+        pivots, radius, size = (np.array([r[c] for r in cells]) for c in ("pivot", "radius", "size"))
+        return cls(meta["task"], meta["k"], pivots, radius, size, tables["train"], meta["features"], meta["prediction"])
