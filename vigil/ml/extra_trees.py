@@ -10,7 +10,6 @@ depend on how rows are partitioned.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +28,16 @@ from .tree_shap import Tree
 CLASSIFICATION = "classification"
 
 
-def uniform(*key: int) -> float:
-    """A number in [0, 1) fixed by ``key``."""
-    return int.from_bytes(hashlib.blake2b(np.array(key, "<i8").tobytes(), digest_size=8).digest(), "little") / 2.0**64
+def uniform(*keys) -> np.ndarray:
+    """Numbers in [0, 1) fixed by the (broadcast) ``keys``: a chain of splitmix64 steps."""
+    z = np.uint64(0)
+    with np.errstate(over="ignore"):
+        for k in keys:
+            z = (z ^ np.asarray(k, np.int64).astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15)
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            z = z ^ (z >> np.uint64(31))
+    return (z >> np.uint64(11)).astype(np.float64) / 2.0**53
 
 
 class _Grown:
@@ -171,16 +177,18 @@ class ExtraTrees(Estimator):
 
     def _draw(self, ranges: dict, most: int) -> dict:
         """Per open node (feature, threshold) of the first ``most`` varying features in hashed order."""
-        out = {}
-        for (t, node), (low, high) in sorted(ranges.items()):
-            varies = sorted(np.flatnonzero(high > low).tolist(), key=lambda f: uniform(self.seed, t, node, f, 0))
-            drawn = []
-            for f in varies[:most]:
-                threshold = low[f] + uniform(self.seed, t, node, f, 1) * (high[f] - low[f])
-                drawn.append((f, float(threshold if threshold < high[f] else low[f])))
-            if drawn:
-                out[(t, node)] = drawn
-        return out
+        keys = sorted(ranges)
+        if not keys:
+            return {}
+        low, high = (np.array([ranges[k][i] for k in keys]) for i in (0, 1))
+        tree, node = (np.array(v)[:, None] for v in zip(*keys))
+        feature = np.arange(low.shape[1])[None]
+        varies = high > low
+        order = np.argsort(np.where(varies, uniform(self.seed, tree, node, feature, 0), 2.0), axis=1, kind="stable")[:, :most]
+        cut = low + uniform(self.seed, tree, node, feature, 1) * (high - low)
+        cut = np.where(cut < high, cut, low)
+        take = lambda m: np.take_along_axis(m, order, axis=1).tolist()
+        return {k: d for k, fs, cs, ok in zip(keys, order.tolist(), take(cut), take(varies)) if (d := [(f, c) for f, c, v in zip(fs, cs, ok) if v])}
 
     def _left_stats(self, rows: DataFrame, trees: list[_Grown], cuts: dict, classes: int) -> dict:
         """Label statistics of the rows that go left, a row of the array for each threshold of a node."""

@@ -257,16 +257,16 @@ def _price_regression(spark, sf_dir):
     return prepare(d, "l_extendedprice", key="line", task="regression")
 
 
-def _register_predictions(name, model, source, key):
+def _register_predictions(name, model, source, key, params=None):
     @register(name)
     def run(spark, sf_dir):
         from ..ml.compare import fit_model
         d, task = source(spark, sf_dir)
-        return fit_model(d, model, task, key=key)[1]
+        return fit_model(d, model, task, params, key=key)[1]
 
 
 _register_predictions("gradient_boosting_predict", "gradient_boosting", _prepared, "o_orderkey")
-_register_predictions("extra_trees_predict", "extra_trees", _prepared, "o_orderkey")
+_register_predictions("extra_trees_predict", "extra_trees", _prepared, "o_orderkey", {"n_estimators": 20, "max_depth": 8})
 _register_predictions("svm_predict", "svm", _prepared, "o_orderkey")
 _register_predictions("svr_predict", "svr", _price_regression, "line")
 
