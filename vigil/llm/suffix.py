@@ -6,6 +6,7 @@ import numpy as np
 
 FIRST = 5  # bytes of the first sort key; with a position it fits one integer
 LIMIT = 1 << 21  # bytes of a text
+WALK = 64  # positions that one Kasai walk covers
 
 
 def suffix_array(text: np.ndarray, rem: np.ndarray, depth: int) -> np.ndarray:
@@ -13,8 +14,8 @@ def suffix_array(text: np.ndarray, rem: np.ndarray, depth: int) -> np.ndarray:
 
     Larsson-Sadakane refinement: positions are grouped by their first bytes, and every round splits the
     groups of more than one position by the rank of what follows, which doubles the sorted depth; the
-    last round overlaps. A group's rank is its place in the order, so settled positions are never
-    sorted again.
+    last round overlaps. A group's rank is its first place in the order and never moves, so a position
+    alone in its group is settled: no later round reads or sorts it.
     """
     n = len(text)
     if n > LIMIT:
@@ -22,54 +23,63 @@ def suffix_array(text: np.ndarray, rem: np.ndarray, depth: int) -> np.ndarray:
     bits = np.uint64(max(1, n.bit_length()))
     mask = np.uint64((1 << int(bits)) - 1)
     h = min(FIRST, depth)
-    at = np.flatnonzero(rem >= h).astype(np.uint64)
-    key = np.zeros(len(at), np.uint64)
+    key = np.zeros(max(0, n - h + 1), np.uint64)
     for i in range(h):
-        key = (key << np.uint64(8)) | text[at + np.uint64(i)]
-    packed = np.sort((key << bits) | at)
-    sa, key = (packed & mask).astype(np.int64), packed >> bits
-    rank = np.zeros(n, np.int64)
-    rank[sa] = _heads(key[1:] != key[:-1], len(sa))
-    while h < depth:
+        key = (key << np.uint64(8)) | text[i:i + len(key)]
+    at = np.flatnonzero(rem >= h)
+    packed = np.sort((key[at] << bits) | at.astype(np.uint64))
+    sa, key = (packed & mask).astype(np.int32), packed >> bits
+    rank = np.zeros(n, np.int32)
+    group = _heads(key[1:] != key[:-1], len(sa))
+    rank[sa] = group
+    sa, group = _unsettled(sa, group)
+    while h < depth and len(sa):
         step = min(h, depth - h)
-        sa = sa[rem[sa] >= h + step]
-        if not len(sa):
-            return sa
-        group, follow = rank[sa], rank[sa + step]
-        cut = np.concatenate(([True], group[1:] != group[:-1], [True]))
-        many = ~(cut[1:] & cut[:-1])
-        if many.any():
-            dense = np.cumsum(cut[:-1])[many].astype(np.uint64)
-            packed = np.sort((((dense << bits) | follow[many].astype(np.uint64)) << bits) | sa[many].astype(np.uint64)) \
-                if 2 * int(bits) + int(dense[-1]).bit_length() <= 64 else None
-            if packed is None:
-                order = np.lexsort((follow[many], dense))
-                sa[many] = sa[many][order]
-            else:
-                sa[many] = (packed & mask).astype(np.int64)
-            follow = rank[sa + step]
-        rank[sa] = _heads((group[1:] != group[:-1]) | (follow[1:] != follow[:-1]), len(sa))
         h += step
-    return sa
+        long = rem[sa] >= h  # a shorter position is nobody's successor from here on
+        sa, group = sa[long], group[long]
+        # unsettled groups begin at least two places apart, so half a place still tells them apart
+        packed = np.sort((((group >> 1).astype(np.uint64) << bits | rank[sa + step].astype(np.uint64)) << bits) | sa.astype(np.uint64))
+        sa, key = (packed & mask).astype(np.int32), packed >> bits
+        # the sort keeps each group in its places: only the order inside changes
+        group = group + _heads(key[1:] != key[:-1], len(sa)) - _heads(group[1:] != group[:-1], len(sa))
+        rank[sa] = group
+        sa, group = _unsettled(sa, group)
+    place = np.full(n, -1, np.int32)
+    whole = np.flatnonzero(rem >= depth)
+    place[rank[whole]] = whole
+    place[group + np.arange(len(sa)) - _heads(group[1:] != group[:-1], len(sa))] = sa
+    return place[place >= 0].astype(np.int64)
+
+
+def _unsettled(sa: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of an order whose group has another entry."""
+    cut = np.concatenate(([True], group[1:] != group[:-1], [True]))
+    many = ~(cut[1:] & cut[:-1]) if len(sa) else np.zeros(0, bool)
+    return sa[many], group[many]
 
 
 def _heads(changes: np.ndarray, n: int) -> np.ndarray:
     """For every place in an order the place where its group begins."""
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     first = np.concatenate(([True], changes))
-    return np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    return np.maximum.accumulate(np.where(first, np.arange(n, dtype=np.int32), np.int32(0)))
 
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray, starts: np.ndarray, counts: np.ndarray, depth: int) -> np.ndarray:
     """Kasai: for each entry of ``sa`` the length of the prefix it shares with the entry before, at most ``depth``.
 
     ``starts``/``counts`` give the runs of consecutive positions that make up ``sa``. The runs are walked in
-    step: the next position of a run shares all but one byte of what the last one shared. Entries that are
-    equal to ``depth`` must stand in text order, as ``suffix_array`` leaves them.
+    step: the next position of a run shares all but one byte of what the last one shared. Runs are cut at
+    ``WALK`` positions, each part beginning anew, so the steps are few and wide whatever the longest run.
+    Entries that are equal to ``depth`` must stand in text order, as ``suffix_array`` leaves them.
     """
-    place = np.full(len(text) + 1, -1, np.int64)
-    place[sa] = np.arange(len(sa))
+    parts = -(-counts // WALK)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    starts, counts = np.repeat(starts, parts) + nth * WALK, np.minimum(np.repeat(counts, parts) - nth * WALK, WALK)
+    place = np.full(len(text) + 1, -1, np.int32)
+    place[sa] = np.arange(len(sa), dtype=np.int32)
     lcp = np.zeros(len(text) + 1, np.int16)
     order = np.argsort(-counts, kind="stable")
     starts, counts = starts[order], counts[order]
