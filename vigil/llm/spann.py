@@ -181,7 +181,7 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 10, id_col:
             c = balanced_clusters(np.concatenate(parts), lists)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(c))), pa.array(list(c), pa.list_(pa.float64()))], names=["list", "v"])
 
-    sample = classes.where(F.pmod(F.xxhash64("v"), F.lit(SLOTS)) <= slots).select("v").coalesce(1)  # bounded by SAMPLE_VALUES
+    sample = classes.where(F.pmod(F.xxhash64("v"), F.lit(SLOTS)) <= slots).select("v").repartition(1)  # only the sample moves; bounded by SAMPLE_VALUES
     table = materialize(sample.mapInArrow(fit, "list long, v array<double>"), "centroids")
     centroids = np.array([r["v"] for r in table.orderBy("list").collect()])  # MAX_LISTS rows at most
     graph = spark.sparkContext.broadcast(CentroidGraph(centroids))
