@@ -1,88 +1,132 @@
 """Kendall's tau-b without enumerating pairs.
 
-1. Values become dense ranks rx, ry (distributed ranking, no single-partition window)
-   and rows collapse to distinct (rx, ry) pairs with counts.
-2. Ties: n1 (same x), n2 (same y), n3 (same x and y) from ``groupBy`` counts.
-3. Discordant pairs D (x_i < x_j and y_i > y_j): for every bit level l of rx, rows
-   with the same prefix rx >> (l+1) form a group, bit l splits it into a left half
-   (smaller x) and a right half; every pair with different x meets at exactly one
-   level. Per (level, group), D gains, for each right row, the count of left rows
-   with larger y - an exclusive running sum over y in descending order, computed
-   with the bucketed running sum, so even the top level (one group holding every
-   row) is spread over many tasks. Rows x levels = O(n log n).
-4. C = n0 - n1 - n2 + n3 - D, tau_b = (C - D) / sqrt((n0 - n1) (n0 - n2)).
+Rows collapse to distinct (x, y) with counts. Two total orders stand over them: P by (x, y) and Q by (y, x).
+A pair of rows is discordant (x_i < x_j and y_i > y_j) exactly if the two orders disagree on it, so ties need
+no care and a value that holds a third of all rows can be cut anywhere.
+
+1. P is cut into ranges of about ``RANGE_ROWS`` rows and Q into as many strips. Each row knows its range and
+   its strip.
+2. Disagreements inside a range are counted in the range's task (merge counting, O(n log n)).
+3. Disagreements inside a strip, but between different ranges, are counted in the strip's task.
+4. What differs in both is settled by the number of rows in each (range, strip) cell: the same count over the
+   table of cells, which is a table of distinct pairs again.
+
+A row is shuffled twice per round. A round over n rows leaves at most (n / RANGE_ROWS)^2 cells.
+C = n0 - n1 - n2 + n3 - D, tau_b = (C - D) / sqrt((n0 - n1) (n0 - n2)).
 """
 
 from __future__ import annotations
 
 import decimal
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import nan_to_null, q
-from ..functions.ranking import default_buckets, running_sum
 from ..session import ensure_checkpoint_dir
 
 _DEC = "decimal(38,0)"  # exact pair counts for any row count
 RESULT = f"n long, n_concordant {_DEC}, n_discordant {_DEC}, tau double"
+RANGE_ROWS = 1_000_000  # distinct (x, y) that one task counts: about 100 MB of arrays
+
+
+def inversions(places: np.ndarray, weight: np.ndarray) -> int:
+    """Sum of weight_i * weight_j over i < j with places_i > places_j; ``places`` holds 0..n-1 once each.
+
+    The merge steps of a merge sort, from the widest down: places that agree above bit b stand together in
+    sequence order, those with bit b set ahead of one without it are its inversions there, and a stable
+    partition by that bit prepares the next step.
+    """
+    n, total = len(places), 0
+    index = np.arange(n)
+    small = 2 * int(weight.sum()).bit_length() < 63 if n else True
+    for b in range(max(0, n - 1).bit_length() - 1, -1, -1):
+        start = (places >> (b + 1)) << (b + 1)
+        one = (places >> b & 1).astype(bool)
+        held = np.concatenate(([0], np.cumsum(np.where(one, weight, 0))))
+        ahead = (held[:-1] - held[start])[~one]
+        mine = weight[~one]
+        total += int(np.dot(mine, ahead)) if small else int(np.dot(mine.astype(object), ahead.astype(object)))
+        ones = np.concatenate(([0], np.cumsum(one)))
+        before = ones[:-1] - ones[start]
+        to = np.where(one, start + (1 << b) + before, index - before)
+        moved, borne = np.empty_like(places), np.empty_like(weight)
+        moved[to], borne[to] = places, weight
+        places, weight = moved, borne
+    return total
+
+
+def _disagreements(x: np.ndarray, y: np.ndarray, weight: np.ndarray, part: np.ndarray | None = None) -> int:
+    """Weighted disagreements of the orders (x, y) and (y, x); with ``part``, which never falls along (x, y),
+    only those between different parts."""
+    p = np.lexsort((y, x))
+    x, y, weight = x[p], y[p], weight[p]
+    places = np.empty(len(p), np.int64)
+    places[np.lexsort((x, y))] = np.arange(len(p))
+    found = inversions(places, weight)
+    if part is not None:
+        inside = np.empty(len(p), np.int64)
+        inside[np.lexsort((places, part[p]))] = np.arange(len(p))
+        found -= inversions(inside, weight)
+    return found
+
+
+def _arrays(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+    table = [b for b in batches if len(b)]
+    return [np.concatenate([b.column(i).to_numpy() for b in table]) for i in range(table[0].num_columns)] if table else []
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a task: its disagreements as digits (columns x, y, c and, for a strip, the range)."""
+    if cols := _arrays(batches):
+        yield pa.RecordBatch.from_pydict({"d": [str(_disagreements(*cols))]})
 
 
-def _dense_rank(d: DataFrame, col: str, out: str) -> DataFrame:
-    """Attach the 0-based dense rank of ``col``: distinct values -> distributed
-    running count -> join back on the value."""
-    vals = d.select(F.col(col).alias("__v")).distinct().withColumn("__one", F.lit(1).cast("long"))
-    r = running_sum(vals, "__v", ["__one"])
-    r = r.select("__v", F.col("__one_before").alias(out))
-    return d.join(r, d[col] == r["__v"], "inner").drop("__v")
+def _discordant(pairs: DataFrame, rows: int, range_rows: int) -> int:
+    """Discordant pairs of a table of distinct (x, y) with weights ``c``."""
+    total = lambda t: int(t.mapInArrow(_count, "d string").agg(F.sum(F.col("d").cast(_DEC)).alias("d")).first()["d"] or 0)
+    parts = -(-rows // range_rows)
+    if parts <= 1:
+        return total(pairs.repartition(1))  # range_rows rows at most
+    ranges = pairs.repartitionByRange(parts, "x", "y").select("x", "y", "c", F.spark_partition_id().alias("a")).checkpoint()
+    strips = ranges.repartitionByRange(parts, "y", "x").select("x", "y", "c", "a", F.spark_partition_id().alias("s")).checkpoint()
+    cells = strips.groupBy(F.col("a").alias("x"), F.col("s").alias("y")).agg(F.sum("c").alias("c")).checkpoint()
+    held = cells.count()
+    if held >= rows:  # would not shrink: wider ranges
+        range_rows *= 2
+    return total(ranges.select("x", "y", "c")) + total(strips.select("x", "y", "c", "a")) + _discordant(cells, held, range_rows)
 
 
-def kendall_tau(df: DataFrame, x: str, y: str, buckets: int | None = None) -> DataFrame:
-    """Kendall tau-b of two numeric columns over pair-complete rows.
-    Output: one row (n, n_concordant, n_discordant, tau)."""
+def kendall_tau(df: DataFrame, x: str, y: str, buckets: int | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Kendall tau-b of two numeric columns over pair-complete rows, in ranges of ``range_rows`` or ``buckets`` ranges.
+    Output: one row (n, n_concordant, n_discordant, tau); tau is NULL where a column is constant or fewer than
+    two rows are complete."""
     xs = nan_to_null(q(x).cast("double"), T.DoubleType())
     ys = nan_to_null(q(y).cast("double"), T.DoubleType())
     d = df.select(xs.alias("x"), ys.alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    # collapse to distinct (x, y) pairs first: heavy ties become one row
-    pairs = d.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
-    pairs = _dense_rank(pairs, "x", "rx")
-    pairs = _dense_rank(pairs, "y", "ry").select("rx", "ry", "c")
     ensure_checkpoint_dir(df.sparkSession)
-    pairs = pairs.checkpoint(eager=True)  # reused by four aggregates below; cut lineage
+    pairs = d.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")).checkpoint()  # heavy ties are one row from here on
 
     # pair counts t(t-1) exceed a long once one value holds ~3e9 rows: exact decimals
     def twice_pairs(t):
         return F.col(t).cast(_DEC) * (F.col(t) - F.lit(1)).cast(_DEC)
 
-    # (x, y) is unique per row of ``pairs``: ties on both need no grouping
-    stats = pairs.agg(F.max("rx").alias("mx"), F.max("ry").alias("my"), F.sum("c").alias("n"),
-                      F.sum(twice_pairs("c")).alias("t3")).first()
-    n = int(stats["n"] or 0)
+    # ties on x, on y and on both in one job; (x, y) is unique, so ties on both need no grouping
+    sides = pairs.select(F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("k"), "c"),
+                                          F.struct(F.lit(1).alias("side"), F.col("y").alias("k"), "c"))))
+    ties = {r["side"]: r for r in sides.groupBy("side", "k").agg(F.sum("c").alias("t"), F.count("*").alias("rows"), F.sum(twice_pairs("c")).alias("t3"))
+            .groupBy("side").agg(F.sum(twice_pairs("t")).alias("s"), F.sum("t").alias("n"), F.sum("rows").alias("rows"), F.sum("t3").alias("t3")).collect()}
+    n = int(ties[0]["n"]) if ties else 0
     if n < 2:
         return df.sparkSession.createDataFrame([(n, decimal.Decimal(0), decimal.Decimal(0), None)], RESULT)
-    mx, my = int(stats["mx"]), int(stats["my"])
-    levels = max(1, mx.bit_length())
-
-    # ties on x and on y in one job: both rank columns unpivoted, grouped per side
-    sides = pairs.select(F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("rx").alias("k"), "c"),
-                                          F.struct(F.lit(1).alias("side"), F.col("ry").alias("k"), "c"))))
-    ties = {r["side"]: int(r["s"] or 0) for r in
-            sides.groupBy("side", "k").agg(F.sum("c").alias("t")).groupBy("side").agg(F.sum(twice_pairs("t")).alias("s")).collect()}
-    n1, n2, n3 = ties.get(0, 0) // 2, ties.get(1, 0) // 2, int(stats["t3"] or 0) // 2
-
-    lv = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("l")
-    e = pairs.select("rx", "ry", "c", lv)
-    e = e.select(F.col("l"), F.expr("shiftright(rx, l + 1)").alias("g"),
-                 F.expr("shiftright(rx, l) & 1").alias("side"), "ry", "c")
-    side = e.groupBy("l", "g", "ry").agg(F.sum(F.when(F.col("side") == 0, F.col("c")).otherwise(0)).alias("left"),
-                                         F.sum(F.when(F.col("side") == 1, F.col("c")).otherwise(0)).alias("right"))
-    b = buckets or default_buckets(df)
-    # ry is a dense rank 0..my: uniform literal split points, no sampling pass needed
-    splits = {(): sorted({int((my + 1) * i / b) for i in range(1, b)} - {0})}
-    rs = running_sum(side, "ry", ["left"], ["l", "g"], descending=True, splits=splits)
-    disc = int(rs.agg(F.sum(F.col("right").cast(_DEC) * F.col("left_before").cast(_DEC)).alias("d")).first()["d"] or 0)
+    n1, n2, n3 = int(ties[0]["s"]) // 2, int(ties[1]["s"]) // 2, int(ties[0]["t3"]) // 2
+    rows = int(ties[0]["rows"])
+    disc = _discordant(pairs, rows, -(-rows // buckets) if buckets else range_rows)
 
     # exact integer arithmetic on the driver (a handful of numbers)
     n0 = n * (n - 1) // 2
