@@ -201,8 +201,8 @@ def route_columns(df: DataFrame, target: str, max_onehot: int = 100) -> dict:
     dropped = [f.name for f in feats if f.name not in num and f.name not in strings]
     low, high = [], []
     if strings:
-        from ..operators.profile import distinct_counts
-        nd = {r["column_name"]: r["n_distinct"] for r in distinct_counts(df.select(*[q(c) for c in strings])).collect()}
+        from ..operators.profile import distinct_at_most
+        nd = distinct_at_most(df, max_onehot, strings)
         low = [c for c in strings if nd[c] <= max_onehot]
         high = [c for c in strings if nd[c] > max_onehot]
     return {"numeric": num, "low_card": low, "high_card": high, "dropped": dropped}

@@ -3,15 +3,19 @@
 Wide aggregates are computed in one pass (``agg`` of many expressions, then the single
 result row is turned into rows with ``inline``). Exact distinct counts over many columns
 use an unpivot to (column, value) and a two-level ``groupBy`` instead of many
-``count(DISTINCT)`` (which Spark plans as an ``Expand`` of every row per column).
+``count(DISTINCT)`` (which Spark plans as an ``Expand`` of every row per column); where only
+"more than k?" is asked, ``distinct_at_most`` moves k + 1 values a column and task.
 Exact quantiles use the distributed order statistics of ``functions.ranking``.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,18 +33,43 @@ def long_values(df: DataFrame, cols: Sequence[str] | None = None, as_double: boo
     """Unpivot to (column_name, x): numeric columns as double (NaN -> NULL) or every
     column as its string form (NaN -> NULL, -0.0 -> 0.0) for distinct counting."""
     fields = [f for f in df.schema.fields if cols is None or f.name in set(cols)]
-    items = []
-    for f in fields:
-        c = q(f.name)
-        if as_double:
-            v = nan_to_null(c.cast("double"), T.DoubleType())
-        else:
-            v = c
-            if is_float_type(f.dataType):
-                v = F.when(~F.isnan(c), F.when(c == 0, F.lit(0.0)).otherwise(c))
-            v = v.cast("string")
-        items.append(F.struct(F.lit(f.name).alias("column_name"), v.alias("x")))
-    return df.select(F.inline(F.array(*items)))
+    value = (lambda f: nan_to_null(q(f.name).cast("double"), T.DoubleType())) if as_double else _text_form
+    return df.select(F.inline(F.array(*[F.struct(F.lit(f.name).alias("column_name"), value(f).alias("x")) for f in fields])))
+
+
+def _text_form(f: T.StructField) -> Column:
+    """A column as text for distinct counting: NaN -> NULL, -0.0 -> 0.0."""
+    c = q(f.name)
+    if is_float_type(f.dataType):
+        c = F.when(~F.isnan(c), F.when(c == 0, F.lit(0.0)).otherwise(c))
+    return c.cast("string")
+
+
+def distinct_at_most(df: DataFrame, limit: int, cols: Sequence[str] | None = None) -> dict[str, int]:
+    """Number of distinct values of each column, ``limit`` + 1 where there are more.
+
+    Answers "more than ``limit``?" without moving the values: a task keeps ``limit`` + 1 values a column at most and
+    reads a column no further once it holds them, so at most that many values a column and task are shuffled. NULL
+    and NaN are no values."""
+    names = set(df.columns if cols is None else cols)
+    fields = [f for f in df.schema.fields if f.name in names]
+    if not fields:
+        return {}
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [set() for _ in fields]
+        for b in batches:
+            for held, column in zip(seen, b.columns):
+                if len(held) <= limit:
+                    new = (v for v in pc.unique(column).to_pylist() if v is not None and v not in held)
+                    held.update(islice(new, limit + 1 - len(held)))
+        at = [i for i, held in enumerate(seen) for _ in held]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([v for held in seen for v in held], pa.string())], names=["i", "x"])
+
+    texts = df.select(*[_text_form(f).alias(f"c{i}") for i, f in enumerate(fields)])
+    found = texts.mapInArrow(bounded, "i int, x string").distinct().groupBy("i").count().collect()  # a row a column
+    counts = {r["i"]: min(r["count"], limit + 1) for r in found}
+    return {f.name: counts.get(i, 0) for i, f in enumerate(fields)}
 
 
 # --------------------------------------------------------------------------- A5
@@ -102,11 +131,7 @@ def variable_types(df: DataFrame, max_int_levels: int = 10) -> DataFrame:
     categorical; strings, booleans, dates are categorical."""
     ints = [f.name for f in df.schema.fields if is_integral_type(f.dataType)]
     dtypes = {f.name: f.dataType for f in df.schema.fields}
-    if ints:
-        dc = distinct_counts(df.select(*[q(c) for c in ints])).collect()
-        nd = {r["column_name"]: r["n_distinct"] for r in dc}
-    else:
-        nd = {}
+    nd = distinct_at_most(df, max_int_levels - 1, ints)
     rows = []
     for f in df.schema.fields:
         if is_numeric_type(f.dataType):

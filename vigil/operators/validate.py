@@ -75,31 +75,37 @@ def validate_split(df: DataFrame, label: str = "label", split_col: str = "split"
         _check("train_no_infinite", z("ninf") == 0, z("ninf"), 0))))
 
 
-def _column_stats(df: DataFrame) -> DataFrame:
-    from .profile import distinct_counts
-    return distinct_counts(df)
+def _missing_and_infinite(df: DataFrame) -> DataFrame:
+    """column_name, n_rows, n_missing, n_infinite of every column, from one aggregate; no row for an empty table."""
+    aggs, rows = [F.count(F.lit(1)).alias("n")], []
+    for i, f in enumerate(df.schema.fields):
+        c = q(f.name)
+        aggs += [F.count_if(is_missing(c, f.dataType)).alias(f"m{i}"),
+                 (F.count_if(is_inf(c)) if is_float_type(f.dataType) else F.lit(0).cast("long")).alias(f"i{i}")]
+        rows.append(F.struct(F.lit(f.name).alias("column_name"), F.col("n").alias("n_rows"),
+                             F.col(f"m{i}").alias("n_missing"), F.col(f"i{i}").alias("n_infinite")))
+    return df.agg(*aggs).where("n > 0").select(F.inline(F.array(*rows)))
 
 
 def quality_flags(df: DataFrame, high_cardinality: int = HIGH_CARDINALITY) -> DataFrame:
     """V4: has_missing, has_duplicates, has_high_cardinality (string column with more
     than 100 distinct values) and the missing % of every column (sorted desc).
     Output: flag, column_name, value."""
-    from .profile import count_duplicates
-    strings = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
-    dc = _column_stats(df)
+    from .profile import count_duplicates, distinct_at_most
+    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    high = any(n > high_cardinality for n in distinct_at_most(df, high_cardinality, strings).values())
     ndup = count_duplicates(df).first()["n_duplicates"]
-    per_col = dc.select(F.lit("pct_missing").alias("flag"), "column_name",
-                        F.round(F.col("n_missing") / F.col("n_rows") * 100.0, 2).alias("value"))
-    high = F.col("column_name").isin(list(strings)) & (F.col("n_distinct") > high_cardinality) if strings else F.lit(False)
-    table = dc.agg(
-        F.max(F.col("n_missing") > 0).alias("m"),
-        F.max(high).alias("h")).select(F.inline(F.array(
-            F.struct(F.lit("has_missing").alias("flag"), F.lit(None).cast("string").alias("column_name"),
-                     F.col("m").cast("double").alias("value")),
-            F.struct(F.lit("has_duplicates").alias("flag"), F.lit(None).cast("string").alias("column_name"),
-                     F.lit(float(ndup > 0)).cast("double").alias("value")),
-            F.struct(F.lit("has_high_cardinality").alias("flag"), F.lit(None).cast("string").alias("column_name"),
-                     F.col("h").cast("double").alias("value")))))
+    cols = _missing_and_infinite(df)
+    per_col = cols.select(F.lit("pct_missing").alias("flag"), "column_name",
+                          F.round(F.col("n_missing") / F.col("n_rows") * 100.0, 2).alias("value"))
+
+    def flag(name, value):
+        return F.struct(F.lit(name).alias("flag"), F.lit(None).cast("string").alias("column_name"), value.cast("double").alias("value"))
+
+    filled = cols.agg(F.max(F.col("n_missing") > 0).alias("m"))
+    table = filled.select(F.inline(F.array(
+        flag("has_missing", F.col("m")), flag("has_duplicates", F.lit(ndup > 0)),
+        flag("has_high_cardinality", F.when(F.col("m").isNotNull(), F.lit(high))))))
     return table.unionByName(per_col)
 
 
@@ -116,8 +122,16 @@ def premodel_checks(df: DataFrame, target: str, high_cardinality: int = HIGH_CAR
     if target not in df.columns:
         errors.append(("error", "no_target", target, 0))
         return spark.createDataFrame(errors, schema)
-    dc = _column_stats(df)
+    from .profile import distinct_at_most, distinct_counts
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != target]
+    dc = _missing_and_infinite(df)
+    # only the columns that are named with their count are counted in full
+    many = [c for c, n in distinct_at_most(df, high_cardinality, strings).items() if n > high_cardinality]
+    if many:
+        full = distinct_counts(df.select(*[q(c) for c in many])).select("column_name", "n_distinct")
+        dc = dc.join(F.broadcast(full), "column_name", "left")  # a row a column
+    else:
+        dc = dc.withColumn("n_distinct", F.lit(0).cast("long"))
     out = dc.select(F.inline(F.array(
         F.when((F.col("column_name") == target) & (F.col("n_rows") - F.col("n_missing") == 0),
                F.struct(F.lit("error").alias("level"), F.lit("empty_target").alias("check"),
@@ -125,7 +139,7 @@ def premodel_checks(df: DataFrame, target: str, high_cardinality: int = HIGH_CAR
         F.when((F.col("column_name") != target) & (F.col("n_missing") > 0),
                F.struct(F.lit("warning").alias("level"), F.lit("missing_values").alias("check"), F.col("column_name"),
                         F.col("n_missing").cast("long").alias("value"))),
-        F.when(F.col("column_name").isin(strings) & (F.col("n_distinct") > high_cardinality) if strings else F.lit(False),
+        F.when(F.col("column_name").isin(many) & (F.col("n_distinct") > high_cardinality) if many else F.lit(False),
                F.struct(F.lit("warning").alias("level"), F.lit("high_cardinality").alias("check"), F.col("column_name"),
                         F.col("n_distinct").cast("long").alias("value"))),
         F.when((F.col("column_name") != target) & (F.col("n_infinite") > 0),
