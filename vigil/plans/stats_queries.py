@@ -209,7 +209,22 @@ def q_apply_corrections(spark, sf_dir):
     return _round(_apply(spark, sf_dir)[0], 6, ["price"])
 
 
-@register("apply_corrections_log")
+APPLY_LOG_SQL = DIRTY + """,
+d0 AS (SELECT DISTINCT * FROM dirty_orders),
+n AS (SELECT count(*) FILTER (WHERE price IS NULL OR isnan(price)) AS price, count(*) FILTER (WHERE status IS NULL) AS status,
+             count(*) FILTER (WHERE date_txt IS NULL) AS date_txt,
+             count(*) FILTER (WHERE date_txt IS NOT NULL AND (ratio IS NULL OR isnan(ratio) OR isinf(ratio))) AS ratio, count(*) AS rows FROM d0)
+SELECT 'DOUBLONS' AS column_name, 'drop_duplicates' AS correction,
+       CAST((SELECT count(*) FROM dirty_orders) - rows AS BIGINT) AS n_modified, 'done' AS status FROM n
+UNION ALL SELECT 'price', 'impute_mean', CAST(price AS BIGINT), 'done' FROM n
+UNION ALL SELECT 'status', 'impute_mode', CAST(status AS BIGINT), 'done' FROM n
+UNION ALL SELECT 'date_txt', 'drop_rows', CAST(date_txt AS BIGINT), 'done' FROM n
+UNION ALL SELECT 'ratio', 'replace_inf_impute', CAST(ratio AS BIGINT), 'done' FROM n
+UNION ALL SELECT 'constant_col', 'drop_column', NULL, 'column dropped'
+UNION ALL SELECT 'o_custkey', 'alternative_encoding', 0, 'logged only'"""
+
+
+@register("apply_corrections_log", APPLY_LOG_SQL)
 def q_apply_corrections_log(spark, sf_dir):
     return _apply(spark, sf_dir)[1]
 
