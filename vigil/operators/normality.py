@@ -6,6 +6,8 @@ Royston's normalising transformation. Every value takes part:
 
 - values are counted (a hot value is one row) and ranked with the distributed running
   counts of ``functions.ranking``;
+- above ``MAX_N_FOR_P`` values, where the published p-value ends, ``shapiro_blocks`` tests disjoint random
+  blocks that together hold every value;
 - the ranks a value covers are expanded in blocks that are dealt out anew, each rank
   gets its normal score, and one map-side combined aggregate per group gathers the sums
   that W needs.
@@ -19,7 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -53,17 +55,11 @@ def shapiro(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str]
     values of a column (and group). ``p_value`` and ``normal`` are NULL above ``MAX_N_FOR_P``
     values, where the published approximation ends; groups with fewer than ``min_n`` (at least
     3) values have NULL statistics; a constant sample has w = 1 and p = 1."""
-    cols = list(cols) if cols is not None else numeric_columns(df)
     by, min_n = list(by), max(3, min_n)
-    items = []
-    for c in cols:
-        x = q(c).cast("double")
-        items.append(F.struct(F.lit(c).alias("column_name"), F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x).alias("x")))
-    lv = df.select(*[q(b) for b in by], F.inline(F.array(*items))).where(F.col("x").isNotNull())
     parts = ["column_name", *by]
-    counts = lv.groupBy(*parts, "x").agg(F.count(F.lit(1)).alias("cnt")).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = _counted(df, cols, by).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        g = _statistics(counts, parts, min_n)
+        g = _statistics(counts, ranks_from_counts(counts, "x", parts, ["column_name"]), parts, min_n)
         if not by:  # one row a column: brought back, so the counts can be released
             rows = g.collect()
             return df.sparkSession.createDataFrame(_labelled(df.sparkSession.createDataFrame(rows, g.schema), parts, alpha).collect(),
@@ -74,15 +70,65 @@ def shapiro(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str]
     return _labelled(g, parts, alpha)
 
 
-def _statistics(counts: DataFrame, parts: list[str], min_n: int) -> DataFrame:
-    """(parts, n, w) of every group of a counted table (parts, x, cnt)."""
+def shapiro_blocks(df: DataFrame, cols: Sequence[str] | None = None, block_rows: int = 4000, alpha: float = 0.05) -> DataFrame:
+    """Shapiro-Wilk with p-values at any table size: all finite values of a column, dealt at random into disjoint
+    blocks of about ``block_rows``, each tested. Output: column_name, block, n, w, p_value, normal (p > alpha).
+
+    A column of at most ``MAX_N_FOR_P`` values is one block. The blocks are simple random samples of the column, the same
+    ones however the table is partitioned: a value's place in the sorted column is hashed."""
+    dealt = _dealt(df, cols, block_rows)
+    parts = ["column_name", "block"]
+    place = F.row_number().over(Window.partitionBy(*parts).orderBy("x")).cast("long")  # a block is about block_rows rows
+    ranks = dealt.select(*parts, "x", F.lit(1).cast("long").alias("cnt"), place.alias("rank_lo"))
+    counts = dealt.groupBy(*parts, "x").agg(F.count(F.lit(1)).alias("cnt"))
+    return _labelled(_statistics(counts, ranks, parts, 3), parts, alpha)
+
+
+def normality_verdict(df: DataFrame, cols: Sequence[str] | None = None, block_rows: int = 4000, alpha: float = 0.05) -> DataFrame:
+    """One row a column: column_name, n, n_blocks, n_rejected (blocks with p <= alpha), p_value, normal.
+
+    ``p_value`` is the smallest of the blocks' p-values times their number, 1 at most (Bonferroni): the chance that any of the
+    disjoint blocks of a normal column looks as far from normal as the worst one does."""
+    blocks = shapiro_blocks(df, cols, block_rows, alpha)
+    p = F.least(F.min("p_value") * F.count("p_value"), F.lit(1.0))
+    return blocks.groupBy("column_name").agg(
+        F.sum("n").alias("n"), F.count("*").alias("n_blocks"), F.count_if(F.col("p_value") <= alpha).alias("n_rejected"),
+        p.alias("p_value"), (p > alpha).alias("normal"))
+
+
+def _dealt(df: DataFrame, cols: Sequence[str] | None, block_rows: int) -> DataFrame:
+    """(column_name, block, x): every finite value of the columns in its block."""
+    counts = _counted(df, cols, [])
+    n = F.sum("cnt")
+    blocks = F.when(n <= MAX_N_FOR_P, F.lit(1)).otherwise(F.ceil(n / block_rows)).cast("long")
+    size = counts.groupBy("column_name").agg(blocks.alias("blocks"))  # a row a column
+    each = _each_rank(ranks_from_counts(counts, "x", ["column_name"], ["column_name"]), ["column_name"])
+    block = F.pmod(F.xxhash64("column_name", "i"), F.col("blocks"))
+    return each.join(F.broadcast(size), "column_name").select("column_name", block.alias("block"), "x")
+
+
+def _counted(df: DataFrame, cols: Sequence[str] | None, by: Sequence[str]) -> DataFrame:
+    """(column_name, *by, x, cnt): the finite values of the columns with their frequency."""
+    items = []
+    for c in numeric_columns(df) if cols is None else cols:
+        x = q(c).cast("double")
+        items.append(F.struct(F.lit(c).alias("column_name"), F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x).alias("x")))
+    values = df.select(*[q(b) for b in by], F.inline(F.array(*items))).where(F.col("x").isNotNull())
+    return values.groupBy("column_name", *by, "x").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def _each_rank(ranks: DataFrame, parts: list[str]) -> DataFrame:
+    """(parts, x, i): one row for every rank that a counted value covers; those of a hot value are dealt out in blocks."""
+    blocks = ranks.select(*parts, "x", "rank_lo", "cnt", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("cnt") - 1) / BLOCK))).alias("part"))
+    first = F.col("rank_lo") + F.col("part") * BLOCK
+    last = F.least(first + BLOCK - 1, F.col("rank_lo") + F.col("cnt") - 1)
+    return blocks.repartition(*parts, "x", "part").select(*parts, "x", F.explode(F.sequence(first, last)).alias("i"))
+
+
+def _statistics(counts: DataFrame, ranks: DataFrame, parts: list[str], min_n: int) -> DataFrame:
+    """(parts, n, w) of every group of a counted table (parts, x, cnt) and its ranks (parts, x, cnt, rank_lo)."""
     size = counts.groupBy(*parts).agg(F.sum("cnt").alias("n"), (F.sum(F.col("x") * F.col("cnt")) / F.sum("cnt")).alias("mean"))
-    ranks = ranks_from_counts(counts, "x", parts, ["column_name"])
-    blocks = ranks.select(*parts, "x", "rank_lo", "cnt", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("cnt") - 1) / BLOCK))).alias("block"))
-    blocks = blocks.repartition(*parts, "x", "block").join(size.where(F.col("n") >= min_n), parts)
-    first = F.col("rank_lo") + F.col("block") * BLOCK
-    s = blocks.select(*parts, (F.col("x") - F.col("mean")).alias("u"), "n",
-                      F.explode(F.sequence(first, F.least(first + BLOCK - 1, F.col("rank_lo") + F.col("cnt") - 1))).alias("i"))
+    s = _each_rank(ranks, parts).join(size.where(F.col("n") >= min_n), parts).withColumn("u", F.col("x") - F.col("mean"))
     s = add_inv_normal(s.withColumn("p", (F.col("i") - 0.375) / (F.col("n").cast("double") + 0.25)), "p", "m")
     at = lambda r, c: F.max(F.when(F.col("i") == r, F.col(c)))
     g = s.groupBy(*parts, "n").agg(

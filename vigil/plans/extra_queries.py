@@ -325,3 +325,16 @@ def q_shapley(spark, sf_dir):
     pre, data, _ = prepare_features(d)
     names = feature_names(data)
     return shapley_importance(model.stages[-1], data.where("split = 'test'"), names, n_perm=10, binary=True)
+
+
+# rounded: a block's sums are added in any order
+@register("shapiro_blocks")
+def q_shapiro_blocks(spark, sf_dir):
+    from ..operators.normality import shapiro_blocks
+    return _round(shapiro_blocks(fx.dirty_orders(spark, sf_dir), ["price", "ratio"]), 6, ["w", "p_value"])
+
+
+@register("normality_verdict")
+def q_normality_verdict(spark, sf_dir):
+    from ..operators.normality import normality_verdict
+    return _round(normality_verdict(fx.table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]), 6, ["p_value"])
