@@ -9,8 +9,8 @@ distributed. Scores: accuracy (classification) or R2.
 Attributions: permutation-sampling Shapley values (Strumbelj & Kononenko 2014). For
 each explained row and permutation, a background row is walked towards the row one
 feature at a time; the d+1 intermediate vectors of all (row, permutation) pairs are
-scored by ONE distributed ``model.transform`` and the successive differences are the
-contributions. All distinct rows are explained, each weighted by its count; permutations and
+scored by ONE distributed ``model.transform`` (decision trees: by their node tables, in the task that makes
+the walks) and the successive differences are the contributions, summed in that task: no walk is shuffled. All distinct rows are explained, each weighted by its count; permutations and
 background rows are the sampling. The work is rows x permutations x (d + 1) model calls.
 For linear models the exact value w_j (x_j - E[x_j]) is available too.
 """
@@ -22,12 +22,15 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
+from .tree_shap import distinct_vectors, tree_output, tree_tables
+
 CLASSIFICATION = "classification"
 
 
@@ -116,53 +119,89 @@ def shapley_importance(model, data: DataFrame, names: list[str], n_rows: int | N
     vectors if given), the first ``top`` features if given. ``model`` scores a vector column ``features``;
     for binary classifiers (``binary``) the positive-class probability is explained, otherwise the
     prediction. Equal vectors are explained once and weigh as often as they occur."""
-    arr = data.select(vector_to_array(features).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("weight"))
+    arr = distinct_vectors(data, features)
     rows = arr if n_rows is None else arr.orderBy(F.xxhash64("x", F.lit(seed)), "x").limit(n_rows)
     bg = np.array([r["x"] for r in arr.orderBy(F.xxhash64("x", F.lit(seed + 7)), "x").limit(n_background).collect()], float)
     if not len(bg):
         return data.sparkSession.createDataFrame([], "feature string, importance double")
     dim = bg.shape[1]
+    rows = rows.select("x", "weight")
+    kind = type(model).__name__
+    if kind == "DecisionTreeRegressionModel" or (kind == "DecisionTreeClassificationModel" and binary):
+        trees = data.sparkSession.sparkContext.broadcast(tree_tables(model))  # scored where the walks are made
 
-    def walks(it):
-        for pdf in it:
-            out_row, out_perm, out_pos, out_feat, out_vec = [], [], [], [], []
-            for x in pdf["x"]:
-                x = np.asarray(x, float)
-                rid = hashlib.md5(x.tobytes()).hexdigest()  # the vector itself, so equal draws on every run
-                rng = np.random.default_rng([seed, int(rid[:15], 16)])
-                for p in range(n_perm):
-                    perm = rng.permutation(dim)
-                    v = bg[rng.integers(len(bg))].copy()
-                    out_row.append(rid); out_perm.append(p); out_pos.append(0); out_feat.append(-1)
-                    out_vec.append(v.copy())
-                    for i, j in enumerate(perm):
-                        v[j] = x[j]
-                        out_row.append(rid); out_perm.append(p); out_pos.append(i + 1); out_feat.append(int(j))
-                        out_vec.append(v.copy())
-            yield pd.DataFrame({"rid": out_row, "perm": out_perm, "pos": out_pos, "feat": out_feat,
-                                "v": [list(a) for a in out_vec]})
-
-    def key(it):
-        for pdf in it:
-            yield pd.DataFrame({"rid": [hashlib.md5(np.asarray(x, float).tobytes()).hexdigest() for x in pdf["x"]], "weight": pdf["weight"]})
-
-    walked = rows.select("x").mapInPandas(walks, "rid string, perm int, pos int, feat int, v array<double>")
-    weights = rows.mapInPandas(key, "rid string, weight long")
-    scored = model.transform(walked.withColumn(features, array_to_vector("v")))
-    if binary and "probability" in scored.columns:
-        f = vector_to_array("probability")[1]
+        def scored_walks(batches):
+            return _mean_contributions(((perm, weight, tree_output(trees.value, v.reshape(-1, dim)).reshape(v.shape[:3]))
+                                        for perm, weight, v in _walks(batches, bg, n_perm, seed)), dim)
+
+        sums = rows.mapInArrow(scored_walks, SUMS)
     else:
-        f = F.col("prediction").cast("double")
-    s = scored.select("rid", "perm", "pos", "feat", f.alias("f"))
-    w = Window.partitionBy("rid", "perm").orderBy("pos")
-    contrib = s.withColumn("c", F.col("f") - F.lag("f").over(w)).where(F.col("pos") > 0)
-    phi = contrib.groupBy("rid", "feat").agg(F.avg("c").alias("phi"))
-    imp = phi.join(weights, "rid").groupBy("feat").agg((F.sum(F.abs("phi") * F.col("weight")) / F.sum("weight")).alias("importance"))
+        def walked(batches):
+            for perm, weight, v in _walks(batches, bg, n_perm, seed):
+                feat = np.concatenate([np.full((*perm.shape[:2], 1), -1), perm], axis=2)
+                flat = pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), dim).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(weight, n_perm * (dim + 1))), pa.array(feat.ravel()), flat], names=["weight", "feat", "v"])
+
+        scored = model.transform(rows.mapInArrow(walked, "weight long, feat long, v array<double>").withColumn(features, array_to_vector("v")))
+        f = vector_to_array("probability")[1] if binary and "probability" in scored.columns else F.col("prediction").cast("double")
+        # scoring keeps the order of a task's rows, so the steps of a walk still follow each other
+        sums = scored.select("weight", "feat", f.alias("f")).mapInArrow(lambda batches: _mean_contributions(_regrouped(batches, n_perm, dim), dim), SUMS)
+    imp = sums.groupBy("feat").agg((F.sum("s") / F.sum("n")).alias("importance"))
     name_map = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(i), F.lit(n))])
     out = imp.select(name_map[F.col("feat")].alias("feature"), "importance").orderBy(F.desc("importance"), "feature")
     return out if top is None else out.limit(top)
 
 
+SUMS = "feat long, s double, n long"
+WALK_VALUES = 2_000_000  # numbers of the walks made at once
+
+
+def _walks(batches, bg: np.ndarray, n_perm: int, seed: int):
+    """(features in the order they change, weights, vectors) of blocks of rows: rows x permutations x (d + 1) steps."""
+    dim = bg.shape[1]
+    step = max(1, WALK_VALUES // (n_perm * (dim + 1) * dim))
+    for b in batches:
+        whole, weights = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(b), dim), b.column(1).to_numpy()
+        for i in range(0, len(b), step):
+            x = whole[i:i + step]
+            perm, start = np.zeros((len(x), n_perm, dim), np.int64), np.zeros((len(x), n_perm), np.int64)
+            for k, row in enumerate(x):
+                # drawn by the vector itself, so equal draws on every run
+                rng = np.random.default_rng([seed, int(hashlib.md5(row.tobytes()).hexdigest()[:15], 16)])
+                for p in range(n_perm):
+                    perm[k, p] = rng.permutation(dim)
+                    start[k, p] = rng.integers(len(bg))
+            changed = np.argsort(perm, axis=2)[:, :, None, :] < np.arange(dim + 1)[:, None]
+            yield perm, weights[i:i + step], np.where(changed, x[:, None, None, :], bg[start][:, :, None, :])
+
+
+def _regrouped(batches, n_perm: int, dim: int):
+    """Scored steps as (features, weights, scores) of whole rows; the steps of a row may lie in two batches."""
+    size, rest = n_perm * (dim + 1), []
+    for b in batches:
+        rest.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+        if sum(len(r[0]) for r in rest) < size:
+            continue
+        weight, feat, f = (np.concatenate([r[i] for r in rest]) for i in range(3))
+        end = len(f) // size * size
+        rest = [[weight[end:], feat[end:], f[end:]]]
+        yield feat[:end].reshape(-1, n_perm, dim + 1)[:, :, 1:], weight[:end:size], f[:end].reshape(-1, n_perm, dim + 1)
+    if any(len(r[0]) for r in rest):
+        raise ValueError("the steps of a walk were parted")
+
+
+def _mean_contributions(scored, dim: int):
+    """Weighted sums of a task's |mean contribution| of every feature: a row a feature."""
+    total, n = np.zeros(dim), 0
+    for perm, weight, f in scored:
+        c = np.zeros(perm.shape)
+        np.put_along_axis(c, perm, np.diff(f, axis=2), axis=2)
+        total += weight @ np.abs(c.mean(axis=1))
+        n += int(weight.sum())
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim)), pa.array(total), pa.array(np.full(dim, n))], names=["feat", "s", "n"])
+
+
 def shapley_linear(coefficients: list[float], names: list[str], data: DataFrame, features: str = "features",
                    top: int | None = None) -> DataFrame:
     """E14, exact for linear models: phi_j = w_j (x_j - mean_j); importance =
