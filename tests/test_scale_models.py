@@ -91,3 +91,25 @@ def test_distinct_vectors_keep_their_partitions(spark):
     rows = distinct_vectors(d.union(d))
     assert rows.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
     assert rows.agg(F.sum("weight")).first()[0] == 1000
+
+
+@pytest.mark.parametrize("task", ["classification", "regression"])
+def test_machines_of_many_vectors_stay_a_table(spark, monkeypatch, task, tmp_path):
+    """The same decisions, whether the vectors are held by every task or meet the rows in groups."""
+    from vigil.ml import kernel_svm as S
+    monkeypatch.setattr(S, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(S, "MOST_ROWS", 60)
+    monkeypatch.setattr(S, "PART_ROWS", 70)
+    d = _points(spark, 300).withColumn("label", F.when(F.lit(task == "regression"), F.col("label") * 1000.0 + F.col("id")).otherwise(F.col("label"))).checkpoint()
+    held = S.KernelMachines(task).fit(d)
+    want = {r["id"]: r["f"][0] for r in held.decisions(d, "f").collect()}
+    parts = {r["id"]: r["prediction"] for r in held.transform(d).collect()}
+    monkeypatch.setattr(S, "MOST_VECTORS", 100)
+    model = S.KernelMachines(task).fit(d)
+    assert model.machines[0][0] is None and model.far.count() == len(held.machines[0][0])
+    model.write().overwrite().save(str(tmp_path / "m"))
+    for m in (model, S.KernelMachinesModel.read().load(str(tmp_path / "m"))):
+        got = {r["id"]: r["f"][0] for r in m.decisions(d, "f").collect()}
+        assert got == pytest.approx(want, abs=1e-9)
+        out = m.transform(d)
+        assert {r["id"]: r["prediction"] for r in out.collect()} == pytest.approx(parts)
