@@ -73,3 +73,10 @@ def test_merged_filters_hold_every_repeat():
 def test_key():
     assert line_key(b"  Ab C\xc3\x89 \r", 4) == "ab cÉ".encode()
     assert line_key("ééééééééé".encode(), 10) is None
+
+
+def test_texts_are_not_sorted_for_their_drops(docs):
+    out = dedup_lines(docs)
+    plan = out._jdf.queryExecution().sparkPlan().toString()  # the lines above the join of texts and drops come first
+    joins = [x.strip(" +-:") for x in plan.split("\n") if "Join" in x]
+    assert joins[0].startswith("ShuffledHashJoin") and "LeftOuter, BuildRight" in joins[0]

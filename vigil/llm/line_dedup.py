@@ -158,6 +158,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     doc = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))
     suspect = materialize(docs.select(doc.alias("doc"), text.alias("text")).mapInArrow(suspects, "doc long, key binary"),
                           "suspects")
+    shared.unpersist()  # its last reader is done
     first = suspect.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     first = materialize(first, "repeats")  # a plain table on both sides lets AQE split the join where a line is hot
     return suspect.join(first, "key").where("doc > first").select("doc", "key")
@@ -193,6 +194,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rows.append((b"\n".join(keep).decode(), len(lines), len(lines) - len(keep)))
         return pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped"])
 
-    done = left.join(right, key, "left").withColumn(out, cut(F.col(f"`{text_col}`"), F.col(keys)))
+    # texts stream past a hash table of digests: sorting them by document for a merge join fills the executor's heap
+    done = left.join(right.hint("shuffle_hash"), key, "left").withColumn(out, cut(F.col(f"`{text_col}`"), F.col(keys)))
     return done.select(*[F.col(f"{out}.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in kept_cols],
                        F.col(f"{out}.n_lines").alias("n_lines"), F.col(f"{out}.n_dropped").alias("n_dropped"))
