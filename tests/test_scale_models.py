@@ -113,3 +113,20 @@ def test_machines_of_many_vectors_stay_a_table(spark, monkeypatch, task, tmp_pat
         assert got == pytest.approx(want, abs=1e-9)
         out = m.transform(d)
         assert {r["id"]: r["prediction"] for r in out.collect()} == pytest.approx(parts)
+
+
+@pytest.mark.parametrize("query", ["compare_models", "compare_regression"])
+def test_registered_comparisons_fit_the_whole_catalogue(monkeypatch, query):
+    from vigil.ml import compare
+    from vigil.plans import all_queries, extra_queries, ml_queries
+    seen = {}
+    monkeypatch.setattr(compare, "compare_models", lambda df, task, models=None, **kw: seen.update(models=models, **kw) or _Dropped())
+    monkeypatch.setattr(ml_queries, "_prepared", lambda *a: (None, "classification"))
+    monkeypatch.setattr(extra_queries, "_price_regression", lambda *a: (None, "regression"))
+    all_queries()[query](None, "")
+    assert seen["models"] is None and not seen.get("params") and not seen.get("fast")
+
+
+class _Dropped:
+    def drop(self, *names):
+        return self
